@@ -2,16 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession
-
-Query = Callable[[SparkSession, str], DataFrame]
+from .operators import analytics, joins, keyvalue, listing, manifests, queues, scans, statistics, streams, tables  # noqa: F401
+from .registry import ORACLES, QUERIES, Query
+from .sources import files  # noqa: F401
 
 
 def queries() -> dict[str, Query]:
-    return {}
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(ORACLES)
