@@ -42,7 +42,7 @@ FORMATS = (
     ("hex_key", "", _HEX, (32, 64)),
 )
 SAMPLES, SEED = 120, 7
-LITERAL = 4  # symbols at the start that are kept as they are
+LITERAL = 3  # symbols at the start that are kept as they are
 
 
 def labelled(n: int = SAMPLES, seed: int = SEED) -> dict[str, list[str]]:
