@@ -17,12 +17,12 @@ def nearest(vectors: DataFrame, target: list[float], k: int) -> DataFrame:
     return vectors.select("vec_id", cosine_distance(F.col("embedding"), q).alias("x")).orderBy("x", "vec_id").limit(k)
 
 
-@query("""SELECT vec_id, round(x, 6) AS distance FROM (SELECT vec_id, 1 - list_dot_product(e, q) / (sqrt(list_dot_product(e, e)) * sqrt(list_dot_product(q, q))) AS x FROM
+@query("""SELECT vec_id, abs(round(x, 6)) AS distance FROM (SELECT vec_id, 1 - list_dot_product(e, q) / (sqrt(list_dot_product(e, e)) * sqrt(list_dot_product(q, q))) AS x FROM
  (SELECT vec_id, list_transform(embedding, lambda v: v::DOUBLE) AS e, (SELECT list_transform(embedding, lambda v: v::DOUBLE) FROM embeddings WHERE vec_id = 42) AS q FROM embeddings)) ORDER BY x, vec_id LIMIT 10""")
 def vector_topk(spark: SparkSession, d: str) -> DataFrame:
     v = table(spark, d, "embeddings")
     target = [float(x) for x in v.filter("vec_id = 42").select("embedding").first()[0]]  # one row
-    return nearest(v, target, 10).select("vec_id", F.round("x", 6).alias("distance"))
+    return nearest(v, target, 10).select("vec_id", F.abs(F.round("x", 6)).alias("distance"))
 
 
 @query()
