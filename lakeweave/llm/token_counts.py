@@ -11,14 +11,13 @@ the hot ones in place and joins all others by shuffle.
 from __future__ import annotations
 
 from collections import Counter
-from itertools import repeat
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import Workspace, map_slices
-from .tokens import PreTokens, vocabulary
+from .tokens import Chunks, PreTokens, Untidy, vocabulary
 
 #: The broadcast dictionary holds so many pre-tokens at most, of so many bytes each at most.
 HOT, HOT_BYTES = 40_000, 48
@@ -27,12 +26,27 @@ HOT, HOT_BYTES = 40_000, 48
 def _frequencies(path: str):
     def make():
         cut = PreTokens(path)
+        memo = Chunks(cut, list)
 
         def run(texts: list[str | None]) -> dict:
             total: Counter[str] = Counter()
+            parts: Counter[str] = Counter()
             for t in texts:
                 if t:
-                    total.update(cut(t))
+                    try:
+                        first, *rest = memo.split(t)
+                        own = Counter(rest)
+                        for p in own:
+                            memo[p]  # parts that can't be cut alone show here
+                        if not first or first[-1].isspace():
+                            raise Untidy
+                        total.update(cut(first))
+                        parts.update(own)
+                    except Untidy:
+                        total.update(cut(t))
+            for p, n in parts.items():
+                for x in memo[p]:
+                    total[x] += n
             return {"piece": list(total), "n": list(total.values())}
 
         return run
@@ -72,21 +86,28 @@ def count_tokens(spark: SparkSession, docs: DataFrame, vocabulary_path: str | No
     def make():
         cut, get = PreTokens(path), shared.value.get
 
+        def looked_up(pieces: list[str]) -> tuple[int, list[str]]:
+            found = [(x, get(x, 0)) for x in pieces]
+            return sum(c for _, c in found), [x for x, c in found if not c]
+
+        memo = Chunks(cut, looked_up)
+
         def run(ids: list, texts: list[str | None]) -> dict:
             out: dict[str, list] = {"doc_id": [], "n_bytes": [], "hot": [], "rest": []}
             for i, t in zip(ids, texts, strict=True):
                 t = t or ""
-                tokens, rest = 0, None
-                for x, c in zip(cuts := cut(t), map(get, cuts, repeat(0)), strict=True):
-                    if c:
-                        tokens += c
-                    else:
-                        rest = rest or []
-                        rest.append(x)
+                try:
+                    first, *parts = memo.split(t)
+                    if not first or first[-1].isspace():
+                        raise Untidy
+                    got = [*map(memo.__getitem__, parts), looked_up(cut(first))]
+                except Untidy:
+                    got = [looked_up(cut(t))]
+                tokens, rest = sum(g[0] for g in got), [x for g in got if g[1] for x in g[1]]
                 out["doc_id"].append(i)
                 out["n_bytes"].append(len(t.encode("utf-8", "surrogatepass")))
                 out["hot"].append(tokens)
-                out["rest"].append([{"piece": p, "n": n} for p, n in Counter(rest or ()).items()])
+                out["rest"].append([{"piece": p, "n": n} for p, n in Counter(rest).items()])
             return out
 
         return run

@@ -49,24 +49,57 @@ class PreTokens:
         return out + self._find(text[at:])
 
 
-class TokenBytes(dict):
-    """Ids of pre-tokens as little-endian unsigned 32-bit bytes, memoised."""
+class Untidy(Exception):
+    """A text whose spaces don't stand one by one between words."""
+
+
+class Chunks(dict):
+    """A memo over the parts of a text between single spaces.
+
+    Where no space touches other white space, no pre-token crosses the place
+    before a space, so a part is cut alone: the first as it is, all others with
+    the space ahead of them. ``value`` maps a part's pre-tokens to what is kept."""
 
     LIMIT, LONGEST = 300_000, 64
 
+    def __init__(self, cut: PreTokens, value, space: str = " ") -> None:
+        self.cut, self.value, self.space = cut, value, space
+
+    def __missing__(self, part: str):
+        if not part or part[0].isspace() or part[-1].isspace():
+            raise Untidy
+        v = self.value(self.cut(self.space + part))
+        if len(part) <= self.LONGEST:
+            if len(self) > self.LIMIT:
+                self.clear()
+            self[part] = v
+        return v
+
+    def split(self, text: str) -> list[str]:
+        """The parts of a text; ``Untidy`` if they can't be cut alone for its special strings."""
+        if any(s in text for s in self.cut.special):
+            raise Untidy
+        return text.split(" ")
+
+
+class TokenBytes:
+    """Ids of texts as little-endian unsigned 32-bit bytes."""
+
     def __init__(self, path: str) -> None:
         from tokenizers import Tokenizer
 
-        self.cut = PreTokens(path)
-        self._encode = Tokenizer.from_file(path).encode
+        self.cut, self._encode = PreTokens(path), Tokenizer.from_file(path).encode
+        self._memo = Chunks(self.cut, self._ids)
 
-    def __missing__(self, piece: str) -> bytes:
-        ids = np.array(self._encode(piece, add_special_tokens=False).ids, "<u4").tobytes()
-        if len(piece) <= self.LONGEST:
-            if len(self) > self.LIMIT:
-                self.clear()
-            self[piece] = ids
-        return ids
+    def _ids(self, pieces: list[str]) -> bytes:
+        return b"".join(np.array(self._encode(p, add_special_tokens=False).ids, "<u4").tobytes() for p in pieces)
 
     def of(self, text: str) -> bytes:
-        return b"".join(map(self.__getitem__, self.cut(text)))
+        try:
+            parts = self._memo.split(text)
+            first = parts[0]
+            if not first or first[-1].isspace():
+                raise Untidy
+            return self._ids(self.cut(first)) + b"".join(map(self._memo.__getitem__, parts[1:]))
+        except Untidy:
+            return self._ids(self.cut(text))
