@@ -49,14 +49,15 @@ def _members():
 
 
 def prefix_lists(sets: DataFrame) -> DataFrame:
-    """v, id, n: inverted lists of each sketch's rarest values, as many as sets that share half need."""
+    """v, id, n, alone: inverted lists of each sketch's rarest values, as many as
+    sets that share half need; ``alone``: how many of its values no other set has."""
     posts = sets.select("id", "n", F.size("sketch").alias("k"), F.explode("sketch").alias("v"))
     often = posts.groupBy("v").agg(F.count(F.lit(1)).alias("df")).filter("df > 1")
     shared = posts.join(often, "v")
     by_set = Window.partitionBy("id")
     unique = F.col("k") - F.count(F.lit(1)).over(by_set)  # values of no other set come first and lead nowhere
     rank = F.row_number().over(by_set.orderBy("df", "v"))
-    return shared.withColumn("unique", unique).withColumn("rank", rank).filter(F.col("rank") <= F.col("k") - F.ceil(F.col("k") * LEAST) + 1 - F.col("unique")).select("v", "id", "n")
+    return shared.withColumn("unique", unique).withColumn("rank", rank).filter(F.col("rank") <= F.col("k") - F.ceil(F.col("k") * LEAST) + 1 - F.col("unique")).select("v", "id", "n", F.col("unique").alias("alone"))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, percent: int = PERCENT) -> DataFrame:
@@ -79,7 +80,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, percent: int = PERCENT
         rows = docs.withColumnRenamed("doc_id", "id").join(ids, "id", "left_semi")
         return map_slices(rows, ["id", "text"], _members, pa.schema([("id", pa.int64()), ("members", pa.list_(pa.int64()))]), "id long, members array<long>")
 
-    label = link(spark, sets, lists, fetch, percent, lambda a, b: union_estimate(a, b, SKETCH, LEAST), LEAST, ws)
+    label = link(spark, sets, lists, fetch, percent, lambda a, b: union_estimate(a, b, SKETCH, LEAST), ws)
     # Only sets with a copy or a link can move a document.
     moved = equal.join(label, "id", "left").filter("copies > 1 or component is not null").select("digest", F.coalesce("component", "id").alias("component"))
     # Digests of many copies: their documents meet their set's label by doc_id, not in one task.

@@ -92,14 +92,16 @@ def repeated_paragraphs(spark: SparkSession, docs: DataFrame, ws: Workspace) ->
     band = lambda b: F.xxhash64(F.lit(b), *[F.element_at("sketch", b * ROWS + i + 1) for i in range(ROWS)])
     lists = sets.select("id", "n", F.explode(F.array(*map(band, range(BANDS)))).alias("v"))
     often = lists.groupBy("v").agg(F.count(F.lit(1)).alias("c")).filter("c > 1").select("v")
-    lists = ws.save(lists.join(often, "v", "left_semi").select("v", "id", "n"))
+    lists = lists.join(often, "v", "left_semi")
+    shared = F.count(F.lit(1)).over(Window.partitionBy("id"))  # of a set's few bands
+    lists = ws.save(lists.select("v", "id", "n", (F.lit(BANDS) - shared).alias("alone")))
 
     def fetch(ids: DataFrame) -> DataFrame:
         wanted = equal.join(ids, "id").groupBy("doc_id").agg(F.collect_list(F.struct("para", "id")).alias("wanted"))  # a document's own lines
         return map_slices(docs.join(wanted, "doc_id"), ["text", "wanted"], _members, pa.schema([("id", pa.int64()), ("members", pa.list_(pa.int64()))]), "id long, members array<long>")
 
     alike = lambda a, b: F.size(F.array_intersect(a, b)) >= 6  # noqa: E731  of 16; 12 are equal at 0.75
-    label = link(spark, sets, lists, fetch, PERCENT, alike, 6 / 16, ws)
+    label = link(spark, sets, lists, fetch, PERCENT, alike, ws)
     found = equal.join(label, "id", "left").filter("copies > 1 or component is not null").withColumn("component", F.coalesce("component", "id"))
     first = found.groupBy("component").agg(F.min(F.struct("doc_id", "start")).alias("f"))
     marks = found.select("digest", "component").join(first, "component").select("digest", F.col("f.doc_id").alias("first_doc_id"), F.col("f.start").alias("first_start"))

@@ -1,16 +1,18 @@
 """Components of sets that are alike, without ever listing all pairs of a group.
 
 The input is one row for each distinct set (``id``, ``n`` members, ``sketch``) and
-inverted lists (``v``, ``id``, ``n``): sets whose likeness reaches the threshold
-share a list. Then:
+inverted lists (``v``, ``id``, ``n``, ``alone``): sets whose likeness reaches the
+threshold share a list. Then:
 
-1. Star round: in each list the smallest id is paired with every other one; in
-   lists of at most ``SMALL`` sets all pairs are made. This is linear in the lists.
+1. Star round: in each list one set is paired with every other one, the set with
+   the fewest values of its own (``alone``): the text that a group was copied from
+   shares all it has, its altered copies don't. In lists of at most ``SMALL`` sets
+   all pairs are made. This is linear in the lists.
 2. Pairs pass a size bound, the sketch estimate, and the exact Jaccard test on
    full sets; verified links give components.
-3. Cross rounds, for what stars can't decide: lists that still hold several
-   components are cut into blocks; each pair of blocks compares its sketches by a
-   matrix product and gives only pairs across components that pass the estimate.
+3. Cross round, for what stars can't decide: lists that still hold several
+   components are cut into blocks; each pair of blocks compares wide sketches by
+   matrix products and gives only pairs across components that pass the estimate.
    They are verified in the same way.
 
 Two sets in one component need no further test, so large groups of copies stay
@@ -29,7 +31,9 @@ from pyspark.sql import functions as F
 from .common import Workspace
 
 #: Lists up to this length give all their pairs at once; longer ones give stars, then blocks of this many sets.
-SMALL, BLOCK = 6, 512
+SMALL, BLOCK = 6, 1024
+#: Values of a wide sketch, and by how much its estimate may fall short: 3.6 standard errors.
+WIDE, MARGIN = 256, 0.09
 
 
 def sized(a: Column, b: Column, percent: int) -> Column:
@@ -44,10 +48,10 @@ def union_estimate(a: Column, b: Column, k: int, least: float) -> Column:
 
 
 def stars(lists: DataFrame, percent: int) -> DataFrame:
-    """Pairs a < b: all of a short list, and the smallest id with each other one of a long list."""
-    stats = lists.groupBy("v").agg(F.count(F.lit(1)).alias("size"), F.min(F.struct("id", "n")).alias("hub")).filter("size > 1")
+    """Pairs a < b: all of a short list, and the hub with each other one of a long list."""
+    stats = lists.groupBy("v").agg(F.count(F.lit(1)).alias("size"), F.min(F.struct("alone", "id", "n")).alias("hub")).filter("size > 1")
     known = lists.join(stats, "v")
-    star = known.filter(F.col("id") != F.col("hub.id")).filter(sized(F.col("n"), F.col("hub.n"), percent)).select(F.col("hub.id").alias("a"), F.col("id").alias("b"))
+    star = known.filter(F.col("id") != F.col("hub.id")).filter(sized(F.col("n"), F.col("hub.n"), percent)).select(F.least("hub.id", "id").alias("a"), F.greatest("hub.id", "id").alias("b"))
     rest = known.filter((F.col("size").between(3, SMALL)) & (F.col("id") != F.col("hub.id"))).groupBy("v").agg(F.sort_array(F.collect_list(F.struct("id", "n"))).alias("x"))
     pairs = F.flatten(F.transform("x", lambda p, i: F.transform(F.slice(F.col("x"), i + 2, SMALL), lambda q: F.struct(p["id"].alias("a"), q["id"].alias("b"), p["n"].alias("na"), q["n"].alias("nb")))))
     return star.unionByName(rest.select(F.explode(pairs).alias("p")).select("p.*").filter(sized(F.col("na"), F.col("nb"), percent)).select("a", "b")).distinct()
@@ -86,58 +90,85 @@ def components(links: DataFrame, ws: Workspace) -> DataFrame:
         label = new
 
 
-def _across(percent: int, least: float):
+def union_shares(a: list[np.ndarray], b: list[np.ndarray], shared: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Estimated Jaccard similarity of all bottom-k sketches of two blocks: over
+    the values up to the smaller of both largest ones, where both are complete; and
+    the shared values."""
+    a, b = ([np.sort(x.view(np.uint64)) for x in s] for s in (a, b))
+    top = np.uint64(2**64 - 1)
+    last_a, last_b = (np.array([x[-1] if len(x) >= k else top for x in s], np.uint64) for s in (a, b))
+    na = np.stack([np.searchsorted(x, np.minimum(last_b, m), "right") for x, m in zip(a, last_a, strict=True)])
+    nb = np.stack([np.searchsorted(x, np.minimum(last_a, m), "right") for x, m in zip(b, last_b, strict=True)], axis=1)
+    return shared / np.maximum(1, na + nb - shared), shared
+
+
+def _across(percent: int):
     """Pairs across components in two blocks of one list whose sketches pass the estimate."""
 
     def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        _, left, right = key
+        v, left, right = key
         a = rows[rows["block"] == left]
         b = a if left == right else rows[rows["block"] == right]
         if not len(a) or not len(b):
             return pd.DataFrame({"a": rows["id"][:0], "b": rows["id"][:0]})
-        both = pd.concat((a, b))
-        flat = np.concatenate(both["sketch"].to_numpy())
-        owner = np.repeat(np.arange(len(both)), both["sketch"].map(len).to_numpy())
-        _, col, often = np.unique(flat, return_inverse=True, return_counts=True)
-        keep = often[col] > 1
-        used, col = np.unique(col[keep], return_inverse=True)
-        shared = np.zeros((len(a), len(b)), np.float32)
-        owner = owner[keep]
-        for at in range(0, len(used), 4096):  # a bounded share of the values at a time
-            part = (col >= at) & (col < at + 4096)
-            m = np.zeros((len(both), min(4096, len(used) - at)), np.float32)
-            m[owner[part], col[part] - at] = 1
-            shared += m[: len(a)] @ m[len(a) :].T
+        wa, wb = list(a["wide"]), list(b["wide"])
+        share, shared = union_shares(wa, wb, meets(wa, wb), WIDE)
         na, nb = a["n"].to_numpy()[:, None], b["n"].to_numpy()[None, :]
-        sa, sb = a["sketch"].map(len).to_numpy()[:, None], b["sketch"].map(len).to_numpy()[None, :]
-        ok = (a["component"].to_numpy()[:, None] != b["component"].to_numpy()[None, :]) & (100 * np.minimum(na, nb) >= percent * np.maximum(na, nb)) & (shared >= np.floor(np.minimum(sa, sb) * least))
-        i, j = np.nonzero(ok)
+        whole = (na < WIDE) & (nb < WIDE)  # both sketches are the sets themselves
+        alike = np.where(whole, 100 * shared >= percent * (na + nb - shared), share >= percent / 100 - MARGIN)
+        alike &= (a["component"].to_numpy()[:, None] != b["component"].to_numpy()[None, :]) & (100 * np.minimum(na, nb) >= percent * np.maximum(na, nb))
+        if alike.any():  # a pair counts in the first list that both are in
+            earlier = [[x[x < v] for x in s["lists"]] for s in (a, b)]
+            alike &= meets(*earlier) == 0
+        i, j = np.nonzero(alike)
         x, y = a["id"].to_numpy()[i], b["id"].to_numpy()[j]
         return pd.DataFrame({"a": np.where(x < y, x, y), "b": np.where(x < y, y, x)}).drop_duplicates()
 
     return run
 
 
-def across(lists: DataFrame, sets: DataFrame, label: DataFrame, percent: int, least: float, ws: Workspace) -> DataFrame:
+def meets(a: list[np.ndarray], b: list[np.ndarray]) -> np.ndarray:
+    """How many values each of one block shares with each of the other, as matrix products."""
+    flat, owner = np.concatenate([*a, *b]), np.repeat(np.arange(len(a) + len(b)), [len(x) for x in (*a, *b)])
+    out = np.zeros((len(a), len(b)), np.float32)
+    if not len(flat):
+        return out
+    _, col, often = np.unique(flat, return_inverse=True, return_counts=True)
+    keep = often[col] > 1
+    used, col = np.unique(col[keep], return_inverse=True)
+    owner = owner[keep]
+    order = np.argsort(col, kind="stable")
+    col, owner = col[order], owner[order]
+    for at in range(0, len(used), 2048):  # a bounded share of the values at a time
+        lo, hi = np.searchsorted(col, (at, at + 2048))
+        m = np.zeros((len(a) + len(b), min(2048, len(used) - at)), np.float32)
+        m[owner[lo:hi], col[lo:hi] - at] = 1
+        out += m[: len(a)] @ m[len(a) :].T
+    return out
+
+
+def across(lists: DataFrame, fetch: Callable[[DataFrame], DataFrame], label: DataFrame, percent: int, ws: Workspace) -> DataFrame:
     """Pairs of long lists that stars left in different components."""
-    kind = dict(sets.dtypes)["id"]
     size = lists.groupBy("v").agg(F.count(F.lit(1)).alias("size")).filter(F.col("size") > SMALL)
     known = lists.join(size, "v").join(label, "id", "left").withColumn("component", F.coalesce("component", "id"))
     mixed = known.groupBy("v").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo < hi").select("v")
-    rows = ws.save(known.join(mixed, "v", "left_semi"))
+    rows = ws.save(known.join(mixed, "v", "left_semi").select("v", "id", "n", "component", "size"))
+    own = rows.groupBy("id").agg(F.collect_list("v").alias("lists"))  # a set's few lists
+    wide = ws.save(fetch(own.select("id")).select("id", F.slice("members", 1, WIDE).alias("wide")).join(own, "id"))
     blocks = F.ceil(F.col("size") / BLOCK).cast("int")
-    rows = rows.join(sets.select("id", "sketch"), "id").withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
-    meets = F.explode(F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda k: F.struct(F.least(k, F.col("block")).alias("left"), F.greatest(k, F.col("block")).alias("right"))))
-    rows = rows.withColumn("m", meets).select("v", F.col("m.left").alias("left"), F.col("m.right").alias("right"), "block", "id", "n", "component", "sketch")
-    return rows.groupBy("v", "left", "right").applyInPandas(_across(percent, least), f"a {kind}, b {kind}").distinct()
+    rows = rows.withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")).join(wide, "id")
+    pairs = F.explode(F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda k: F.struct(F.least(k, F.col("block")).alias("left"), F.greatest(k, F.col("block")).alias("right"))))
+    rows = rows.withColumn("m", pairs).select("v", F.col("m.left").alias("left"), F.col("m.right").alias("right"), "block", "id", "n", "component", "wide", "lists")
+    return rows.groupBy("v", "left", "right").applyInPandas(_across(percent), "a long, b long").distinct()
 
 
-def link(spark: SparkSession, sets: DataFrame, lists: DataFrame, fetch: Callable[[DataFrame], DataFrame], percent: int, estimate: Callable[[Column, Column], Column], least: float, ws: Workspace) -> DataFrame:
+def link(spark: SparkSession, sets: DataFrame, lists: DataFrame, fetch: Callable[[DataFrame], DataFrame], percent: int, estimate: Callable[[Column, Column], Column], ws: Workspace) -> DataFrame:
     """id, component of every set that is linked with another one. ``fetch`` gives
-    id, members (an array) of the sets whose ids it gets."""
+    id, members (an array) of the sets whose ids it gets. ``estimate`` is the test
+    of a pair's sketches."""
     links = verified(stars(lists, percent), sets, fetch, percent, estimate, ws)
     label = components(links, ws)
-    more = ws.save(across(lists, sets, label, percent, least, ws))
+    more = ws.save(across(lists, fetch, label, percent, ws))
     if more.limit(1).count():
         links = links.unionByName(verified(more, sets, fetch, percent, estimate, ws))
         label = components(links, ws)
