@@ -11,6 +11,8 @@ import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
+import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -102,3 +104,27 @@ class WordHashes(dict):
             self.clear()
         h = self[word] = xxhash.xxh64_intdigest(word)
         return h
+
+
+#: Bits of the filter of ``among``; at most an eighth of so many bytes is sent, whatever the number of ids.
+FILTER_BITS = 1 << 26
+
+
+def among(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """The rows of ``docs`` whose doc_id may be in ``ids`` (column doc_id), so that
+    a join that follows need not shuffle the texts of all documents. The filter is
+    a bitmap of fixed size: more ids make it let more rows through, never fewer."""
+    bit = F.pmod(F.xxhash64("doc_id"), F.lit(FILTER_BITS))
+    maps = ids.select(bit.alias("bit")).groupBy(F.expr("bit div 32768").alias("part")).agg(F.expr("bitmap_construct_agg(bit % 32768)").alias("bits")).collect()  # at most FILTER_BITS / 32768 rows of 4 KB
+    found = np.zeros(FILTER_BITS // 8, np.uint8)
+    for r in maps:
+        part = np.frombuffer(r.bits, np.uint8)
+        found[r.part * 4096 : r.part * 4096 + len(part)] = part
+    shared = docs.sparkSession.sparkContext.broadcast(found)
+
+    @F.pandas_udf("boolean")
+    def known(bits: pd.Series) -> pd.Series:
+        b = bits.to_numpy()
+        return pd.Series((shared.value[b >> 3] >> (b & 7).astype(np.uint8)) & 1 == 1)
+
+    return docs.filter(known(bit))

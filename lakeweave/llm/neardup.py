@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import Workspace, map_slices, unique_docs
+from .common import Workspace, among, map_slices, unique_docs
 from .shingles import Shingler
 from .similarity import link, union_estimate
 
@@ -77,7 +77,8 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, percent: int = PERCENT
     lists = ws.save(prefix_lists(sets))
 
     def fetch(ids: DataFrame) -> DataFrame:
-        rows = docs.withColumnRenamed("doc_id", "id").join(ids, "id", "left_semi")
+        wanted = ids.withColumnRenamed("id", "doc_id")
+        rows = among(docs, wanted).join(wanted, "doc_id", "left_semi").withColumnRenamed("doc_id", "id")
         return map_slices(rows, ["id", "text"], _members, pa.schema([("id", pa.int64()), ("members", pa.list_(pa.int64()))]), "id long, members array<long>")
 
     label = link(spark, sets, lists, fetch, percent, lambda a, b: union_estimate(a, b, SKETCH, LEAST), ws)

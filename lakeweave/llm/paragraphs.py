@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import Workspace, map_slices, unique_docs
+from .common import Workspace, among, map_slices, unique_docs
 from .shingles import Shingler, mix
 from .similarity import link
 
@@ -98,7 +98,7 @@ def repeated_paragraphs(spark: SparkSession, docs: DataFrame, ws: Workspace) ->
 
     def fetch(ids: DataFrame) -> DataFrame:
         wanted = equal.join(ids, "id").groupBy("doc_id").agg(F.collect_list(F.struct("para", "id")).alias("wanted"))  # a document's own lines
-        return map_slices(docs.join(wanted, "doc_id"), ["text", "wanted"], _members, pa.schema([("id", pa.int64()), ("members", pa.list_(pa.int64()))]), "id long, members array<long>")
+        return map_slices(among(docs, wanted).join(wanted, "doc_id"), ["text", "wanted"], _members, pa.schema([("id", pa.int64()), ("members", pa.list_(pa.int64()))]), "id long, members array<long>")
 
     alike = lambda a, b: F.size(F.array_intersect(a, b)) >= 6  # noqa: E731  of 16; 12 are equal at 0.75
     label = link(spark, sets, lists, fetch, PERCENT, alike, ws)
