@@ -73,21 +73,21 @@ def verified(pairs: DataFrame, sets: DataFrame, fetch: Callable[[DataFrame], Dat
 
 
 def components(links: DataFrame, ws: Workspace) -> DataFrame:
-    """id, component (smallest id) of every linked id: smallest neighbour labels
-    with pointer jumping, until nothing changes."""
+    """id, component (smallest id) of every linked id, by contraction: each id goes
+    over to its smallest neighbour, links follow, and links inside an id go, so a
+    round works on what is left only. An id's old and new place stay linked until
+    they are one, because the link between them is carried along too."""
     ways = ws.save(links.select(F.col("a").alias("x"), F.col("b").alias("y")).union(links.select(F.col("b").alias("x"), F.col("a").alias("y"))).distinct())
-    label = ws.save(ways.groupBy(F.col("x").alias("id")).agg(F.min("y").alias("m")).select("id", F.least("id", "m").alias("component")))
-    while True:
-        near = ways.join(label.withColumnRenamed("id", "y"), "y").groupBy(F.col("x").alias("id")).agg(F.min("component").alias("m"))
-        step = label.join(near, "id").select("id", F.col("component").alias("was"), F.least("component", "m").alias("to"))
-        jump = label.select(F.col("id").alias("to"), F.col("component").alias("further"))
-        new = ws.save(step.join(jump, "to", "left").select("id", "was", F.least("to", F.coalesce("further", "to")).alias("component")))
-        moved = new.filter("component != was").limit(1).count()
-        ws.drop(label)
-        if not moved:
-            ws.drop(ways)
-            return new.select("id", "component")
-        label = new
+    label = ws.save(ways.select(F.col("x").alias("id"), F.col("x").alias("component")).distinct())
+    while ways.limit(1).count():
+        step = ws.save(ways.groupBy("x").agg(F.min("y").alias("m")).select("x", F.least("x", "m").alias("to")))
+        left = ways.join(step, "x").select(F.col("to").alias("a"), "y").distinct()
+        both = left.join(step.select(F.col("x").alias("y"), F.col("to").alias("b")), "y").select(F.col("a").alias("x"), F.col("b").alias("y"))
+        rest = ws.save(both.filter("x != y").distinct())
+        new = ws.save(label.join(step.withColumnRenamed("x", "component"), "component", "left").select("id", F.coalesce("to", "component").alias("component")))
+        ws.drop(ways, label, step)
+        ways, label = rest, new
+    return label
 
 
 def union_shares(a: list[np.ndarray], b: list[np.ndarray], shared: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
