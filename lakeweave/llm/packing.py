@@ -46,7 +46,11 @@ def plan(counts: dict[int, int], capacity: int, max_docs: int, max_cost: int, we
 
     ``rule``: "dot" takes the bin with the largest weighted dot product of piece
     and residual, "norm" the one with the smallest weighted norm of the residual
-    that remains. Ties go to the lowest bin number."""
+    that remains. Ties go to the lowest bin number.
+
+    The number of runs does not grow with the number of pieces: a length splits
+    one group at most and opens two at most, so there are at most 3 * ``capacity``
+    groups at the end, and each has taken at most ``max_docs`` runs."""
     caps, w = np.array([capacity, max_docs, max_cost], float), np.array(weights, float)
     state = np.empty((0, 3))  # residual capacities of each group of equal bins
     first, many, used = (np.empty(0, np.int64) for _ in range(3))
@@ -123,17 +127,18 @@ def pack(spark: SparkSession, docs: DataFrame, vocabulary_path: str | None = Non
     before = tallies.withColumn("before", F.sum("n").over(Window.partitionBy("length").orderBy("part").rowsBetween(Window.unboundedPreceding, -1))).select("length", "part", F.coalesce("before", F.lit(0)).alias("before"))
     ranked = pieces.join(before, ["length", "part"]).withColumn("rank", F.col("rank") + F.col("before"))
     order = np.lexsort((runs[:, 1], runs[:, 0]))
-    shared = spark.sparkContext.broadcast(runs[order])  # a few runs for each length
+    narrow = [c.astype(np.min_scalar_type(int(c.max(initial=0)))) for c in runs[order][:, [0, 1, 3, 4]].T]
+    shared = spark.sparkContext.broadcast(narrow)  # at most 3 * capacity * max_docs runs, see ``plan``
 
     def make():
-        table = shared.value
-        keys = table[:, 0] * (1 << 44) + table[:, 1]
+        lengths_at, ranks_at, first_bin, offsets = (c.astype(np.int64) for c in shared.value)
+        keys = lengths_at * (1 << 44) + ranks_at
 
         def run(lengths: list[int], ranks: list[int], *rest: list) -> dict:
             n, r = np.array(lengths, np.int64), np.array(ranks, np.int64)
             at = np.searchsorted(keys, n * (1 << 44) + r, "right") - 1
             doc_id, piece, start, crc = rest
-            return {"doc_id": doc_id, "piece": piece, "start": start, "length": pa.array(n), "ids_crc32": crc, "sequence_id": pa.array(table[at, 3] + r - table[at, 1]), "offset": pa.array(table[at, 4])}
+            return {"doc_id": doc_id, "piece": piece, "start": start, "length": pa.array(n), "ids_crc32": crc, "sequence_id": pa.array(first_bin[at] + r - ranks_at[at]), "offset": pa.array(offsets[at])}
 
         return run
 

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import Workspace, map_slices
-from .tokens import Chunks, PreTokens, Untidy, vocabulary
+from .tokens import Chunks, PreTokens, vocabulary
 
 #: The broadcast dictionary holds so many pre-tokens at most, of so many bytes each at most.
 HOT, HOT_BYTES = 40_000, 48
@@ -26,24 +26,14 @@ HOT, HOT_BYTES = 40_000, 48
 def _frequencies(path: str):
     def make():
         cut = PreTokens(path)
-        memo = Chunks(cut, list)
+        memo = Chunks(cut, cut)
 
         def run(texts: list[str | None]) -> dict:
             total: Counter[str] = Counter()
             parts: Counter[str] = Counter()
             for t in texts:
                 if t:
-                    try:
-                        first, *rest = memo.split(t)
-                        own = Counter(rest)
-                        for p in own:
-                            memo[p]  # parts that can't be cut alone show here
-                        if not first or first[-1].isspace():
-                            raise Untidy
-                        total.update(cut(first))
-                        parts.update(own)
-                    except Untidy:
-                        total.update(cut(t))
+                    parts.update(memo.split(t))
             for p, n in parts.items():
                 for x in memo[p]:
                     total[x] += n
@@ -86,8 +76,8 @@ def count_tokens(spark: SparkSession, docs: DataFrame, vocabulary_path: str | No
     def make():
         cut, get = PreTokens(path), shared.value.get
 
-        def looked_up(pieces: list[str]) -> tuple[int, list[str]]:
-            found = [(x, get(x, 0)) for x in pieces]
+        def looked_up(chunk: str) -> tuple[int, list[str]]:
+            found = [(x, get(x, 0)) for x in cut(chunk)]
             return sum(c for _, c in found), [x for x, c in found if not c]
 
         memo = Chunks(cut, looked_up)
@@ -96,13 +86,7 @@ def count_tokens(spark: SparkSession, docs: DataFrame, vocabulary_path: str | No
             out: dict[str, list] = {"doc_id": [], "n_bytes": [], "hot": [], "rest": []}
             for i, t in zip(ids, texts, strict=True):
                 t = t or ""
-                try:
-                    first, *parts = memo.split(t)
-                    if not first or first[-1].isspace():
-                        raise Untidy
-                    got = [*map(memo.__getitem__, parts), looked_up(cut(first))]
-                except Untidy:
-                    got = [looked_up(cut(t))]
+                got = [memo[p] for p in memo.split(t)]
                 tokens, rest = sum(g[0] for g in got), [x for g in got if g[1] for x in g[1]]
                 out["doc_id"].append(i)
                 out["n_bytes"].append(len(t.encode("utf-8", "surrogatepass")))

@@ -34,52 +34,63 @@ class PreTokens:
         if spec["pre_tokenizer"]["type"] != "ByteLevel" or spec["pre_tokenizer"]["add_prefix_space"] or spec["normalizer"]:
             raise ValueError("only plain byte-level vocabularies are cut here")
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
-        self._special = re.compile("|".join(map(re.escape, sorted(self.special, key=len, reverse=True)))) if self.special else None
+        self.special_pattern = re.compile("|".join(map(re.escape, sorted(self.special, key=len, reverse=True)))) if self.special else None
         self._find = regex.compile(public_tokenizers.PATTERN).findall
 
     def __call__(self, text: str) -> list[str]:
-        if self._special is None or not self._special.search(text):
+        if self.special_pattern is None or not self.special_pattern.search(text):
             return self._find(text)
         out: list[str] = []
         at = 0
-        for m in self._special.finditer(text):
+        for m in self.special_pattern.finditer(text):
             out += self._find(text[at : m.start()])
             out.append(m.group())
             at = m.end()
         return out + self._find(text[at:])
 
 
-class Untidy(Exception):
-    """A text whose spaces don't stand one by one between words."""
+#: Unicode's white space, as the pre-tokeniser knows it.
+_WHITE = r"\t-\r\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 
 
 class Chunks(dict):
-    """A memo over the parts of a text between single spaces.
-
-    Where no space touches other white space, no pre-token crosses the place
-    before a space, so a part is cut alone: the first as it is, all others with
-    the space ahead of them. ``value`` maps a part's pre-tokens to what is kept."""
-
-    LIMIT, LONGEST = 300_000, 64
-
-    def __init__(self, cut: PreTokens, value, space: str = " ") -> None:
-        self.cut, self.value, self.space = cut, value, space
-
-    def __missing__(self, part: str):
-        if not part or part[0].isspace() or part[-1].isspace():
-            raise Untidy
-        v = self.value(self.cut(self.space + part))
-        if len(part) <= self.LONGEST:
-            if len(self) > self.LIMIT:
+    """A memo over the chunks of texts: white space with the run of other signs
+    after it, or the white space at a text's end.
+
+    The pre-tokeniser looks no further than the sign after a run of white space,
+    and none of its pieces holds white space after another sign, so each chunk is
+    cut alone as it is in its text. Special strings are chunks of their own.
+    ``value`` maps a chunk to what is kept of it."""
+
+    LIMIT, LONGEST = 200_000, 64
+
+    def __init__(self, cut: PreTokens, value) -> None:
+        self.special, self.value = cut.special_pattern, value
+        self.find = re.compile(f"[{_WHITE}]*[^{_WHITE}]+|[{_WHITE}]+").findall
+        self.before: dict = {}  # what the memo held when it was last full
+
+    def __missing__(self, chunk: str):
+        v = self.before.get(chunk)
+        if v is None:
+            v = self.value(chunk)
+        if len(chunk) <= self.LONGEST:
+            if len(self) >= self.LIMIT:
+                self.before = dict(self)
                 self.clear()
-            self[part] = v
+            self[chunk] = v
         return v
 
     def split(self, text: str) -> list[str]:
-        """The parts of a text; ``Untidy`` if they can't be cut alone for its special strings."""
-        if any(s in text for s in self.cut.special):
-            raise Untidy
-        return text.split(" ")
+        """The chunks of a text, in order."""
+        if self.special is None or not self.special.search(text):
+            return self.find(text)
+        out: list[str] = []
+        at = 0
+        for m in self.special.finditer(text):
+            out += self.find(text[at : m.start()])
+            out.append(m.group())
+            at = m.end()
+        return out + self.find(text[at:])
 
 
 class TokenBytes:
@@ -88,18 +99,11 @@ class TokenBytes:
     def __init__(self, path: str) -> None:
         from tokenizers import Tokenizer
 
-        self.cut, self._encode = PreTokens(path), Tokenizer.from_file(path).encode
-        self._memo = Chunks(self.cut, self._ids)
+        self._encode = Tokenizer.from_file(path).encode
+        self._memo = Chunks(PreTokens(path), self._ids)
 
-    def _ids(self, pieces: list[str]) -> bytes:
-        return b"".join(np.array(self._encode(p, add_special_tokens=False).ids, "<u4").tobytes() for p in pieces)
+    def _ids(self, chunk: str) -> bytes:
+        return np.array(self._encode(chunk, add_special_tokens=False).ids, "<u4").tobytes()
 
     def of(self, text: str) -> bytes:
-        try:
-            parts = self._memo.split(text)
-            first = parts[0]
-            if not first or first[-1].isspace():
-                raise Untidy
-            return self._ids(self.cut(first)) + b"".join(map(self._memo.__getitem__, parts[1:]))
-        except Untidy:
-            return self._ids(self.cut(text))
+        return b"".join(map(self._memo.__getitem__, self._memo.split(text)))
