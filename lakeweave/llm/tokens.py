@@ -9,8 +9,7 @@ from __future__ import annotations
 
 import json
 import re
-
-import numpy as np
+import struct
 
 MODEL = "byte_bpe_50k.json"
 
@@ -62,7 +61,7 @@ class Chunks(dict):
     cut alone as it is in its text. Special strings are chunks of their own.
     ``value`` maps a chunk to what is kept of it."""
 
-    LIMIT, LONGEST = 200_000, 64
+    LIMIT, LONGEST = 300_000, 64
 
     def __init__(self, cut: PreTokens, value) -> None:
         self.special, self.value = cut.special_pattern, value
@@ -103,7 +102,8 @@ class TokenBytes:
         self._memo = Chunks(PreTokens(path), self._ids)
 
     def _ids(self, chunk: str) -> bytes:
-        return np.array(self._encode(chunk, add_special_tokens=False).ids, "<u4").tobytes()
+        ids = self._encode(chunk, add_special_tokens=False).ids
+        return struct.pack(f"<{len(ids)}I", *ids)
 
     def of(self, text: str) -> bytes:
         return b"".join(map(self._memo.__getitem__, self._memo.split(text)))
