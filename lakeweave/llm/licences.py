@@ -77,16 +77,17 @@ def scan(spark: SparkSession, docs: DataFrame) -> DataFrame:
     A null or empty text has the digest of the empty text and no licence. Rows
     that repeat a doc_id or have none are scanned row by row. Further columns are
     ignored. An empty table gives no rows."""
-    table = {r.digest: r.licence for r in known(spark).collect()}  # a fixed number of rows
+    texts = known(spark)
+    table = {r.digest: r.licence for r in texts.collect()}  # a fixed number of rows
     lookup = F.create_map(*[F.lit(x) for k, v in sorted(table.items()) for x in (k, v)])
-    of = lambda d: F.try_element_at(lookup, d)
     text = F.coalesce("text", F.lit(""))
     # Only lines no longer than the longest known notice can be one; the others need no digest.
     most = max(len(t) for _, t in KNOWN) * 2
     lines = F.filter(F.split(text, "\n"), lambda x: F.length(x).between(1, most))
-    hits = F.filter(F.transform(lines, lambda x: of(digest(x))), lambda x: x.isNotNull())
+    hits = F.filter(F.transform(lines, lambda x: F.try_element_at(lookup, digest(x))), lambda x: x.isNotNull())
     out = docs.select(F.col("doc_id").cast("long").alias("doc_id"), digest(text).alias("text_digest"), hits.alias("_hits"))
-    return out.select("doc_id", "text_digest", of(F.col("text_digest")).alias("licence"), F.size("_hits").cast("long").alias("n_lines"), F.array_join(F.array_sort(F.array_distinct("_hits")), ",").alias("line_licences"))
+    whole = F.broadcast(texts.withColumnRenamed("digest", "text_digest"))  # as many rows as KNOWN at most
+    return out.join(whole, "text_digest", "left").select("doc_id", "text_digest", "licence", F.size("_hits").cast("long").alias("n_lines"), F.array_join(F.array_sort(F.array_distinct("_hits")), ",").alias("line_licences"))
 
 
 def oracle_sql() -> str:

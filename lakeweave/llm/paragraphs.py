@@ -128,7 +128,8 @@ def repeated_passages(spark: SparkSession, docs: DataFrame, ws: Workspace, run_w
     """doc_id, start, end, words, first_doc_id of every run of sentences that other documents hold too."""
     kind = pa.schema([("doc_id", pa.int64()), ("seq", pa.int32()), ("start", pa.int32()), ("end", pa.int32()), ("words", pa.int32()), ("h", pa.int64())])
     rows = ws.save(map_slices(docs, ["doc_id", "text"], _sentences, kind, "doc_id long, seq int, start int, end int, words int, h long"))
-    shared = rows.groupBy("h").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).filter("lo < hi").select("h", "lo")
+    # Written, so that the join has a shuffle of its own that AQE can split where one sentence is hot.
+    shared = ws.save(rows.groupBy("h").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).filter("lo < hi").select("h", "lo"))
     hits = rows.join(shared, "h")
     run = F.col("seq") - F.row_number().over(Window.partitionBy("doc_id").orderBy("seq"))  # a document's own sentences
     runs = hits.withColumn("run", run).groupBy("doc_id", "run").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.sum("words").alias("words"), F.min("lo").alias("lo"), F.max("lo").alias("hi"))
