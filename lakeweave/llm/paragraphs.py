@@ -30,6 +30,8 @@ _SENTENCE = re.compile(r"[^.!?\n]+[.!?]*")
 
 
 class MinHash:
+    BLOCK = 8192
+
     def __init__(self, size: int = BANDS * ROWS, seed: int = 3) -> None:
         r = np.random.default_rng(seed)
         self._xor = r.integers(0, 2**63, size, np.uint64)[:, None]
@@ -37,9 +39,20 @@ class MinHash:
 
     def __call__(self, members: np.ndarray) -> np.ndarray:
         """The smallest 32 bits of each hash function, tagged with its number."""
-        low = np.full(len(self._tag), 2**64 - 1, np.uint64)
-        for at in range(0, len(members), 8192):
-            low = np.minimum(low, ((members[at : at + 8192] ^ self._xor) * np.uint64(0x9E3779B97F4A7C15)).min(1))
+        return self.many([members])[0]
+
+    def many(self, sets: list[np.ndarray]) -> np.ndarray:
+        """The minima of each of some sets that are not empty, in blocks of bounded size."""
+        low = np.full((len(sets), len(self._tag)), 2**64 - 1, np.uint64)
+        if not sets:
+            return low.astype(np.int64)
+        ends = np.cumsum([len(s) for s in sets])
+        starts, flat = ends - [len(s) for s in sets], np.concatenate(sets)
+        for at in range(0, len(flat), self.BLOCK):  # a set may lie in several blocks
+            to = min(at + self.BLOCK, len(flat))
+            i, j = np.searchsorted(ends, at, "right"), np.searchsorted(starts, to)
+            v = (flat[at:to] ^ self._xor) * np.uint64(0x9E3779B97F4A7C15)
+            low[i:j] = np.minimum(low[i:j], np.minimum.reduceat(v, np.maximum(starts[i:j] - at, 0), axis=1).T)
         return (mix(low) >> np.uint64(32)).astype(np.int64) | self._tag
 
 
@@ -55,13 +68,10 @@ def _paragraphs():
     names = ("doc_id", "para", "start", "end", "words", "n", "digest", "sketch")
 
     def run(ids: list, texts: list[str | None]) -> dict:
-        out: dict[str, list] = {k: [] for k in names}
-        for d, t in zip(ids, texts, strict=True):
-            for k, s, e, w in lines(t) if t else ():
-                m = sets(t[s:e])
-                for name, v in zip(names, (d, k, s, e, w, len(m), xxhash.xxh3_128_digest(m.tobytes()), minima(m)), strict=True):
-                    out[name].append(v)
-        return out
+        found = [(t[x[1] : x[2]], d, *x) for d, t in zip(ids, texts, strict=True) if t for x in lines(t)]
+        paragraphs, *columns = list(zip(*found, strict=True)) or [()] * 6
+        members = sets.many(paragraphs)
+        return dict(zip(names, (*columns, [len(m) for m in members], [xxhash.xxh3_128_digest(m.tobytes()) for m in members], list(minima.many(members))), strict=True))
 
     return run
 
@@ -73,10 +83,8 @@ def _members():
         out: dict[str, list] = {"id": [], "members": []}
         for t, rows in zip(texts, wanted, strict=True):
             own = {k: (s, e) for k, s, e, _ in lines(t or "")}
-            for r in rows:
-                s, e = own[r["para"]]
-                out["id"].append(r["id"])
-                out["members"].append(sets(t[s:e]).view(np.int64))
+            out["id"] += [r["id"] for r in rows]
+            out["members"] += [m.view(np.int64) for m in sets.many([t[slice(*own[r["para"]])] for r in rows])]
         return out
 
     return run

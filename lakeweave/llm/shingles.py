@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from itertools import chain
+
 import numpy as np
 
 from .common import WordHashes
 
 WORDS = 5
 _P = np.uint64(0x9E3779B97F4A7C15)
+_FIRST = np.ones(1, bool)
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -22,18 +25,50 @@ class Shingler:
     ASCII white space. Fewer words make one shingle of them all; no word or no
     text makes the empty set."""
 
+    TOGETHER = 1 << 18
+
     def __init__(self, words: int = WORDS) -> None:
         self.words, self.memo = words, WordHashes()
 
     def __call__(self, text: str | None) -> np.ndarray:
-        found = (text or "").encode("utf-8", "surrogatepass").lower().split()
-        n = len(found)
-        if not n:
-            return np.empty(0, np.uint64)
-        ids = np.fromiter(map(self.memo.__getitem__, found), np.uint64, n)
-        width = min(self.words, n)
-        total = n - width + 1
-        h = np.full(total, width, np.uint64)
-        for i in range(width):
-            h = h * _P + ids[i : i + total]
-        return np.unique(mix(h))
+        return self.many([text])[0]
+
+    def many(self, texts: list[str | None]) -> list[np.ndarray]:
+        """The set of each text. Texts are hashed together, so short ones cost little,
+        up to ``TOGETHER`` code points, so many long ones are never in memory as words."""
+        out: list[np.ndarray] = []
+        group: list[str | None] = []
+        size = 0
+        for t in texts:
+            group.append(t)
+            size += len(t or "")
+            if size >= self.TOGETHER:
+                out += self._sets(group)
+                group, size = [], 0
+        return out + self._sets(group)
+
+    def _sets(self, texts: list[str | None]) -> list[np.ndarray]:
+        found = [(t or "").encode("utf-8", "surrogatepass").lower().split() for t in texts]
+        n = np.array([len(f) for f in found], np.int64)
+        ids = np.fromiter(map(self.memo.__getitem__, chain.from_iterable(found)), np.uint64, int(n.sum()))
+        padded = np.concatenate((ids, np.zeros(self.words - 1, np.uint64)))
+        h = self._hash([padded[i : i + len(ids)] for i in range(self.words)])  # past the end of a text they are not read
+        out, at = [], 0
+        for k in n.tolist():
+            if k >= self.words:
+                own = np.sort(h[at : at + k - self.words + 1])
+                own = own[np.concatenate((_FIRST, own[1:] != own[:-1]))]
+            elif k:
+                own = self._hash(list(ids[at : at + k, None]))
+            else:
+                own = np.empty(0, np.uint64)
+            out.append(own)
+            at += k
+        return out
+
+    @staticmethod
+    def _hash(columns: list[np.ndarray]) -> np.ndarray:
+        h = np.full(len(columns[0]), len(columns), np.uint64)
+        for c in columns:
+            h = h * _P + c
+        return mix(h)
