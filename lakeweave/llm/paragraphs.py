@@ -9,24 +9,38 @@ sets and joined to components, without listing all pairs of a large group.
 A passage may also stand inside longer lines. Sentences that more than one
 document holds, in a row and of at least ``RUN_WORDS`` words together, make a
 repeated passage (equal sentences have a Jaccard similarity of 1).
+
+Passages that start or end in mid-sentence, or have no sentence end, are found by
+word windows. Of each ``WINDOW`` words in a row the ``GRAM`` words with the smallest
+hash are an anchor (winnowing), so equal windows have equal anchors wherever they
+stand. Only windows whose anchor more than one document holds are written and
+compared, and those that meet are joined to maximal runs: every run of at least
+``WINDOW`` words that two documents share is found.
 """
 
 from __future__ import annotations
 
 import re
+from itertools import chain
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import Workspace, among, map_slices, unique_docs
+from .common import Workspace, WordHashes, among, map_slices, unique_docs
 from .shingles import Shingler, mix
 from .similarity import link
 
 BANDS, ROWS, PERCENT, MIN_WORDS, RUN_WORDS = 8, 2, 75, 20, 30
+#: Words of a window that is compared, and of its anchor.
+WINDOW, GRAM = 50, 25
 _LINE = re.compile(r"[^\n]+")
 _SENTENCE = re.compile(r"[^.!?\n]+[.!?]*")
+_WORD = re.compile(r"[^ \t\n\r\x0b\x0c]+")
+_P = 0x9E3779B97F4A7C15
+_BACK = np.uint64(pow(_P, -1, 1 << 64))
 
 
 class MinHash:
@@ -144,13 +158,110 @@ def repeated_passages(spark: SparkSession, docs: DataFrame, ws: Workspace, run_w
     return runs.filter(F.col("words") >= run_words).select("doc_id", F.col("start").cast("long").alias("start"), F.col("end").cast("long").alias("end"), F.col("words").cast("long").alias("words"), F.when(F.col("hi") == F.col("doc_id"), F.col("doc_id")).otherwise(F.col("lo")).alias("first_doc_id"))
 
 
+def _slide(f: np.ufunc, x: np.ndarray, n: int) -> np.ndarray:
+    """``f`` over each ``n`` values in a row."""
+    size = 1
+    while 2 * size <= n:
+        x, size = f(x[:-size], x[size:]), 2 * size
+    return f(x[: len(x) - n + size], x[n - size :]) if size < n else x
+
+
+class Winnower:
+    """The windows of texts: words split at ASCII white space, lower-cased A-Z."""
+
+    TOGETHER = 1 << 18
+
+    def __init__(self) -> None:
+        self.memo = WordHashes()
+        self.forth = self.back = np.ones(1, np.uint64)
+
+    def __call__(self, texts: list[str | None]):
+        """(number of the text, first word, hash, anchor) of all windows, as arrays
+        for some texts at a time."""
+        at, size = 0, 0
+        for i, t in enumerate(texts):
+            size += len(t or "")
+            if size >= self.TOGETHER or i == len(texts) - 1:
+                yield self._windows(texts[at : i + 1], at)
+                at, size = i + 1, 0
+
+    def _windows(self, texts: list[str | None], first: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        found = [(t or "").encode("utf-8", "surrogatepass").lower().split() for t in texts]
+        n = np.array([len(f) for f in found], np.int64)
+        ids = np.fromiter(map(self.memo.__getitem__, chain.from_iterable(found)), np.uint64, int(n.sum()))
+        if len(ids) < WINDOW:
+            return (*[np.empty(0, np.int64)] * 2, *[np.empty(0, np.uint64)] * 2)
+        if len(self.forth) < len(ids):
+            self.forth, self.back = (np.cumprod(np.concatenate((np.ones(1, np.uint64), np.full(len(ids), p, np.uint64)))) for p in (np.uint64(_P), _BACK))
+        sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(ids * self.back[: len(ids)])))
+        gram = lambda k: mix((sums[k:] - sums[:-k]) * self.forth[: len(ids) - k + 1])
+        anchor = _slide(np.minimum, gram(GRAM), WINDOW - GRAM + 1)
+        ends = np.cumsum(n)
+        own = np.repeat(np.arange(len(n)), n)[: len(anchor)]
+        at = np.arange(len(anchor))
+        fits = np.flatnonzero(at + WINDOW <= ends[own])
+        return own[fits] + first, (at - (ends - n)[own])[fits], gram(WINDOW)[fits], anchor[fits]
+
+
+def _anchors():
+    windows = Winnower()
+
+    def run(ids: list, texts: list[str | None]) -> dict:
+        doc = np.array(ids, np.int64)
+        found = [pd.DataFrame({"doc_id": doc[own], "a": anchor.view(np.int64)}).drop_duplicates() for own, _, _, anchor in windows(texts)]
+        return {c: np.concatenate([f[c].to_numpy() for f in found]) if found else [] for c in ("doc_id", "a")}
+
+    return run
+
+
+def _windows():
+    windows = Winnower()
+
+    def run(ids: list, texts: list[str | None], anchors: list[list[int]]) -> dict:
+        out: dict[str, list] = {k: [np.empty(0, np.int64)] for k in ("doc_id", "pos", "start", "end", "h")}
+        for d, t, wanted in zip(ids, texts, anchors, strict=True):
+            spans = np.array([m.span() for m in _WORD.finditer(t or "")], np.int64).reshape(-1, 2)
+            for _, pos, h, anchor in windows([t]):
+                use = np.isin(anchor.view(np.int64), np.array(wanted, np.int64))
+                pos, h = pos[use], h[use]
+                for c, v in zip(out, (np.full(len(pos), d, np.int64), pos, spans[pos, 0], spans[pos + WINDOW - 1, 1], h.view(np.int64)), strict=True):
+                    out[c].append(v)
+        return {c: np.concatenate(v) for c, v in out.items()}
+
+    return run
+
+
+def repeated_windows(spark: SparkSession, docs: DataFrame, ws: Workspace) -> DataFrame:
+    """doc_id, start, end, words, first_doc_id of every run of windows that other
+    documents hold too, split where the first document changes. What is first
+    here has no words that a part next to it shares with an earlier document."""
+    two = lambda rows, key: ws.save(rows.groupBy(key).agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).filter("lo < hi").select(key, "lo"))
+    anchors = ws.save(map_slices(docs, ["doc_id", "text"], _anchors, pa.schema([("doc_id", pa.int64()), ("a", pa.int64())]), "doc_id long, a long"))
+    wanted = ws.save(anchors.join(two(anchors, "a"), "a", "left_semi").groupBy("doc_id").agg(F.collect_list("a").alias("wanted")))  # a document's own anchors
+    kind = pa.schema([(c, pa.int64()) for c in ("doc_id", "pos", "start", "end", "h")])
+    near = among(docs, wanted).join(wanted, "doc_id")
+    rows = ws.save(map_slices(near, ["doc_id", "text", "wanted"], _windows, kind, "doc_id long, pos long, start long, end long, h long"))
+    ws.drop(anchors, wanted)
+    hits = rows.join(two(rows, "h"), "h")
+    part = F.col("pos") - F.row_number().over(Window.partitionBy("doc_id", "lo").orderBy("pos"))  # a document's own windows
+    parts = hits.withColumn("part", part).groupBy("doc_id", "lo", "part").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.min("pos").alias("from"), (F.max("pos") + WINDOW).alias("to"))
+    order = Window.partitionBy("doc_id").orderBy("from")
+    here = F.col("lo") == F.col("doc_id")
+    left, right = (F.when(here, f(c).over(order)) for f, c in ((F.lag, "to"), (F.lead, "from")))
+    cut = parts.withColumn("left", left).withColumn("right", right).withColumn("left_end", F.lag("end").over(order)).withColumn("right_start", F.lead("start").over(order))
+    start = F.when(F.col("left") > F.col("from"), F.col("left_end")).otherwise(F.col("start"))
+    end = F.when(F.col("right") < F.col("to"), F.col("right_start")).otherwise(F.col("end"))
+    words = F.least("to", "right") - F.greatest("from", "left")
+    return cut.select("doc_id", start.alias("start"), end.alias("end"), words.alias("words"), F.col("lo").alias("first_doc_id")).filter("words > 0")
+
+
 def repeated(spark: SparkSession, docs: DataFrame) -> DataFrame:
     """doc_id, kind, start, end, n_words, first_doc_id, removed: one row for each
     paragraph or passage that other places hold too.
 
     ``kind`` is "paragraph" (a line that is like another line) or "passage" (a run
-    of sentences that another document holds); a repeated line of several sentences
-    can be both. ``start`` and ``end`` are code points, end exclusive.
+    of sentences, or of at least ``WINDOW`` words, that another document holds); a
+    place can be in several rows, and goes if one of them is removed. ``start`` and ``end`` are code points, end exclusive.
     ``first_doc_id`` is the document whose copy stays; ``removed`` is false for that
     copy alone. Null or empty texts have no row. Rows without a doc_id are left
     out; of rows that repeat one, the smallest text counts. Further columns are
@@ -159,7 +270,7 @@ def repeated(spark: SparkSession, docs: DataFrame) -> DataFrame:
     docs = unique_docs(docs.withColumn("doc_id", F.col("doc_id").cast("long")), "text")
     a = repeated_paragraphs(spark, docs, ws)
     a = a.withColumn("kind", F.lit("paragraph")).withColumn("removed", ~((F.col("doc_id") == F.col("first_doc_id")) & (F.col("start") == F.col("first_start"))))
-    b = repeated_passages(spark, docs, ws).withColumn("kind", F.lit("passage")).withColumn("removed", F.col("doc_id") != F.col("first_doc_id"))
+    b = repeated_passages(spark, docs, ws).unionByName(repeated_windows(spark, docs, ws)).distinct().withColumn("kind", F.lit("passage")).withColumn("removed", F.col("doc_id") != F.col("first_doc_id"))
     names = ["doc_id", "kind", "start", "end", F.col("words").alias("n_words"), "first_doc_id", "removed"]
     return a.select(*names).unionByName(b.select(*names))
 

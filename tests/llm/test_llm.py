@@ -331,6 +331,31 @@ def test_repeated_paragraphs_and_passages(spark, odd, none):
     assert {x["doc_id"] for x in rows(paragraphs.repeated(spark, odd)) if x["kind"] == "paragraph"} == set()
 
 
+def test_shared_runs_inside_lines(spark):
+    r = random.Random(6)
+    line = lambda n: " ".join(f"v{r.randint(0, 10**9)}" for _ in range(n))
+    runs = [line(n) for n in (50, 53, 64, 90, 200)]
+    stops = line(20) + ". " + line(30) + "? " + line(12)  # starts and ends in mid-sentence
+    broken = line(25) + "\n" + line(30)
+    texts, shared = [], [*runs, stops, broken]
+    for k, x in enumerate(shared):  # document k is the first to hold it
+        texts.append(line(40 + k) + " " + x + " " + line(33))
+    texts += [line(30) + " " + x + "  " + line(25 + k) + ". " + line(9) for k, x in enumerate(shared)]
+    texts += [line(49) + " " + line(60), line(70)]
+    short = line(49)
+    texts += [line(20) + " " + short + " " + line(20), line(30) + " " + short + " " + line(9)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = rows(paragraphs.repeated(spark, df))
+    n = len(shared)
+    for k, x in enumerate(shared):
+        for d, first in ((k, True), (k + n, False)):
+            at = texts[d].index(x)
+            assert (at, at + len(x), len(x.split()), k, not first) in {(y["start"], y["end"], y["n_words"], y["first_doc_id"], y["removed"]) for y in got if y["doc_id"] == d and y["kind"] == "passage"}
+    assert {y["doc_id"] for y in got} == set(range(2 * n))
+    cut = {y["doc_id"]: y["text"] for y in rows(paragraphs.remove_repeats(spark, df))}
+    assert all(cut[k] == texts[k] and x not in cut[k + n] for k, x in enumerate(shared))
+
+
 def test_pipeline(spark):
     docs = spark.read.parquet(f"{DATA}/documents.parquet")
     items = [r.text for r in spark.read.parquet(f"{DATA}/benchmark.parquet").collect()]
