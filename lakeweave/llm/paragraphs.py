@@ -147,15 +147,24 @@ def _sentences():
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, ws: Workspace, run_words: int = RUN_WORDS) -> DataFrame:
-    """doc_id, start, end, words, first_doc_id of every run of sentences that other documents hold too."""
+    """doc_id, start, end, words, first_doc_id of every run of sentences that other
+    documents hold too, split where a passage that earlier documents hold begins or ends."""
     kind = pa.schema([("doc_id", pa.int64()), ("seq", pa.int32()), ("start", pa.int32()), ("end", pa.int32()), ("words", pa.int32()), ("h", pa.int64())])
     rows = ws.save(map_slices(docs, ["doc_id", "text"], _sentences, kind, "doc_id long, seq int, start int, end int, words int, h long"))
     # Written, so that the join has a shuffle of its own that AQE can split where one sentence is hot.
     shared = ws.save(rows.groupBy("h").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).filter("lo < hi").select("h", "lo"))
     hits = rows.join(shared, "h")
     run = F.col("seq") - F.row_number().over(Window.partitionBy("doc_id").orderBy("seq"))  # a document's own sentences
-    runs = hits.withColumn("run", run).groupBy("doc_id", "run").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.sum("words").alias("words"), F.min("lo").alias("lo"), F.max("lo").alias("hi"))
-    return runs.filter(F.col("words") >= run_words).select("doc_id", F.col("start").cast("long").alias("start"), F.col("end").cast("long").alias("end"), F.col("words").cast("long").alias("words"), F.when(F.col("hi") == F.col("doc_id"), F.col("doc_id")).otherwise(F.col("lo")).alias("first_doc_id"))
+    hits = hits.withColumn("run", run).withColumn("here", F.col("lo") == F.col("doc_id"))
+    whole, holder = Window.partitionBy("doc_id", "run"), Window.partitionBy("doc_id", "run", "here").orderBy("seq")
+    hits = hits.withColumn("in_run", F.sum("words").over(whole)).filter(F.col("in_run") >= run_words).withColumn("part", F.col("seq") - F.row_number().over(holder))
+    parts = hits.groupBy("doc_id", "run", "here", "part").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.sum("words").alias("words"), F.min("lo").alias("lo"))
+    # Earlier documents hold a part if they hold a passage of it; a shorter one stays with its neighbours.
+    gone = ~F.col("here") & (F.col("words") >= run_words)
+    order = lambda *by: F.row_number().over(Window.partitionBy("doc_id", "run", *by).orderBy("start"))
+    parts = parts.withColumn("gone", gone).withColumn("block", order() - order("gone"))
+    runs = parts.groupBy("doc_id", "run", "gone", "block").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.sum("words").alias("words"), F.min("lo").alias("lo"))
+    return runs.select("doc_id", F.col("start").cast("long").alias("start"), F.col("end").cast("long").alias("end"), F.col("words").cast("long").alias("words"), F.when(F.col("gone"), F.col("lo")).otherwise(F.col("doc_id")).alias("first_doc_id"))
 
 
 def _slide(f: np.ufunc, x: np.ndarray, n: int) -> np.ndarray:

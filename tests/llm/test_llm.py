@@ -331,6 +331,18 @@ def test_repeated_paragraphs_and_passages(spark, odd, none):
     assert {x["doc_id"] for x in rows(paragraphs.repeated(spark, odd)) if x["kind"] == "paragraph"} == set()
 
 
+def test_passages_are_decided_part_by_part(spark):
+    r = random.Random(7)
+    text = lambda n, w=8: " ".join(" ".join(f"s{r.randint(0, 10**9)}" for _ in range(w)) + "." for _ in range(n))
+    old, new, yes = text(5), text(6), "Yes."  # 40 words: a passage, but no window
+    texts = {5: text(3) + " " + old, 6: yes + " " + text(2), 100: text(2) + " " + old + " " + yes + " " + new, 200: old + " " + yes + " " + new + " " + text(1)}
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    found = {(y["doc_id"], texts[y["doc_id"]][y["start"] : y["end"]].strip(), y["first_doc_id"], y["removed"]) for y in rows(paragraphs.repeated(spark, df))}
+    assert {(5, old, 5, False), (100, old + " " + yes, 5, True), (100, new, 100, False)} <= found
+    cut = {y["doc_id"]: y["text"] for y in rows(paragraphs.remove_repeats(spark, df))}
+    assert cut[5] == texts[5] and old not in cut[100] and new in cut[100] and old not in cut[200] and new not in cut[200]
+
+
 def test_shared_runs_inside_lines(spark):
     r = random.Random(6)
     line = lambda n: " ".join(f"v{r.randint(0, 10**9)}" for _ in range(n))
