@@ -24,6 +24,8 @@ from .shingles import Shingler
 from .similarity import link, union_estimate
 
 SKETCH, PERCENT, LEAST = 48, 75, 0.5
+#: Flips the highest bit, so that signed longs of a sketch are in the order of its unsigned hashes.
+FLIP = np.uint64(1 << 63)
 
 
 def _lists(sets: list[np.ndarray]) -> pa.ListArray:
@@ -38,7 +40,7 @@ def _sketched():
 
     def run(ids: list, texts: list[str | None]) -> dict:
         sets = [f(t) for t in texts]
-        return {"doc_id": ids, "n": [len(s) for s in sets], "digest": [xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None for s in sets], "sketch": _lists([s[:SKETCH] for s in sets])}
+        return {"doc_id": ids, "n": [len(s) for s in sets], "digest": [xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None for s in sets], "sketch": _lists([s[:SKETCH] ^ FLIP for s in sets])}
 
     return run
 

@@ -42,7 +42,8 @@ def sized(a: Column, b: Column, percent: int) -> Column:
 
 
 def union_estimate(a: Column, b: Column, k: int, least: float) -> Column:
-    """Share of the ``k`` smallest values of the union that both bottom-k sketches hold."""
+    """Do both bottom-k sketches hold at least the share ``least`` of the ``k`` smallest
+    values of their union? Sketches are the smallest values in the order of signed longs."""
     union = F.slice(F.array_sort(F.array_union(a, b)), 1, k)
     return F.size(F.array_intersect(F.array_intersect(a, b), union)) >= F.ceil(F.size(union) * F.lit(least))
 

@@ -305,6 +305,18 @@ def test_near_duplicates(spark, docs, odd, none):
         assert all(x["n_shingles"] == len(sets[x["doc_id"]]) and x["kept"] == (x["doc_id"] == x["component_id"]) for x in got)
 
 
+def test_near_duplicates_of_short_documents_at_the_threshold(spark):
+    r = random.Random(8)
+    word = lambda n: [f"u{r.randint(0, 10**9)}" for _ in range(n)]
+    texts = []
+    for k in range(320):  # a document and its beginning: 3/4 of its shingles, exactly
+        a = r.choice((51, 60, 66, 75, 78, 90, 96))
+        w = word(a // 3 * 4 + 4)
+        texts += [(2 * k, " ".join(w)), (2 * k + 1, " ".join(w[: a + 4]))]
+    got = {x["doc_id"]: x["component_id"] for x in rows(neardup.near_duplicates(spark, spark.createDataFrame(texts, "doc_id long, text string")))}
+    assert got == {d: d // 2 * 2 for d, _ in texts}
+
+
 def test_repeated_rows_and_null_ids(spark):
     df = spark.createDataFrame([(1, "a b c d e f"), (1, "a b c d e f"), (None, "a b c d e f"), (2, "a b c d e f")], "doc_id long, text string")
     assert sorted((r.doc_id, r.component_id) for r in neardup.near_duplicates(spark, df).collect()) == [(1, 1), (2, 1)]
