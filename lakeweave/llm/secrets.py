@@ -3,9 +3,11 @@
 For each format of labelled credentials a prefix tree is built and its states
 are merged where their outgoing frequencies are statistically compatible
 (Hoeffding bound), which gives a deterministic probabilistic automaton. Every
-candidate token is scored under each automaton against a background model of
-ordinary tokens; the best format whose log-likelihood ratio per symbol reaches
-the threshold makes a span. Base spans always stay.
+candidate is scored under each automaton against a background model of ordinary
+tokens; the likeliest format and end whose log-likelihood ratio per symbol reaches
+the threshold make a span. A candidate starts where a token does or after a
+separator in it, and ends before a separator or where the token does, so one in a
+URL, after ``key=`` or before a full stop is scored too. Base spans always stay.
 """
 
 from __future__ import annotations
@@ -14,6 +16,7 @@ import math
 import random
 import re
 from collections import Counter
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -25,9 +28,10 @@ ASSIGN = re.compile(r"(?:[pP][aA][sS][sS][wW][oO][rR][dD]|[pP][aA][sS][sS][wW][d
 # A run is maximal, so a run that is too short has no later start that is long enough.
 ACCESS = re.compile(r"AKIA[A-Z0-9]{12,}")
 HEX = re.compile(r"[0-9a-f]{32,}")
-#: Candidates: whole tokens of at least 16 symbols that hold a digit and are not one already found.
+#: Candidates lie in whole tokens, start there or after a separator, and have at least ``SHORTEST`` symbols.
 CANDIDATE = re.compile(r"(?<![A-Za-z0-9+/_.=-])[A-Za-z0-9+/_.=-]{16,}")
-DIGIT = re.compile(r"[0-9]")
+SEPARATOR = re.compile(r"[+/_.=-]")
+SHORTEST = 16
 BASE = ("assign", "access", "hex")
 
 _HEX, _UP, _LOW, _DIG = "0123456789abcdef", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz", "0123456789"
@@ -41,6 +45,8 @@ FORMATS = (
     ("web_token", "eyJ", _UP + _LOW + _DIG + "_-", (60, 120)),
     ("hex_key", "", _HEX, (32, 64)),
 )
+#: A signed token's header, payload and signature, with dots between them: literal start, lengths of the rest.
+SIGNED = (("eyJ", (15, 60)), ("eyJ", (20, 160)), ("", (43, 86)))
 SAMPLES, SEED = 120, 7
 LITERAL = 3  # symbols at the start that are kept as they are
 
@@ -48,7 +54,9 @@ LITERAL = 3  # symbols at the start that are kept as they are
 def labelled(n: int = SAMPLES, seed: int = SEED) -> dict[str, list[str]]:
     """``n`` labelled credentials of each format, always the same ones."""
     r = random.Random(seed)
-    return {name: [start + "".join(r.choices(alphabet, k=r.randint(*lengths))) for _ in range(n)] for name, start, alphabet, lengths in FORMATS}
+    out = {name: [start + "".join(r.choices(alphabet, k=r.randint(*lengths))) for _ in range(n)] for name, start, alphabet, lengths in FORMATS}
+    part = lambda start, lengths: start + "".join(r.choices(_UP + _LOW + _DIG + "_-", k=r.randint(*lengths)))
+    return out | {"signed_token": [".".join(part(*x) for x in SIGNED) for _ in range(n)]}
 
 
 def symbols(token: str) -> list[str]:
@@ -122,6 +130,21 @@ class Automaton:
         self.next = [{s: keep[t] for s, t in self.next[q].items()} for q in red]
         self._log = [{s: math.log(n / sum(c.values()) / _SIZE.get(s, 1)) for s, n in c.items()} for c in self.count]
 
+    def ends(self, token: str, classes: list[str], at: int, ends: set[int]) -> list[tuple[int, float]]:
+        """(end, log-likelihood) of the candidates from ``at`` that a path takes."""
+        q, total, out = 0, 0.0, []
+        for i in range(at, len(token) + 1):
+            log = self._log[q]
+            if i - at >= SHORTEST and i in ends and "$" in log:
+                out.append((i, total + log["$"]))
+            if i == len(token):
+                break
+            s = token[i] if i - at < LITERAL and not token[i].isdigit() else classes[i]
+            if s not in self.next[q]:
+                break
+            total, q = total + log[s], self.next[q][s]
+        return out
+
     def score(self, word: list[str]) -> float:
         """Log-likelihood of a word; minus infinity if no path takes it."""
         q, total = 0, 0.0
@@ -150,6 +173,15 @@ class Background:
             sums[a] += k
         self._log = {(a, b): math.log((pairs[a, b] + 1) / (sums[a] + 6) / {"-": 6}.get(b, _SIZE.get(b, 1))) for a in "^9fzA-" for b in "9fzA-$"}
 
+    def sums(self, token: str) -> tuple[list[str], list[float]]:
+        """Classes of the symbols, and the log-likelihood of all steps up to each one."""
+        c = [_CLASS.get(x, "-") for x in token]
+        return c, [0.0, *accumulate(self._log[p] for p in zip(c, c[1:], strict=False))]
+
+    def part(self, c: list[str], sums: list[float], start: int, end: int) -> float:
+        """``score`` of the symbols from ``start`` to ``end``."""
+        return self._log["^", c[start]] + sums[end - 1] - sums[start] + self._log[c[end - 1], "$"]
+
     def score(self, token: str) -> float:
         c = ["^", *(_CLASS.get(x, "-") for x in token), "$"]
         return sum(self._log[p] for p in zip(c, c[1:], strict=False))
@@ -168,6 +200,26 @@ class Formats:
         ratio = (score - floor) / (len(token) + 1)
         return (name, ratio) if ratio >= self.least else None
 
+    def spans(self, token: str) -> list[tuple[int, str, int]]:
+        """(start, format, end) of the credentials in a token; from each start the
+        format and the end with the largest log-likelihood ratio."""
+        cuts = [m.start() for m in SEPARATOR.finditer(token)]
+        starts, ends = [0, *(c + 1 for c in cuts)], {*cuts, len(token)}
+        classes, out, free = [_CLASS.get(c, c) for c in token], [], 0
+        back = None
+        for at in starts:
+            if at < free or len(token) - at < SHORTEST:
+                continue
+            found = [(e, k, score) for k, a in self.automata.items() for e, score in a.ends(token, classes, at, ends)]
+            if found:
+                back = back or self.background.sums(token)
+                ratios = ((score - self.background.part(*back, at, e), e, k) for e, k, score in found)
+                good = [x for x in ratios if x[0] / (x[1] - at + 1) >= self.least]
+                if good:
+                    _, free, name = max(good)
+                    out.append((at, name, free))
+        return out
+
 
 def base_spans(text: str) -> list[tuple[int, int, int]]:
     """(start, kind, end) of the base patterns, by start, then kind."""
@@ -181,8 +233,8 @@ def more_spans(text: str, formats: Formats, taken: list[tuple[int, int, int]]) -
     """(start, format, end) of candidates that no base span covers."""
     out = []
     for m in CANDIDATE.finditer(text):
-        if DIGIT.search(m.group()) and not any(s <= m.start() and m.end() <= e or m.start() <= s and e <= m.end() for s, _, e in taken) and (b := formats.best(m.group())):
-            out.append((m.start(), b[0], m.end()))
+        found = [(m.start() + a, k, m.start() + z) for a, k, z in formats.spans(m.group())]
+        out += [(a, k, z) for a, k, z in found if not any(s <= a and z <= e or a <= s and e <= z for s, _, e in taken)]
     return out
 
 

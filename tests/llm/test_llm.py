@@ -112,6 +112,24 @@ def test_secret_formats_by_likelihood():
         assert f.best(t) is None, t
 
 
+def test_secrets_beside_separators(spark):
+    f, r = secrets.Formats(), random.Random(9)
+    b64 = lambda n: "".join(r.choices("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789_-", k=n))
+    held, hit, total = secrets.labelled(20, seed=98), 0, 0
+    held["signed_token"] += ["eyJhbGciOiJIUzI1NiIsInR5cCI6IkpXVCJ9.eyJzdWIiOiIxMjM0NTY3ODkwIiwibmFtZSI6IkpvaG4gRG9lIiwiaWF0IjoxNTE2MjM5MDIyfQ.SflKxwRJSMeKKF2QT4fwpMeJf36POk6yJV_adQssw5c"]
+    held["signed_token"] += [f"eyJ{b64(33)}.eyJ{b64(300)}.{b64(342)}" for _ in range(5)]
+    for kind in ("forge_token", "pay_key", "signed_token", "cloud_temp"):
+        for t in held[kind]:
+            for before, after in (("see ", ". Then"), ("https://h/x?k=", "&y=1"), ("K=", ""), ("/etc/", "/x"), ("a.", ".b"), ("", "-")):
+                got = secrets.more_spans(before + t + after, f, [])
+                total += 1
+                hit += any(s <= len(before) and e >= len(before) + len(t) for s, _, e in got)
+    assert hit >= 0.95 * total, (hit, total)
+    assert secrets.more_spans("ghp_" + "aBcDeFgHiJkLmNoPqRsTuVwXyZaBcDeFgHiJ", f, [])  # no digit
+    for t in ("see https://example.org/docs/chapter12/section-345.html.", "lib/module_name.test-case.final-version.txt", "152.143.123.131-152.143.123.140"):
+        assert not secrets.more_spans(t, f, []), t
+
+
 def test_redact_leaves_the_rest(spark, odd):
     df = odd.union(spark.createDataFrame([(20, 'say token = "abcdefgh12345678" now', "en", "s", 1, True, 1)], SCHEMA))
     got = {r["doc_id"]: r for r in rows(secrets.redact(spark, df))}
