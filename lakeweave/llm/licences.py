@@ -2,13 +2,17 @@
 
 A text is normalised (case, copyright lines, equivalent spellings, punctuation,
 white space) and its SHA-256 is looked up among the digests of known licence
-texts. The same lookup runs for each line, which finds notices inside documents.
-Tables of known texts are a few dozen rows, fixed in this module, so they are
-broadcast.
+texts: the full public texts in ``licence_texts``, and notices. A lookup of each
+line among the notices finds those inside documents. Tables of known texts are
+some dozen rows, fixed in this folder, so they are broadcast; a caller can supply
+more texts and notices.
 """
 
 from __future__ import annotations
 
+import re
+from pathlib import Path
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -43,6 +47,27 @@ KNOWN = (
 )
 
 
+def full_texts() -> list[tuple[str, str]]:
+    """Licence id, text of the full licences in their usual forms: with and without
+    a title or numbered conditions, and without what follows the terms."""
+    out = []
+    for path in sorted((Path(__file__).parent / "licence_texts").glob("*.txt")):
+        name, text = path.stem, path.read_text("utf-8")
+        forms = [text]
+        if "END OF TERMS AND CONDITIONS" in text:
+            forms.append(text[: text.index("END OF TERMS AND CONDITIONS")])
+            forms.append(forms[-1] + "END OF TERMS AND CONDITIONS")
+        if name.startswith("BSD"):
+            numbers = iter("123")
+            forms.append(re.sub(r"(?m)^ *(?=Redistributions of|Redistributions in|Neither)", lambda m: next(numbers) + ". ", text))
+            forms += [f.replace("COPYRIGHT OWNER", "COPYRIGHT HOLDER") if "COPYRIGHT OWNER" in f else f.replace("COPYRIGHT HOLDER OR", "COPYRIGHT OWNER OR") for f in forms]
+            forms += [f"BSD {name[4]}-Clause License\n\n{f}" for f in forms]
+        if name == "0BSD":
+            forms += [f"{title}\n\n{text}" for title in ("BSD Zero Clause License", "Zero-Clause BSD")]
+        out += [(name, f) for f in forms]
+    return out
+
+
 def canonical(text: Column) -> Column:
     """Lower case; copyright lines, punctuation and extra spaces gone; one spelling."""
     t = F.regexp_replace(F.lower(text), "(?m)^[ \\t]*(copyright|\\(c\\)|©)[^\\n]*$", " ")
@@ -63,30 +88,31 @@ def digest(text: Column) -> Column:
     return F.sha2(canonical(text).cast("binary"), 256)
 
 
-def known(spark: SparkSession) -> DataFrame:
+def known(spark: SparkSession, texts: list[tuple[str, str]]) -> DataFrame:
     """digest, licence: one row for each known text."""
-    rows = spark.createDataFrame([(k, t) for k, t in KNOWN], "licence string, text string")
+    rows = spark.createDataFrame(texts, "licence string, text string")
     return rows.groupBy(digest(F.col("text")).alias("digest")).agg(F.min("licence").alias("licence"))
 
 
-def scan(spark: SparkSession, docs: DataFrame) -> DataFrame:
+def scan(spark: SparkSession, docs: DataFrame, more: list[tuple[str, str]] | None = None) -> DataFrame:
     """doc_id, text_digest, licence (of the entire text, else null), n_lines (lines
     that are known notices), line_licences (their ids, sorted, comma-joined) for
-    every row.
+    every row. ``more`` gives further licence ids and their texts or notices.
 
     A null or empty text has the digest of the empty text and no licence. Rows
     that repeat a doc_id or have none are scanned row by row. Further columns are
     ignored. An empty table gives no rows."""
-    texts = known(spark)
-    table = {r.digest: r.licence for r in texts.collect()}  # a fixed number of rows
+    notices = [*KNOWN, *(more or ())]
+    table = {r.digest: r.licence for r in known(spark, notices).collect()}  # a fixed number of rows
+    full = {r.digest: r.licence for r in known(spark, full_texts()).collect()} | table
     lookup = F.create_map(*[F.lit(x) for k, v in sorted(table.items()) for x in (k, v)])
     text = F.coalesce("text", F.lit(""))
     # Only lines no longer than the longest known notice can be one; the others need no digest.
-    most = max(len(t) for _, t in KNOWN) * 2
+    most = max(len(t) for _, t in notices) * 2
     lines = F.filter(F.split(text, "\n"), lambda x: F.length(x).between(1, most))
     hits = F.filter(F.transform(lines, lambda x: F.try_element_at(lookup, digest(x))), lambda x: x.isNotNull())
     out = docs.select(F.col("doc_id").cast("long").alias("doc_id"), digest(text).alias("text_digest"), hits.alias("_hits"))
-    whole = F.broadcast(texts.withColumnRenamed("digest", "text_digest"))  # as many rows as KNOWN at most
+    whole = F.broadcast(spark.createDataFrame(sorted(full.items()), "text_digest string, licence string"))  # as many rows as known texts
     return out.join(whole, "text_digest", "left").select("doc_id", "text_digest", "licence", F.size("_hits").cast("long").alias("n_lines"), F.array_join(F.array_sort(F.array_distinct("_hits")), ",").alias("line_licences"))
 
 

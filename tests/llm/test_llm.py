@@ -276,6 +276,18 @@ def test_licences(spark, odd, none):
     assert "Python" not in licences.scan(spark, df)._jdf.queryExecution().executedPlan().toString()
 
 
+def test_full_licence_texts(spark):
+    files = {f.stem: f.read_text() for f in (licences.Path(licences.__file__).parent / "licence_texts").glob("*.txt")}
+    assert {"Apache-2.0", "GPL-2.0", "GPL-3.0", "LGPL-2.1", "LGPL-3.0", "MPL-2.0", "BSD-2-Clause", "BSD-3-Clause", "CC0-1.0", "Unlicense", "0BSD"} <= set(files)
+    want = {i: n for i, n in enumerate(sorted(files))}
+    texts = [(i, "Copyright 2020 Some Body\n" + files[n].upper().replace("\n", "\n  ")) for i, n in want.items()]
+    texts += [(100, files["Apache-2.0"].split("   APPENDIX")[0]), (101, "BSD 3-Clause License\n\n" + files["BSD-3-Clause"]), (102, files["GPL-3.0"][:9000]), (103, "x\nLicensed under CC BY-NC 4.0.\ny")]
+    df = spark.createDataFrame(texts, "doc_id long, text string")
+    got = {r["doc_id"]: r for r in rows(licences.scan(spark, df, [("CC-BY-NC-4.0", "Licensed under CC BY-NC 4.0.")]))}
+    assert {d: r["licence"] for d, r in got.items()} == {**want, 100: "Apache-2.0", 101: "BSD-3-Clause", 102: None, 103: None}
+    assert got[103]["line_licences"] == "CC-BY-NC-4.0"
+
+
 def test_licences_equal_sql(spark, docs):
     c = duckdb.connect()
     c.execute(f"create view documents as select * from '{DATA}/documents.parquet'")
