@@ -127,7 +127,9 @@ def repeated_paragraphs(spark: SparkSession, docs: DataFrame, ws: Workspace) ->
     found = equal.join(label, "id", "left").filter("copies > 1 or component is not null").withColumn("component", F.coalesce("component", "id"))
     first = found.groupBy("component").agg(F.min(F.struct("doc_id", "start")).alias("f"))
     marks = found.select("digest", "component").join(first, "component").select("digest", F.col("f.doc_id").alias("first_doc_id"), F.col("f.start").alias("first_start"))
-    return base.select("doc_id", "start", "end", "words", "digest").join(marks, "digest").drop("digest")
+    out = ws.save(base.select("doc_id", "start", "end", "words", "digest").join(marks, "digest").drop("digest"))
+    ws.drop(base, equal, sets, lists)
+    return out
 
 
 def _sentences():
@@ -164,7 +166,9 @@ def repeated_passages(spark: SparkSession, docs: DataFrame, ws: Workspace, run_w
     order = lambda *by: F.row_number().over(Window.partitionBy("doc_id", "run", *by).orderBy("start"))
     parts = parts.withColumn("gone", gone).withColumn("block", order() - order("gone"))
     runs = parts.groupBy("doc_id", "run", "gone", "block").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.sum("words").alias("words"), F.min("lo").alias("lo"))
-    return runs.select("doc_id", F.col("start").cast("long").alias("start"), F.col("end").cast("long").alias("end"), F.col("words").cast("long").alias("words"), F.when(F.col("gone"), F.col("lo")).otherwise(F.col("doc_id")).alias("first_doc_id"))
+    out = ws.save(runs.select("doc_id", F.col("start").cast("long").alias("start"), F.col("end").cast("long").alias("end"), F.col("words").cast("long").alias("words"), F.when(F.col("gone"), F.col("lo")).otherwise(F.col("doc_id")).alias("first_doc_id")))
+    ws.drop(rows, shared)
+    return out
 
 
 def _slide(f: np.ufunc, x: np.ndarray, n: int) -> np.ndarray:
@@ -261,7 +265,9 @@ def repeated_windows(spark: SparkSession, docs: DataFrame, ws: Workspace) -> Dat
     start = F.when(F.col("left") > F.col("from"), F.col("left_end")).otherwise(F.col("start"))
     end = F.when(F.col("right") < F.col("to"), F.col("right_start")).otherwise(F.col("end"))
     words = F.least("to", "right") - F.greatest("from", "left")
-    return cut.select("doc_id", start.alias("start"), end.alias("end"), words.alias("words"), F.col("lo").alias("first_doc_id")).filter("words > 0")
+    out = ws.save(cut.select("doc_id", start.alias("start"), end.alias("end"), words.alias("words"), F.col("lo").alias("first_doc_id")).filter("words > 0"))
+    ws.drop(rows)
+    return out
 
 
 def repeated(spark: SparkSession, docs: DataFrame) -> DataFrame:
