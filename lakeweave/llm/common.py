@@ -7,35 +7,65 @@ writing a table into the shared folder that the cluster names in
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import tempfile
 import uuid
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Hashable, Iterator
+from contextlib import contextmanager
+from typing import TypeVar
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows that a Python worker turns into Python objects at a time.
-SLICE = 256
+#: Rows, and bytes of texts, that a Python worker turns into Python objects at a time; one row may have more.
+SLICE, SLICE_BYTES = 256, 4 << 20
+T = TypeVar("T")
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that the cluster names in ``spark.checkpoint.dir``. Only a local
+    session, as in tests, may go without: executors don't see each other's disks."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if base:
+        return base
+    if not spark.sparkContext.master.startswith("local["):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    return "file://" + tempfile.mkdtemp(prefix="lakeweave-")
+
+
+_SCOPES: list[list[Workspace]] = []
+
+
+@contextmanager
+def scratch() -> Iterator[None]:
+    """Deletes the tables that operators write inside of it. Use it where the result
+    of such an operator is written too, since results read these tables."""
+    _SCOPES.append([])
+    try:
+        yield
+    finally:
+        for ws in _SCOPES.pop():
+            ws.clear()
+
+
 class Workspace:
     """Tables of one operator run, in the cluster's shared checkpoint folder."""
 
     def __init__(self, spark: SparkSession) -> None:
         self.spark = spark
-        base = spark.conf.get("spark.checkpoint.dir", None)
-        if not base:  # only without a cluster, as in tests
-            base = "file://" + tempfile.mkdtemp(prefix="lakeweave-")
-        self.root = f"{base.rstrip('/')}/lakeweave-{uuid.uuid4().hex}"
+        self.root = f"{shared_folder(spark).rstrip('/')}/lakeweave-{uuid.uuid4().hex}"
         self._paths: dict[int, str] = {}
         self._count = 0
+        if _SCOPES:
+            _SCOPES[-1].append(self)
 
     def save(self, df: DataFrame) -> DataFrame:
         """Writes ``df`` and returns the written table."""
@@ -48,10 +78,17 @@ class Workspace:
 
     def drop(self, *tables: DataFrame) -> None:
         """Deletes written tables that no later plan reads."""
-        jvm = self.spark._jvm
         for t in tables:
-            path = jvm.org.apache.hadoop.fs.Path(self._paths.pop(id(t)))
-            path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+            self._delete(self._paths.pop(id(t)))
+
+    def clear(self) -> None:
+        """Deletes all tables."""
+        self._paths.clear()
+        self._delete(self.root)
+
+    def _delete(self, folder: str) -> None:
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def unique_docs(docs: DataFrame, *columns: str) -> DataFrame:
@@ -71,31 +108,106 @@ def unique_docs(docs: DataFrame, *columns: str) -> DataFrame:
     return out.select(*[cols[c].alias(c) for c in docs.columns])
 
 
+def cuts_of(batch: pa.RecordBatch) -> Iterator[tuple[int, int]]:
+    """(first row, rows) of parts of at most ``SLICE`` rows and ``SLICE_BYTES`` of
+    texts; a row that is larger is a part alone."""
+    size = np.zeros(batch.num_rows, np.int64)
+    for c in batch.columns:
+        if pa.types.is_string(c.type) or pa.types.is_binary(c.type) or pa.types.is_large_string(c.type):
+            size += pc.fill_null(pc.binary_length(c), 0).to_numpy(zero_copy_only=False)
+    ends, at = np.cumsum(size), 0
+    while at < batch.num_rows:
+        before = ends[at - 1] if at else 0
+        n = max(1, min(SLICE, int(np.searchsorted(ends, before + SLICE_BYTES, "right")) - at))
+        yield at, n
+        at += n
+
+
 def slices(batches: Iterator[pa.RecordBatch], *columns: str) -> Iterator[tuple[list, ...]]:
-    """The named columns as Python lists, a bounded number of rows at a time."""
+    """The named columns as Python lists, a bounded number of rows and bytes at a time."""
     for batch in batches:
-        for at in range(0, batch.num_rows, SLICE):
-            part = batch.slice(at, SLICE)
+        for at, n in cuts_of(batch):
+            part = batch.slice(at, n)
             yield tuple(part.column(part.schema.get_field_index(c)).to_pylist() for c in columns)
 
 
-def map_slices(df: DataFrame, columns: list[str], make: Callable[[], Callable[..., dict]], schema: pa.Schema, spark_schema: str) -> DataFrame:
+_KEPT: dict[Hashable, object] = {}
+
+
+def release() -> None:
+    """Gives memory that a worker no longer uses back to its machine. Workers live
+    longer than tasks, so what one stage has freed would add to the next one's."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library
+        pass
+
+
+def kept(key: Hashable, make: Callable[[], T]) -> T:
+    """What ``make`` gives, kept by this worker for later tasks with the same key; a
+    worker keeps one thing at a time."""
+    if key not in _KEPT:
+        if _KEPT:
+            _KEPT.clear()
+            release()
+        _KEPT[key] = make()
+    return _KEPT[key]
+
+
+def with_release(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], keep: bool = False) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """``run`` for mapInArrow, with the memory of earlier stages released before it
+    (not if it goes on with what is kept) and its own after it."""
+
+    def released(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        if _KEPT and not keep:
+            _KEPT.clear()
+            release()
+        yield from run(batches)
+        release()
+
+    return released
+
+
+def keep_rows(docs: DataFrame, column: str, make: Callable[[], Callable[[str | None], bool]]) -> DataFrame:
+    """The rows of ``docs`` for whose ``column`` the function that ``make`` gives is
+    true; all columns stay as they are."""
+    at = docs.columns.index(column)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ok = make()
+        for batch in batches:
+            for start, n in cuts_of(batch):
+                part = batch.slice(start, n)
+                yield part.filter(pa.array([ok(x) for x in part.column(at).to_pylist()], pa.bool_()))
+
+    return docs.mapInArrow(with_release(run), docs.schema)
+
+
+def map_slices(df: DataFrame, columns: list[str], make: Callable[[], Callable[..., dict]], schema: pa.Schema, spark_schema: str, keep: bool = False) -> DataFrame:
     """Runs ``make()`` once per task and its result on each slice of rows. The
-    result gives a dict of equally long lists or Arrow arrays."""
+    result gives a dict of equally long lists or Arrow arrays. If it has a method
+    ``end``, that gives the last rows. ``keep``: ``make`` goes on with what this worker keeps."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         f = make()
+
+        def batch(out: dict) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([x if isinstance(x, pa.Array) else pa.array(x, t) for x, t in ((out[n], schema.field(n).type) for n in schema.names)], schema=schema)
+
         for lists in slices(batches, *columns):
-            out = f(*lists)
-            yield pa.RecordBatch.from_arrays([x if isinstance(x, pa.Array) else pa.array(x, t) for x, t in ((out[n], schema.field(n).type) for n in schema.names)], schema=schema)
+            yield batch(f(*lists))
+        if hasattr(f, "end"):
+            yield batch(f.end())
 
-    return df.select(*columns).mapInArrow(run, spark_schema)
+    return df.select(*columns).mapInArrow(with_release(run, keep), spark_schema)
 
 
 class WordHashes(dict):
     """Memo of 64-bit hashes of words; emptied when it holds too many."""
 
-    LIMIT = 400_000
+    LIMIT = 200_000
 
     def __missing__(self, word: bytes) -> int:
         import xxhash
@@ -115,16 +227,9 @@ def among(docs: DataFrame, ids: DataFrame) -> DataFrame:
     a join that follows need not shuffle the texts of all documents. The filter is
     a bitmap of fixed size: more ids make it let more rows through, never fewer."""
     bit = F.pmod(F.xxhash64("doc_id"), F.lit(FILTER_BITS))
-    maps = ids.select(bit.alias("bit")).groupBy(F.expr("bit div 32768").alias("part")).agg(F.expr("bitmap_construct_agg(bit % 32768)").alias("bits")).collect()  # at most FILTER_BITS / 32768 rows of 4 KB
-    found = np.zeros(FILTER_BITS // 8, np.uint8)
-    for r in maps:
-        part = np.frombuffer(r.bits, np.uint8)
-        found[r.part * 4096 : r.part * 4096 + len(part)] = part
-    shared = docs.sparkSession.sparkContext.broadcast(found)
-
-    @F.pandas_udf("boolean")
-    def known(bits: pd.Series) -> pd.Series:
-        b = bits.to_numpy()
-        return pd.Series((shared.value[b >> 3] >> (b & 7).astype(np.uint8)) & 1 == 1)
-
-    return docs.filter(known(bit))
+    part = lambda b: (b / 32768).cast("int")
+    maps = ids.select(bit.alias("bit")).groupBy(part(F.col("bit")).alias("_part")).agg(F.expr("bitmap_construct_agg(bit % 32768)").alias("_bits"))  # at most FILTER_BITS / 32768 rows of 4 KB
+    place = (bit % 32768).cast("int")
+    byte: Column = F.conv(F.hex(F.substring("_bits", (place / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    known = docs.withColumn("_part", part(bit)).join(F.broadcast(maps), "_part")
+    return known.filter(F.getbit(byte, place % 8) == 1).select(docs.columns)

@@ -24,6 +24,8 @@ from .shingles import Shingler
 from .similarity import link, union_estimate
 
 SKETCH, PERCENT, LEAST = 48, 75, 0.5
+#: Texts with more than one in so many of all documents as copies are looked up by broadcast.
+HOT = 512
 #: Flips the highest bit, so that signed longs of a sketch are in the order of its unsigned hashes.
 FLIP = np.uint64(1 << 63)
 
@@ -85,10 +87,15 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, percent: int = PERCENT
 
     label = link(spark, sets, lists, fetch, percent, lambda a, b: union_estimate(a, b, SKETCH, LEAST), ws)
     # Only sets with a copy or a link can move a document.
-    moved = equal.join(label, "id", "left").filter("copies > 1 or component is not null").select("digest", F.coalesce("component", "id").alias("component"))
-    # Digests of many copies: their documents meet their set's label by doc_id, not in one task.
-    dup = base.filter("n > 0").select("doc_id", "digest").join(moved, "digest").select("doc_id", "component")
-    out = base.select("doc_id", F.col("n").alias("n_shingles")).join(dup, "doc_id", "left").withColumn("component_id", F.coalesce("component", "doc_id"))
+    moved = equal.join(label, "id", "left").filter("copies > 1 or component is not null").select("digest", F.coalesce("component", "id").alias("component"), "copies")
+    moved = ws.save(moved)
+    # A text with very many copies would be one key of the join: such digests, fewer than HOT, are sent to all tasks.
+    hot = F.col("copies") > max(1000, base.count() // HOT)
+    few, rest = moved.filter(hot).select("digest", F.col("component").alias("hot")), moved.filter(~hot).select(F.col("digest").alias("key"), "component")
+    own = base.select("doc_id", F.col("n").alias("n_shingles"), "digest").join(F.broadcast(few), "digest", "left")
+    alone = F.encode(F.concat(F.lit("longer than a digest: "), F.col("doc_id")), "utf-8")  # meets nothing, in no common place
+    out = own.withColumn("key", F.when(F.col("hot").isNull() & F.col("digest").isNotNull(), F.col("digest")).otherwise(alone)).join(rest, "key", "left")
+    out = out.withColumn("component_id", F.coalesce("hot", "component", "doc_id"))
     return out.select("doc_id", "n_shingles", "component_id", (F.col("component_id") == F.col("doc_id")).alias("kept"))
 
 

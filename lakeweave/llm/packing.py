@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import Workspace, map_slices
+from .common import Workspace, kept, map_slices
 from .tokens import TokenBytes, vocabulary
 
 CAPACITY = 2048
@@ -92,38 +92,50 @@ def _tokenised(path: str, capacity: int):
     def make():
         from pyspark import TaskContext
 
-        ids = TokenBytes(path)
+        of = kept(("token ids", path), lambda: TokenBytes(path)).of
         part = TaskContext.get().partitionId()
         seen = [0] * (capacity + 1)
 
         def run(doc_ids: list, texts: list[str | None]) -> dict:
-            out: dict[str, list] = {k: [] for k in ("doc_id", "piece", "start", "length", "ids_crc32", "part", "rank")}
-            for d, t in zip(doc_ids, texts, strict=True):
-                data = (ids.of(t) if t else b"") + END
-                for k, (s, n) in enumerate(cuts(len(data) // 4, capacity)):
-                    for c, v in zip(out, (d, k, s, n, zlib.crc32(data[4 * s : 4 * (s + n)]), part, seen[n]), strict=True):
-                        out[c].append(v)
-                    seen[n] += 1
-            return out
+            data = [of(t) + END if t else END for t in texts]
+            pieces = [cuts(len(x) // 4, capacity) for x in data]
+            flat = [p for own in pieces for p in own]
+            ranks = []
+            for _, n in flat:
+                ranks.append(seen[n])
+                seen[n] += 1
+            whole = zlib.crc32
+            return {
+                "doc_id": [d for d, own in zip(doc_ids, pieces, strict=True) for _ in own],
+                "piece": [k for own in pieces for k in range(len(own))],
+                "start": [s for s, _ in flat],
+                "length": [n for _, n in flat],
+                "ids_crc32": [whole(x) if len(own) == 1 else whole(memoryview(x)[4 * s : 4 * (s + n)]) for x, own in zip(data, pieces, strict=True) for s, n in own],
+                "part": [part] * len(flat),
+                "rank": ranks,
+            }
 
         return run
 
     return make
 
 
-def pack(spark: SparkSession, docs: DataFrame, vocabulary_path: str | None = None, capacity: int = CAPACITY, max_docs: int = 1024, max_cost: int | None = None, rule: str = "norm") -> DataFrame:
+def pack(spark: SparkSession, docs: DataFrame, vocabulary_path: str | None = None, capacity: int = CAPACITY, max_docs: int | None = None, max_cost: int | None = None, rule: str = "norm") -> DataFrame:
     """doc_id, piece, start, length, ids_crc32, sequence_id, offset of every piece.
 
     A null or empty text is one piece, the end id alone. Rows that repeat a doc_id
     or have none are packed row by row. Further columns are ignored. An empty
     table gives no rows. Every sequence holds at most ``capacity`` tokens,
-    ``max_docs`` pieces and ``max_cost`` (default: capacity squared) attention cost."""
+    ``max_docs`` pieces and ``max_cost`` attention cost. By default these two bind no
+    sequence that its tokens don't bind (a piece has a token at least, and squares of
+    parts add up to no more than the square of their sum): a tighter one would
+    need more sequences."""
     path, ws = vocabulary_path or vocabulary(), Workspace(spark)
     kinds = [("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64()), ("part", pa.int32()), ("rank", pa.int64())]
-    pieces = ws.save(map_slices(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), ["doc_id", "text"], _tokenised(path, capacity), pa.schema(kinds), "doc_id long, piece int, start long, length long, ids_crc32 long, part int, rank long"))
+    pieces = ws.save(map_slices(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), ["doc_id", "text"], _tokenised(path, capacity), pa.schema(kinds), "doc_id long, piece int, start long, length long, ids_crc32 long, part int, rank long", keep=True))
     tallies = ws.save(pieces.groupBy("length", "part").agg(F.count(F.lit(1)).alias("n")))
     counts = {r.length: r.n for r in tallies.groupBy("length").agg(F.sum("n").alias("n")).collect()}  # at most `capacity` rows
-    runs, _ = plan(counts, capacity, max_docs, max_cost or capacity * capacity, rule=rule)
+    runs, _ = plan(counts, capacity, max_docs or capacity, max_cost or capacity * capacity, rule=rule)
     before = tallies.withColumn("before", F.sum("n").over(Window.partitionBy("length").orderBy("part").rowsBetween(Window.unboundedPreceding, -1))).select("length", "part", F.coalesce("before", F.lit(0)).alias("before"))
     ranked = pieces.join(before, ["length", "part"]).withColumn("rank", F.col("rank") + F.col("before"))
     order = np.lexsort((runs[:, 1], runs[:, 0]))

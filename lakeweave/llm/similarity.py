@@ -73,15 +73,31 @@ def verified(pairs: DataFrame, sets: DataFrame, fetch: Callable[[DataFrame], Dat
     return out
 
 
-def components(links: DataFrame, ws: Workspace) -> DataFrame:
+def roots(step: DataFrame, ws: Workspace) -> tuple[DataFrame, int]:
+    """``step`` (x, to) followed to its end, in rounds that each double the way, and their number."""
+    rounds, moved = 0, True
+    while moved:
+        after = step.select(F.col("x").alias("to"), F.col("to").alias("then"))
+        new = ws.save(step.join(after, "to", "left").select("x", F.coalesce("then", "to").alias("to"), (F.coalesce("then", "to") != F.col("to")).alias("moved")))
+        moved = new.filter("moved").limit(1).count() > 0
+        ws.drop(step)
+        step, rounds = new, rounds + 1
+    return step, rounds
+
+
+def components(links: DataFrame, ws: Workspace, rounds: list[int] | None = None) -> DataFrame:
     """id, component (smallest id) of every linked id, by contraction: each id goes
-    over to its smallest neighbour, links follow, and links inside an id go, so a
+    over to its smallest neighbour, from there to that one's, and so on to the end
+    of the way, found by doubling; links follow, and links inside an id go, so a
     round works on what is left only. An id's old and new place stay linked until
-    they are one, because the link between them is carried along too."""
+    they are one, because the link between them is carried along too. ``rounds`` gets
+    the number of doublings of each contraction."""
     ways = ws.save(links.select(F.col("a").alias("x"), F.col("b").alias("y")).union(links.select(F.col("b").alias("x"), F.col("a").alias("y"))).distinct())
     label = ws.save(ways.select(F.col("x").alias("id"), F.col("x").alias("component")).distinct())
     while ways.limit(1).count():
-        step = ws.save(ways.groupBy("x").agg(F.min("y").alias("m")).select("x", F.least("x", "m").alias("to")))
+        step, n = roots(ws.save(ways.groupBy("x").agg(F.min("y").alias("m")).select("x", F.least("x", "m").alias("to"))), ws)
+        if rounds is not None:
+            rounds.append(n)
         left = ways.join(step, "x").select(F.col("to").alias("a"), "y").distinct()
         both = left.join(step.select(F.col("x").alias("y"), F.col("to").alias("b")), "y").select(F.col("a").alias("x"), F.col("b").alias("y"))
         rest = ws.save(both.filter("x != y").distinct())

@@ -1,11 +1,12 @@
 """Token counts: pieces are counted once per distinct pre-token and joined to
 the pre-token frequencies of each document; no ids of a text are ever built.
 
-Pass 1 counts pre-tokens over all documents (summed per slice of rows before the
-shuffle) and counts the pieces of each distinct one. The ``hot`` most frequent
-pre-tokens, at most ``HOT`` of at most ``HOT_BYTES`` bytes each, are the only
-ones that are broadcast: they would be the skewed keys of the join. Pass 2 sums
-the hot ones in place and joins all others by shuffle.
+Pass 1 counts pre-tokens over all documents (summed in each task before the
+shuffle, some ``TOGETHER`` distinct ones at a time) and counts the pieces of each
+distinct one. The ``hot`` most frequent pre-tokens, at most ``HOT`` of at most
+``HOT_BYTES`` bytes each, are the only ones that are broadcast: they would be the
+skewed keys of the join. Pass 2 sums the hot ones in place and joins all others by
+shuffle.
 """
 
 from __future__ import annotations
@@ -17,47 +18,73 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import Workspace, map_slices
-from .tokens import Chunks, PreTokens, vocabulary
+from .tokens import Chunks, Pieces, PreTokens, vocabulary
 
 #: The broadcast dictionary holds so many pre-tokens at most, of so many bytes each at most.
-HOT, HOT_BYTES = 40_000, 48
+HOT, HOT_BYTES = 80_000, 48
+#: Distinct chunks that a task counts before it hands on their pre-tokens.
+TOGETHER = 100_000
 
 
-def _frequencies(path: str):
-    def make():
-        cut = PreTokens(path)
-        memo = Chunks(cut, cut)
+class Frequencies:
+    """Sums the pre-tokens of the texts of a task."""
 
-        def run(texts: list[str | None]) -> dict:
-            total: Counter[str] = Counter()
-            parts: Counter[str] = Counter()
-            for t in texts:
-                if t:
-                    parts.update(memo.split(t))
-            for p, n in parts.items():
-                for x in memo[p]:
-                    total[x] += n
-            return {"piece": list(total), "n": list(total.values())}
+    def __init__(self, path: str) -> None:
+        self.cut = PreTokens(path)
+        self.split = Chunks(self.cut, self.cut).split
+        self.chunks: Counter[str] = Counter()
 
-        return run
+    def __call__(self, texts: list[str | None]) -> dict:
+        for t in texts:
+            if t:
+                self.chunks.update(self.split(t))
+        return self.end() if len(self.chunks) >= TOGETHER else {"piece": [], "n": []}
 
-    return make
+    def end(self) -> dict:
+        total: dict[str, int] = {}
+        get = total.get
+        for c, n in self.chunks.items():
+            for x in self.cut(c):
+                total[x] = get(x, 0) + n
+        self.chunks.clear()
+        return {"piece": list(total), "n": list(total.values())}
 
 
 def _pieces(path: str):
     def make():
-        from tokenizers import Tokenizer
-
-        encode = Tokenizer.from_file(path).encode_batch
+        special, ids = PreTokens(path).special, Pieces(path).ids
 
         def run(pieces: list[str], ns: list[int]) -> dict:
-            return {"piece": pieces, "n": ns, "tokens": [len(x.ids) for x in encode(pieces, add_special_tokens=False)]}
+            return {"piece": pieces, "n": ns, "tokens": [1 if p in special else len(ids(p)) for p in pieces]}
 
         return run
 
     return make
 
 
+class Lookup(dict):
+    """Tokens of a chunk's hot pre-tokens; ``rest`` has the other pre-tokens of
+    each chunk with any. Emptied when it holds too many."""
+
+    LIMIT = 250_000
+
+    def __init__(self, cut: PreTokens, hot: dict[str, int]) -> None:
+        self.cut, self.hot, self.rest = cut, hot, {}
+
+    def __missing__(self, chunk: str) -> int:
+        pieces = self.cut(chunk)
+        found = [self.hot.get(x, 0) for x in pieces]
+        if not all(found):
+            self.rest[chunk] = [x for x, c in zip(pieces, found, strict=True) if not c]
+        self[chunk] = n = sum(found)
+        return n
+
+    def tidy(self) -> None:
+        if len(self) > self.LIMIT:
+            self.clear()
+            self.rest.clear()
+
+
 def count_tokens(spark: SparkSession, docs: DataFrame, vocabulary_path: str | None = None, limit: int = 512, hot: int = HOT) -> DataFrame:
     """doc_id, n_bytes, n_tokens, over_limit for every row of ``docs``.
 
@@ -67,32 +94,30 @@ def count_tokens(spark: SparkSession, docs: DataFrame, vocabulary_path: str | No
     path = vocabulary_path or vocabulary()
     ws = Workspace(spark)
     docs = docs.select("doc_id", "text")
-    totals = map_slices(docs, ["text"], _frequencies(path), pa.schema([("piece", pa.string()), ("n", pa.int64())]), "piece string, n long")
+    totals = map_slices(docs, ["text"], lambda: Frequencies(path), pa.schema([("piece", pa.string()), ("n", pa.int64())]), "piece string, n long")
     distinct = totals.groupBy("piece").agg(F.sum("n").alias("n"))
     known = ws.save(map_slices(distinct, ["piece", "n"], _pieces(path), pa.schema([("piece", pa.string()), ("n", pa.int64()), ("tokens", pa.int64())]), "piece string, n long, tokens long"))
     rows = known.filter(F.octet_length("piece") <= HOT_BYTES).orderBy(F.desc("n"), "piece").limit(hot).collect()
     shared = spark.sparkContext.broadcast({r.piece: r.tokens for r in rows})
 
     def make():
-        cut, get = PreTokens(path), shared.value.get
-
-        def looked_up(chunk: str) -> tuple[int, list[str]]:
-            found = [(x, get(x, 0)) for x in cut(chunk)]
-            return sum(c for _, c in found), [x for x, c in found if not c]
-
-        memo = Chunks(cut, looked_up)
+        cut = PreTokens(path)
+        memo, split = Lookup(cut, shared.value), Chunks(cut, cut).split
 
         def run(ids: list, texts: list[str | None]) -> dict:
-            out: dict[str, list] = {"doc_id": [], "n_bytes": [], "hot": [], "rest": []}
-            for i, t in zip(ids, texts, strict=True):
+            sizes, hot, pieces, counts, ends = [], [], [], [], [0]
+            for t in texts:
                 t = t or ""
-                got = [memo[p] for p in memo.split(t)]
-                tokens, rest = sum(g[0] for g in got), [x for g in got if g[1] for x in g[1]]
-                out["doc_id"].append(i)
-                out["n_bytes"].append(len(t.encode("utf-8", "surrogatepass")))
-                out["hot"].append(tokens)
-                out["rest"].append([{"piece": p, "n": n} for p, n in Counter(rest).items()])
-            return out
+                chunks = split(t)
+                sizes.append(len(t.encode("utf-8", "surrogatepass")))
+                hot.append(sum(map(memo.__getitem__, chunks)))
+                rest = Counter(x for c in filter(memo.rest.__contains__, chunks) for x in memo.rest[c])
+                pieces += rest
+                counts += rest.values()
+                ends.append(len(pieces))
+                memo.tidy()
+            rows = pa.StructArray.from_arrays([pa.array(pieces, pa.string()), pa.array(counts, pa.int64())], ["piece", "n"])
+            return {"doc_id": ids, "n_bytes": sizes, "hot": hot, "rest": pa.ListArray.from_arrays(pa.array(ends, pa.int32()), rows)}
 
         return run
 

@@ -58,24 +58,33 @@ class Chunks(dict):
 
     The pre-tokeniser looks no further than the sign after a run of white space,
     and none of its pieces holds white space after another sign, so each chunk is
-    cut alone as it is in its text. Special strings are chunks of their own.
-    ``value`` maps a chunk to what is kept of it."""
+    cut alone as it is in its text. Special strings are chunks of their own. A stop
+    after a letter or number is a piece of its own too, so such a chunk is made up
+    of two others.
 
-    LIMIT, LONGEST = 300_000, 64
+    ``value`` maps a chunk to what is kept of it, which adds up with ``+`` and has a
+    length. The memo is bounded by bytes: when the newer half is full, it becomes the older one."""
+
+    BYTES, LONGEST, ENTRY = 48_000_000, 64, 170
 
     def __init__(self, cut: PreTokens, value) -> None:
         self.special, self.value = cut.special_pattern, value
         self.find = re.compile(f"[{_WHITE}]*[^{_WHITE}]+|[{_WHITE}]+").findall
         self.before: dict = {}  # what the memo held when it was last full
+        self.size = 0
 
     def __missing__(self, chunk: str):
         v = self.before.get(chunk)
         if v is None:
-            v = self.value(chunk)
+            if len(chunk) > 2 and chunk[-1] in ".,;:!?" and chunk[-2].isalnum() and not (self.special and self.special.search(chunk)):
+                v = self[chunk[:-1]] + self[chunk[-1]]
+            else:
+                v = self.value(chunk)
         if len(chunk) <= self.LONGEST:
-            if len(self) >= self.LIMIT:
-                self.before = dict(self)
+            if self.size >= self.BYTES:
+                self.before, self.size = dict(self), 0
                 self.clear()
+            self.size += self.ENTRY + 4 * len(chunk) + len(v)
             self[chunk] = v
         return v
 
@@ -92,17 +101,48 @@ class Chunks(dict):
         return out + self.find(text[at:])
 
 
-class TokenBytes:
-    """Ids of texts as little-endian unsigned 32-bit bytes."""
+def _byte_signs() -> dict[int, int]:
+    """The printable sign that stands for each byte in a byte-level vocabulary:
+    printable bytes stand for themselves, the others are numbered on from 256."""
+    plain = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    other = (b for b in range(256) if b not in plain)
+    return {b: b for b in plain} | {b: 256 + i for i, b in enumerate(other)}
+
+
+class Pieces:
+    """Token ids of one pre-token, by the library's own model. Letters that newer
+    versions of Unicode may class otherwise go through all of the library instead."""
+
+    LAST = "\u024f"  # end of the Latin blocks
 
     def __init__(self, path: str) -> None:
         from tokenizers import Tokenizer
 
-        self._encode = Tokenizer.from_file(path).encode
-        self._memo = Chunks(PreTokens(path), self._ids)
+        tokenizer = Tokenizer.from_file(path)
+        self.encode, self.tokenize, self.signs = tokenizer.encode, tokenizer.model.tokenize, _byte_signs()
+
+    def ids(self, piece: str) -> list[int]:
+        if max(piece) > self.LAST:
+            return self.encode(piece, add_special_tokens=False).ids
+        signs = piece.encode().decode("latin-1").translate(self.signs)
+        return [t.id for t in self.tokenize(signs)]
+
+
+class TokenBytes:
+    """Ids of texts as little-endian unsigned 32-bit bytes."""
+
+    def __init__(self, path: str) -> None:
+        self._cut, self._pieces = PreTokens(path), Pieces(path)
+        self._memo = Chunks(self._cut, self._ids)
 
     def _ids(self, chunk: str) -> bytes:
-        ids = self._encode(chunk, add_special_tokens=False).ids
+        special = self._cut.special
+        if chunk in special:
+            ids = [special[chunk]]
+        elif max(chunk) > Pieces.LAST:
+            ids = self._pieces.encode(chunk, add_special_tokens=False).ids
+        else:
+            ids = [i for p in self._cut(chunk) for i in self._pieces.ids(p)]
         return struct.pack(f"<{len(ids)}I", *ids)
 
     def of(self, text: str) -> bytes:
