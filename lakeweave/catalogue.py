@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from .operators import analytics, blocks, joins, keyvalue, listing, manifests, queues, scans, statistics, streams, tables  # noqa: F401
+from .operators import analytics, blocks, catalog, commands, delivery, jobs, joins, keyvalue, lake, listing, manifests, objects, queues, reports, scans, statistics, streams, tables  # noqa: F401
 from .registry import ORACLES, QUERIES, Query
 from .sources import files  # noqa: F401
 

@@ -8,10 +8,32 @@ from pyspark.sql import functions as F
 from ..registry import query, table
 
 
-@query("SELECT o_orderkey, c_name FROM orders JOIN customer ON o_custkey = c_custkey WHERE o_orderkey < 500")
+@query("SELECT o_orderkey, c_name FROM orders JOIN customer ON o_custkey = c_custkey")
 def join_inner(spark: SparkSession, d: str) -> DataFrame:
     o, c = table(spark, d, "orders"), table(spark, d, "customer")
-    return o.filter("o_orderkey < 500").join(c, o.o_custkey == c.c_custkey).select("o_orderkey", "c_name")
+    return o.join(c, o.o_custkey == c.c_custkey).select("o_orderkey", "c_name")
+
+
+_OFFSETS = "(SELECT event_id, user_id % 100 AS conv_id, event_id % 1500 AS off FROM events)"
+_FRAMES = """(SELECT conv_id, turn, sum(length(text)) OVER (PARTITION BY conv_id ORDER BY turn) - length(text) AS lo, sum(length(text)) OVER (PARTITION BY conv_id ORDER BY turn) AS hi FROM conversations)"""
+
+
+@query(f"SELECT event_id, turn, (off - lo)::BIGINT AS inside FROM {_OFFSETS} o JOIN {_FRAMES} f ON f.conv_id = o.conv_id AND off >= lo AND off < hi")
+def range_join(spark: SparkSession, d: str) -> DataFrame:
+    """Each offset meets the frame that holds it (JN10)."""
+    n = F.length("text").cast("bigint")
+    hi = F.sum(n).over(Window.partitionBy("conv_id").orderBy("turn"))
+    frames = table(spark, d, "conversations").select("conv_id", "turn", (hi - n).alias("lo"), hi.alias("hi"))
+    offsets = table(spark, d, "events").select("event_id", (F.col("user_id") % 100).alias("conv_id"), (F.col("event_id") % 1500).alias("off"))
+    return contained(offsets, frames, "conv_id", 256).select("event_id", "turn", (F.col("off") - F.col("lo")).alias("inside"))
+
+
+def contained(points: DataFrame, ranges: DataFrame, key: str, step: int) -> DataFrame:
+    """Points (``off``) with the ranges (``lo``, ``hi``) of the same key that hold them. Both
+    are cut into cells of ``step``, so the join is on equal values and hot keys are spread."""
+    cell = lambda c: F.floor(c / step)
+    cells = ranges.filter("hi > lo").withColumn("cell", F.explode(F.sequence(cell(F.col("lo")), cell(F.col("hi") - 1))))
+    return points.withColumn("cell", cell(F.col("off"))).join(cells, [key, "cell"]).filter("off >= lo and off < hi").drop("cell")
 
 
 @query("SELECT c_custkey, count(o_orderkey) AS n FROM customer LEFT JOIN orders ON o_custkey = c_custkey GROUP BY c_custkey")

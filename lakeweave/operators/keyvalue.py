@@ -112,9 +112,9 @@ def delete_many(spark: SparkSession, d: str) -> DataFrame:
     return marked.agg(F.count_if(F.col("quality").isNull()).alias("survivors"), F.count_if(F.col("quality") == 1).alias("deleted"))
 
 
-@query("SELECT o_orderkey AS file_id FROM orders WHERE o_orderkey < 100 UNION ALL SELECT unnest([o_orderkey + 100000, o_orderkey + 200000]) FROM orders WHERE o_orderkey < 100")
+@query("SELECT o_orderkey AS file_id FROM orders UNION ALL SELECT unnest([o_orderkey + 100000, o_orderkey + 200000]) FROM orders")
 def dead_files(spark: SparkSession, d: str) -> DataFrame:
-    o = table(spark, d, "orders").filter("o_orderkey < 100").select("o_orderkey")
+    o = table(spark, d, "orders").select("o_orderkey")
     return o.select(F.explode(F.array("o_orderkey", F.col("o_orderkey") + 100_000, F.col("o_orderkey") + 200_000)).alias("file_id"))
 
 
@@ -202,9 +202,9 @@ def guarded_delete(spark: SparkSession, d: str) -> DataFrame:
     return docs.join(table(spark, d, "labels").select("doc_id", F.col("quality").cast("bigint").alias("version")), ["doc_id", "version"], "left_anti").select("doc_id")
 
 
-@query("SELECT o_orderkey, l.quality IS NOT NULL AS matched, CASE WHEN l.quality IS NULL THEN 'abandon' WHEN o_orderkey % 5 = 0 THEN 'dead' ELSE 'commit' END AS action FROM orders LEFT JOIN labels l ON doc_id = o_orderkey WHERE o_orderkey < 800")
+@query("SELECT o_orderkey, l.quality IS NOT NULL AS matched, CASE WHEN l.quality IS NULL THEN 'abandon' WHEN o_orderkey % 5 = 0 THEN 'dead' ELSE 'commit' END AS action FROM orders LEFT JOIN labels l ON doc_id = o_orderkey")
 def outbox_commit(spark: SparkSession, d: str) -> DataFrame:
     tokens = table(spark, d, "labels").select(F.col("doc_id").alias("o_orderkey"), "quality")
-    rows = table(spark, d, "orders").filter("o_orderkey < 800").select("o_orderkey").join(tokens, "o_orderkey", "left")
+    rows = table(spark, d, "orders").select("o_orderkey").join(tokens, "o_orderkey", "left")
     hit = F.col("quality").isNotNull()
     return rows.select("o_orderkey", hit.alias("matched"), F.when(~hit, "abandon").when(F.col("o_orderkey") % 5 == 0, "dead").otherwise("commit").alias("action"))

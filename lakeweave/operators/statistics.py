@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..registry import query, table
+from .tables import folder
 
 
 @query("SELECT event_type, list_sort(list(value))[least(count(*) - 1, (count(*) * 0.95)::BIGINT - CASE WHEN (count(*) * 0.95)::BIGINT > count(*) * 0.95 THEN 1 ELSE 0 END) + 1] AS p95 FROM events GROUP BY event_type")
@@ -14,14 +17,33 @@ def latency_pct(spark: SparkSession, d: str) -> DataFrame:
 
 
 def nearest_rank(rows: DataFrame, group: str, value: str, q: float) -> DataFrame:
-    """The value at place min(n - 1, int(q n)) of each group: by counts of distinct
-    values, so a group is never collected."""
-    counts = rows.groupBy(group, value).agg(F.count(F.lit(1)).alias("c"))
-    w = Window.partitionBy(group).orderBy(value)
-    n = F.sum("c").over(Window.partitionBy(group))
-    below = F.sum("c").over(w)
-    place = F.least(n - 1, F.floor(n * F.lit(q).cast("decimal(4,3)")))
-    return counts.withColumn("hit", (below > place) & (below - F.col("c") <= place)).filter("hit").select(group, F.col(value).alias("at_rank"))
+    """The value at place min(n - 1, int(q n)) of each group."""
+    places = lambda n: [F.least(n - 1, F.floor(n * F.lit(q).cast("decimal(4,3)")))]
+    return ranked(rows, group, value, places).select(group, F.col("value").alias("at_rank"))
+
+
+def ranked(rows: DataFrame, group: str, value: str, places: Callable[[Column], list[Column]], slices: int = 64) -> DataFrame:
+    """group, which, value: the values at some places (from 0, given the number n of
+    rows) of each group in order. A group is cut into slices at approximate quantiles,
+    which are counted exactly; only the slices that hold a place are sorted, so no
+    group, however large, is ever in one task. The cuts are written, as they must be
+    the same wherever they are used."""
+    spark = rows.sparkSession
+    counts = rows.filter(F.col(value).isNotNull()).groupBy(group, value).agg(F.count(F.lit(1)).alias("c"))
+    path = f"{folder(spark)}/cuts"
+    at = [k / slices for k in range(1, slices)]
+    rows.filter(F.col(value).isNotNull()).groupBy(group).agg(F.percentile_approx(value, at, 1000).alias("cuts"), F.count(F.lit(1)).alias("n")).write.parquet(path)
+    cut = counts.join(spark.read.parquet(path), group)
+    cut = cut.withColumn("slice", F.size(F.filter("cuts", lambda x: x < F.col(value)))).select(group, value, "c", "n", "slice")
+    sums = cut.groupBy(group, "slice").agg(F.sum("c").alias("s"), F.first("n").alias("n"))
+    before = F.sum("s").over(Window.partitionBy(group).orderBy("slice")) - F.col("s")  # as many rows as slices
+    asked = [F.struct(F.lit(i).alias("which"), p.cast("long").alias("place")) for i, p in enumerate(places(F.col("n")))]
+    here = F.filter(F.array(*asked), lambda x: (x["place"] >= F.col("before")) & (x["place"] < F.col("before") + F.col("s")))
+    held = sums.withColumn("before", before).withColumn("places", here).filter(F.size("places") > 0).select(group, "slice", "before", "places")
+    some = cut.join(held, [group, "slice"])
+    end = F.col("before") + F.sum("c").over(Window.partitionBy(group, "slice").orderBy(value))
+    hit = F.filter("places", lambda x: (x["place"] < F.col("end")) & (x["place"] >= F.col("end") - F.col("c")))
+    return some.withColumn("end", end).select(group, F.explode(hit).alias("x"), F.col(value).alias("value")).select(group, "x.which", "value")
 
 
 @query("SELECT event_type, b AS le, count(*) FILTER (value <= b) AS n FROM events CROSS JOIN (VALUES (1), (2), (5), (10), (25), (50), (100), (250), (500), (1000)) v(b) GROUP BY ALL")
@@ -33,7 +55,18 @@ def latency_hist(spark: SparkSession, d: str) -> DataFrame:
 
 @query("SELECT event_type, round(quantile_cont(value, 0.5), 6) AS p50, round(quantile_cont(value, 0.9), 6) AS p90, round(quantile_cont(value, 0.99), 6) AS p99 FROM events GROUP BY event_type")
 def pool_pct(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "events").groupBy("event_type").agg(*[F.round(F.percentile("value", q), 6).alias(f"p{int(q * 100)}") for q in (0.5, 0.9, 0.99)])
+    return interpolated(table(spark, d, "events"), "event_type", "value", {"p50": 0.5, "p90": 0.9, "p99": 0.99})
+
+
+def interpolated(rows: DataFrame, group: str, value: str, shares: dict[str, float]) -> DataFrame:
+    """Percentiles of each group, interpolated between the two values around their place."""
+    place = lambda n, q: (n - 1) * F.lit(q)
+    around = ranked(rows, group, value, lambda n: [f(place(n, q)) for q in shares.values() for f in (F.floor, F.ceil)])
+    found = around.groupBy(group).agg(*[F.max(F.when(F.col("which") == i, F.col("value"))).alias(f"v{i}") for i in range(2 * len(shares))])  # a few rows each
+    n = rows.filter(F.col(value).isNotNull()).groupBy(group).agg(F.count(F.lit(1)).alias("n"))
+    part = lambda q: place(F.col("n"), q) - F.floor(place(F.col("n"), q))
+    between = lambda i, q: F.col(f"v{2 * i}") + (F.col(f"v{2 * i + 1}") - F.col(f"v{2 * i}")) * part(q)
+    return found.join(n, group).select(group, *[F.round(between(i, q), 6).alias(name) for i, (name, q) in enumerate(shares.items())])
 
 
 @query("SELECT user_id, count(*) AS n, round(min(value), 6) AS lo, round(median(value), 6) AS med, round(max(value), 6) AS hi FROM events GROUP BY user_id")

@@ -69,9 +69,9 @@ def cursors(batches: DataFrame) -> DataFrame:
     return batches.groupBy("consumer").agg(F.coalesce(F.min(F.when(~F.col("acked"), F.col("tick"))) - 1, F.max("tick")).alias("cursor"))
 
 
-@query("SELECT o_orderkey AS tick, o_orderkey % 4 AS member FROM orders WHERE o_orderkey < 1000")
+@query("SELECT o_orderkey AS tick, o_orderkey % 4 AS member FROM orders")
 def coop_assign(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "orders").filter("o_orderkey < 1000").select(F.col("o_orderkey").alias("tick"), F.pmod("o_orderkey", F.lit(4)).alias("member"))
+    return table(spark, d, "orders").select(F.col("o_orderkey").alias("tick"), F.pmod("o_orderkey", F.lit(4)).alias("member"))
 
 
 _NACK = "(SELECT event_id, event_id % 8 + 1 AS next_retry, ts FROM events WHERE event_type = 'error')"

@@ -14,45 +14,86 @@ from .scans import digest
 
 def folder(spark: SparkSession) -> str:
     """A new folder that all executors share: under the cluster's checkpoint folder, where it names one."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="lakeweave-")
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        base = "file://" + tempfile.mkdtemp(prefix="lakeweave-")
     return f"{base.rstrip('/')}/lakeweave-{uuid.uuid4().hex}"
 
 
 class Versions:
-    """A table as versions. A version is a set of immutable folders; older ones stay readable."""
+    """A table as versions. A version is a set of immutable folders, listed in a stored
+    manifest; older ones stay readable. Each manifest is written once, under its
+    number: of two writers that make the same version one fails."""
 
     def __init__(self, spark: SparkSession, root: str | None = None) -> None:
         self.spark, self.root = spark, root or folder(spark)
         self.versions: list[tuple[str, ...]] = [()]
         self._n = 0
 
+    @classmethod
+    def open(cls, spark: SparkSession, root: str) -> Versions:
+        """The table as its manifests tell, whoever wrote it."""
+        t = cls(spark, root)
+        rows = spark.read.parquet(f"{root}/versions/*").collect()  # one row for each folder of each version
+        paths: dict[int, list[str]] = {}
+        for r in sorted(rows, key=lambda r: (r.version, r.place)):
+            paths.setdefault(r.version, []).append(r.path)
+        t.versions += [tuple(paths[v]) for v in sorted(paths)]
+        t._n = len({p for v in t.versions for p in v})
+        return t
+
     def _write(self, df: DataFrame, **options: str) -> str:
-        path = f"{self.root}/data-{self._n}"
+        path = f"{self.root}/data-{self._n}-{uuid.uuid4().hex[:8]}"
         self._n += 1
         df.write.options(**options).parquet(path)
         return path
 
+    def _publish(self, paths: tuple[str, ...], operation: str) -> int:
+        version = len(self.versions)
+        rows = [(version, i, p, operation) for i, p in enumerate(paths)]
+        self.spark.createDataFrame(rows, "version int, place int, path string, operation string").coalesce(1).write.parquet(f"{self.root}/versions/{version:08d}")
+        self.versions.append(paths)
+        return version
+
     def append(self, df: DataFrame, **options: str) -> int:
-        self.versions.append((*self.versions[-1], self._write(df, **options)))
-        return len(self.versions) - 1
+        return self._publish((*self.versions[-1], self._write(df, **options)), "append")
+
+    def replace(self, df: DataFrame, operation: str = "replace", **options: str) -> int:
+        return self._publish((self._write(df, **options),), operation)
+
+    def snapshots(self) -> DataFrame:
+        """version, operation, folders of every version, by the stored manifests."""
+        return self.spark.read.parquet(f"{self.root}/versions/*").groupBy("version", "operation").agg(F.count(F.lit(1)).alias("folders"))
+
+    def files(self, version: int = -1) -> DataFrame:
+        """path, size, rows of a version's data files."""
+        rows = self.read(version).select("_metadata.file_path", "_metadata.file_size")
+        return rows.groupBy(F.col("file_path").alias("path")).agg(F.first("file_size").alias("size"), F.count(F.lit(1)).alias("rows"))
 
-    def replace(self, df: DataFrame, **options: str) -> int:
-        self.versions.append((self._write(df, **options),))
-        return len(self.versions) - 1
+    def rename(self, old: str, new: str) -> int:
+        return self.replace(self.read().withColumnRenamed(old, new), "rename")
+
+    def drop(self, column: str) -> int:
+        return self.replace(self.read().drop(column), "drop")
+
+    def add(self, column: str, default: Column) -> int:
+        return self.replace(self.read().withColumn(column, default), "add")
 
     def read(self, version: int = -1) -> DataFrame:
         return self.spark.read.option("mergeSchema", "true").parquet(*self.versions[version])
 
     def update(self, where: Column, **values: Column) -> int:
         df = self.read()
-        return self.replace(df.select(*[F.when(where, values[c]).otherwise(F.col(c)).alias(c) if c in values else F.col(c) for c in df.columns]))
+        return self.replace(df.select(*[F.when(where, values[c]).otherwise(F.col(c)).alias(c) if c in values else F.col(c) for c in df.columns]), "update")
 
     def delete(self, where: Column) -> int:
-        return self.replace(self.read().filter(~F.coalesce(where, F.lit(False))))
+        return self.replace(self.read().filter(~F.coalesce(where, F.lit(False))), "delete")
 
     def compact(self, files: int, *order: str) -> int:
         df = self.read()
-        return self.replace(df.repartitionByRange(files, *order).sortWithinPartitions(*order) if order else df.coalesce(files))
+        return self.replace(df.repartitionByRange(files, *order).sortWithinPartitions(*order) if order else df.coalesce(files), "compact")
 
     def manifest(self) -> DataFrame:
         return self.spark.createDataFrame([(v, p) for v, paths in enumerate(self.versions) for p in paths], "version int, path string")
@@ -127,11 +168,17 @@ def parquet_roundtrip(spark: SparkSession, d: str) -> DataFrame:
     return digest(t.read(), "doc_id", "text")
 
 
-@query()
+@query("SELECT 1::BIGINT AS orphans, 0::BIGINT AS missing")
 def orphan_files(spark: SparkSession, d: str) -> DataFrame:
-    """Folders that are stored and that the last version doesn't name."""
+    """Folders that are stored and that the last version doesn't name, and the other way round (LK5, SO7)."""
     t = Versions(spark)
-    t.append(_base(spark, d).limit(10))
-    t.delete(F.col("o_orderkey") < 3)
+    t.append(_base(spark, d))
+    t.delete(F.col("o_orderkey") % 3 == 0)
+    t.append(_base(spark, d).filter("o_orderkey % 3 = 0"))
     m = t.manifest()
-    return m.select("path").subtract(m.filter(F.col("version") == len(t.versions) - 1).select("path")).agg(F.count(F.lit(1)).alias("orphans"))
+    last = m.filter(F.col("version") == len(t.versions) - 1).select("path")
+    written = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.parquet").load(f"{t.root}/data-*").select(F.regexp_replace("path", "/[^/]*$", "").alias("path")).distinct()
+    plain = lambda df: df.select(F.regexp_replace("path", "^file:/+", "/").alias("path"))
+    written, last = plain(written), plain(last)
+    count = lambda df, name: df.agg(F.count(F.lit(1)).alias(name))
+    return count(written.subtract(last), "orphans").crossJoin(count(last.subtract(written), "missing"))  # one row each
