@@ -153,6 +153,7 @@ def kept(key: Hashable, make: Callable[[], T]) -> T:
             _KEPT.clear()
             release()
         _KEPT[key] = make()
+        release()
     return _KEPT[key]
 
 
@@ -222,14 +223,30 @@ class WordHashes(dict):
 FILTER_BITS = 1 << 26
 
 
-def among(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """The rows of ``docs`` whose doc_id may be in ``ids`` (column doc_id), so that
-    a join that follows need not shuffle the texts of all documents. The filter is
-    a bitmap of fixed size: more ids make it let more rows through, never fewer."""
+def _marked(docs: DataFrame, ids: DataFrame, how: str) -> tuple[DataFrame, Column]:
+    """``docs`` with the part of a bitmap of ``ids`` that its doc_id falls in, and whether its bit is set."""
     bit = F.pmod(F.xxhash64("doc_id"), F.lit(FILTER_BITS))
     part = lambda b: (b / 32768).cast("int")
     maps = ids.select(bit.alias("bit")).groupBy(part(F.col("bit")).alias("_part")).agg(F.expr("bitmap_construct_agg(bit % 32768)").alias("_bits"))  # at most FILTER_BITS / 32768 rows of 4 KB
     place = (bit % 32768).cast("int")
-    byte: Column = F.conv(F.hex(F.substring("_bits", (place / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
-    known = docs.withColumn("_part", part(bit)).join(F.broadcast(maps), "_part")
-    return known.filter(F.getbit(byte, place % 8) == 1).select(docs.columns)
+    byte = F.conv(F.hex(F.substring("_bits", (place / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    return docs.withColumn("_part", part(bit)).join(F.broadcast(maps), "_part", how), F.getbit(byte, place % 8) == 1
+
+
+def among(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """The rows of ``docs`` whose doc_id may be in ``ids`` (column doc_id), so that
+    an inner join that follows need not shuffle the texts of all documents (Spark
+    would move a semi join below the bitmap, to all rows). The filter is a bitmap of
+    fixed size: more ids make it let more rows through, never fewer."""
+    rows, known = _marked(docs, ids, "inner")
+    return rows.filter(known).select(docs.columns)
+
+
+def without(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """The rows of ``docs`` whose doc_id is not in ``ids``, which are all different; only
+    those that may be are shuffled."""
+    rows, known = _marked(docs, ids, "left")
+    maybe = F.coalesce(known, F.lit(False))
+    # No anti join: Spark would move it below the bitmap, to all rows.
+    found = rows.filter(maybe).select(docs.columns).join(ids.select("doc_id", F.lit(True).alias("_found")), "doc_id", "left")
+    return rows.filter(~maybe).select(docs.columns).unionByName(found.filter("_found is null").select(docs.columns))

@@ -10,21 +10,25 @@ bound reaches the threshold, are scored in full. Retrieved pairs are then
 verified: enough of the item's five-word shingles lie in the text, and enough of
 those of its question and of its answer.
 
-The index of one shard has at most ``SHARD_BYTES`` of item text and goes to the
-tasks by value; a larger benchmark is searched shard by shard.
+The index of one shard has at most about ``SHARD_BYTES`` of item text and goes to
+the tasks by value; a larger benchmark is searched shard by shard. How many items
+hold a term, the number of items and their mean length are those of the whole
+benchmark, so results don't depend on the shards.
 """
 
 from __future__ import annotations
 
 import re
 from collections import defaultdict
+from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import SLICE, slices
+from .common import Workspace, keep_rows, slices, with_release
 
 WORDS = 5
 #: Share of an item's score to retrieve; of all its shingles, and of those of question and answer each, to verify.
@@ -48,10 +52,20 @@ def split_item(text: str) -> int:
     return (len(words) + 1) // 2
 
 
+@dataclass
+class Statistics:
+    """Of all items: their number, their mean and largest length in words, and how many hold each of a shard's terms."""
+
+    items: int
+    mean: float
+    longest: int
+    held: dict[str, int]
+
+
 class Index:
-    """Inverted index of one shard of items."""
+    """Inverted index of one shard of items; ``whole`` has the statistics of all items, if there are more."""
 
-    def __init__(self, items: list[tuple[int, str]], retrieve: float = RETRIEVE) -> None:
+    def __init__(self, items: list[tuple[int, str]], retrieve: float = RETRIEVE, whole: Statistics | None = None) -> None:
         self.retrieve = retrieve
         items = sorted((i, t) for i, t in items if t and t.split())
         self.ids = [i for i, _ in items]
@@ -63,11 +77,13 @@ class Index:
         df = np.zeros(v)
         for w in self.words:
             df[np.unique(w)] += 1
-        idf = np.log(1 + (n - df + 0.5) / (df + 0.5))
+        held = np.array([whole.held[t] for t in self.terms], float) if whole else df
+        count, mean = (whole.items, whole.mean) if whole else (n, sizes.mean() if n else 0.0)
+        idf = np.log(1 + (count - held + 0.5) / (held + 0.5))
         rows, cols, imp = [], [], []
         for i, w in enumerate(self.words):
             t, tf = np.unique(w, return_counts=True)
-            s = idf[t] * tf * (_K1 + 1) / (tf + _K1 * (1 - _B + _B * len(w) / sizes.mean()))
+            s = idf[t] * tf * (_K1 + 1) / (tf + _K1 * (1 - _B + _B * len(w) / mean))
             rows += [t]
             cols += [np.full(len(t), i)]
             imp += [s / s.sum()]
@@ -92,7 +108,7 @@ class Index:
                 break
             mass[self.item[at]] += self.impact[at]
             self.essential[term] = False
-        self.longest = int(sizes.max()) if n else 0
+        self.longest = whole.longest if whole else int(sizes.max()) if n else 0
         self.grams = [self.gram(w) for w in self.words]
 
     def gram(self, ids: np.ndarray) -> np.ndarray:
@@ -148,7 +164,7 @@ class Index:
         score = np.bincount(where, self.impact[at[inside]], len(key))
         out: dict[int, float] = defaultdict(float)
         for k, s in zip(key[score >= self.retrieve - 1e-9] % n, score[score >= self.retrieve - 1e-9], strict=True):
-            out[int(k)] = max(out[int(k)], float(s))
+            out[int(k)] = max(out[int(k)], round(float(s), 9))
         return out
 
     def verify(self, ids: np.ndarray, found: dict[int, float], share: float = VERIFY, part: float = PART) -> list[tuple[int, float, float, float]]:
@@ -170,7 +186,7 @@ class Index:
 class Words(dict):
     """Term of each surface form, -1 for words of no item; bounded."""
 
-    LIMIT = 400_000
+    LIMIT = 200_000
 
     def __init__(self, terms: dict[str, int]) -> None:
         self.terms = terms
@@ -182,19 +198,38 @@ class Words(dict):
         return t
 
 
-def shards(spark: SparkSession, benchmark: DataFrame) -> list[DataFrame]:
-    """Parts of the items of at most about ``SHARD_BYTES`` of text each."""
+def _terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """item_id, its number of words, term: a row for each different term of each item."""
+    kind = pa.schema([("shard", pa.int64()), ("words", pa.int64()), ("term", pa.string())])
+    for places, texts in slices(batches, "shard", "text"):
+        rows = [(k, len(w) if i == 0 else 0, t) for k, x in zip(places, texts, strict=True) for w in (x.split(),) for i, t in enumerate(sorted({normal(y) for y in w}))]
+        yield pa.RecordBatch.from_pydict(dict(zip(kind.names, zip(*rows, strict=True), strict=True)) if rows else {n: [] for n in kind.names}, kind)
+
+
+def indexes(spark: SparkSession, benchmark: DataFrame, shard_bytes: int = SHARD_BYTES) -> Iterator[Index]:
+    """The index of each part of the items, of about ``shard_bytes`` of text at most; one is made at a time."""
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text").filter(F.col("item_id").isNotNull() & F.col("text").isNotNull())
     total = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    n = max(1, -(-total * 5 // (4 * SHARD_BYTES)))
-    return [items.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == k) for k in range(n)]
+    n = max(1, -(-total * 5 // (4 * shard_bytes)))
+    read = lambda rows: [(r.item_id, r.text) for r in rows.select("item_id", "text").collect()]  # noqa: E731  of a checked size
+    if n == 1:
+        yield Index(read(items))
+        return
+    ws = Workspace(spark)
+    items = items.withColumn("shard", F.pmod(F.xxhash64("item_id", "text"), F.lit(n)).cast("long"))
+    terms = ws.save(items.select("shard", "text").mapInArrow(with_release(_terms), "shard long, words long, term string"))
+    held = ws.save(terms.groupBy("term").agg(F.count(F.lit(1)).alias("n")))
+    count, words, longest = terms.agg(F.count_if(F.col("words") > 0), F.coalesce(F.sum("words"), F.lit(0)), F.coalesce(F.max("words"), F.lit(0))).first()
+    for k in range(n):
+        own = terms.filter(F.col("shard") == k).select("term").distinct().join(held, "term")
+        yield Index(read(items.filter(F.col("shard") == k)), whole=Statistics(count, words / max(1, count), longest, {r.term: r.n for r in own.collect()}))  # no more terms than the shard has words
 
 
 def _found(index: Index, ids: np.ndarray) -> list[tuple[int, float, float, float]]:
     return index.verify(ids, index.search(ids))
 
 
-def contaminated(spark: SparkSession, docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+def contaminated(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, shard_bytes: int = SHARD_BYTES) -> DataFrame:
     """doc_id, item_id, score, question_overlap, answer_overlap of every text that
     holds an item.
 
@@ -204,8 +239,7 @@ def contaminated(spark: SparkSession, docs: DataFrame, benchmark: DataFrame) ->
     Without items there are no rows."""
     docs, parts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), []
     kind = pa.schema([("doc_id", pa.int64()), ("item_id", pa.int64()), ("score", pa.float64()), ("question_overlap", pa.float64()), ("answer_overlap", pa.float64())])
-    for shard in shards(spark, benchmark):
-        index = Index([(r.item_id, r.text) for r in shard.collect()])  # of a checked size
+    for index in indexes(spark, benchmark, shard_bytes):
 
         def run(batches, index=index):
             words = Words(index.terms)
@@ -216,27 +250,24 @@ def contaminated(spark: SparkSession, docs: DataFrame, benchmark: DataFrame) ->
                         rows += [(d, index.ids[i], s, q, a) for i, s, q, a in _found(index, np.array([words[w] for w in t.split()], np.int64))]
                 yield pa.RecordBatch.from_pydict(dict(zip(kind.names, zip(*rows, strict=True), strict=True)) if rows else {n: [] for n in kind.names}, kind)
 
-        parts.append(docs.mapInArrow(run, "doc_id long, item_id long, score double, question_overlap double, answer_overlap double"))
+        parts.append(docs.mapInArrow(with_release(run), "doc_id long, item_id long, score double, question_overlap double, answer_overlap double"))
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
     return out.distinct()
 
 
-def keep_clean(spark: SparkSession, docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """``docs`` without the texts that hold a benchmark item; all columns stay."""
-    at, schema, out = docs.columns.index("text"), docs.schema, docs
-    for shard in shards(spark, benchmark):
-        index = Index([(r.item_id, r.text) for r in shard.collect()])  # of a checked size
+def keep_clean(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, shard_bytes: int = SHARD_BYTES) -> DataFrame:
+    """``docs`` without the texts that hold a benchmark item; all columns stay.
 
-        def run(batches, index=index):
+    Null or empty texts hold nothing and stay. Rows that repeat a doc_id, or have
+    none, are decided row by row, equal ones alike. Without items all rows stay; an
+    empty table gives no rows."""
+    for index in indexes(spark, benchmark, shard_bytes):
+
+        def make(index=index):
             words = Words(index.terms)
-            for batch in batches:
-                ok = []
-                for part in range(0, batch.num_rows, SLICE):
-                    for t in batch.column(at).slice(part, SLICE).to_pylist():
-                        ok.append(not (t and index.ids and _found(index, np.array([words[w] for w in t.split()], np.int64))))
-                yield batch.filter(pa.array(ok, pa.bool_()))
-
-        out = out.mapInArrow(run, schema)
-    return out
+            return lambda t: not (t and index.ids and _found(index, np.array([words[w] for w in t.split()], np.int64)))
+
+        docs = keep_rows(docs, "text", make)
+    return docs

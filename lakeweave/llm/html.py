@@ -18,6 +18,7 @@ import math
 import random
 import re
 from collections import Counter
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -26,8 +27,9 @@ from pyspark.sql import functions as F
 
 from .common import map_slices
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
-_ATTRIBUTE = re.compile(r"([^\s=/\"']+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
+# Quotes count only after an equals sign; the possessive loop never goes back, so a tag is read once.
+_TOKEN = re.compile(r"<!--(?:-?>|.*?(?:--!?>|\Z))|<!\[CDATA\[.*?(?:\]\]>|\Z)|<(?:[!?]|/(?![a-zA-Z]))[^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>=]++|=\s*+(?:\"[^\"]*+\"|'[^']*+')|=)*+)(>|\Z)", re.S)
+_ATTRIBUTE = re.compile(r"([^\s=/\"']+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>][^\s>]*)))?")
 _WORD = re.compile(r"[a-z]+")
 _CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
 #: Kinds of elements.
@@ -35,6 +37,7 @@ _BLOCKS = "address article aside blockquote body center dd details dialog dir di
 BLOCKS = frozenset(_BLOCKS.split())
 VOID = frozenset("area base basefont bgsound br col embed frame hr img input link meta param source track wbr".split())
 RAW = frozenset("script style title textarea noscript iframe noembed noframes xmp template svg math select button object canvas audio video head".split())
+HEAD = frozenset("base basefont bgsound head html link meta noframes noscript script style template title".split())
 _OPAQUE = frozenset("script style title textarea noscript iframe noembed noframes xmp".split())  # their content is no markup
 FORMS = frozenset("input select textarea button label option".split())
 TAGS = ("article", "aside", "blockquote", "body", "div", "dl", "figure", "figcaption", "footer", "form", "h1", "h2", "h3", "header", "li", "main", "nav", "ol", "p", "pre", "section", "span", "table", "td", "tr", "ul", "")
@@ -83,65 +86,93 @@ class Page:
             self.links[node] += n
 
     def _parse(self, s: str) -> None:
+        """One pass. The counts of open elements tell whether an end or a paragraph
+        has anything to close, so no element is looked at more than a few times."""
         stack: list[tuple[str, int]] = [("body", 0)]  # open elements and their nodes
-        at, linked, n = 0, 0, len(s)
-        skip = 0  # depth of elements whose text never counts
-        find = _TOKEN.search
+        opened: Counter[str] = Counter()  # open elements by tag
+        paragraphs = [0]  # open paragraphs since each open element that ends their scope
+        linked = skip = 0  # depth of links, and of elements whose text never counts
+
+        def push(tag: str, node: int) -> None:
+            nonlocal linked, skip
+            stack.append((tag, node))
+            opened[tag] += 1
+            linked += tag == "a"
+            skip += tag in RAW
+            paragraphs[-1] += tag == "p"
+            if tag in _SCOPE:
+                paragraphs.append(0)
+
+        def pop() -> str:
+            nonlocal linked, skip
+            tag, _ = stack.pop()
+            opened[tag] -= 1
+            linked -= tag == "a"
+            skip -= tag in RAW
+            if tag in _SCOPE:
+                paragraphs.pop()
+            paragraphs[-1] -= tag == "p"
+            return tag
+
+        def close(tag: str) -> None:
+            while pop() != tag:
+                pass
+
+        at, n, find = 0, len(s), _TOKEN.search
         while at < n:
             m = find(s, at)
-            if m is None:
+            end = m.start() if m else n
+            if end > at:
+                if opened["head"] and not s[at:end].isspace() and stack[-1][0] == "head":
+                    close("head")  # text ends an open head
                 if not skip:
-                    self._text(s[at:], stack[-1][1], linked)
+                    self._text(s[at:end], stack[-1][1], linked)
+            if m is None:
                 break
-            if m.start() > at and not skip:
-                self._text(s[at : m.start()], stack[-1][1], linked)
             at = m.end()
             tag = m[2]
             if tag is None:
                 if not skip and m.group().startswith("<![CDATA["):
                     self._text(m.group()[9:].removesuffix("]]>"), stack[-1][1], linked)
                 continue
+            if not m[4]:  # a tag that never ends
+                break
             tag = tag.lower()
             if m[1]:
-                places = [i for i in range(len(stack) - 1, 0, -1) if stack[i][0] == tag]
-                if not places:
-                    continue
-                for t, _ in stack[places[0] :]:
-                    linked -= t == "a"
-                    skip -= t in RAW
-                del stack[places[0] :]
-                if tag in BLOCKS:
-                    self._break()
+                if opened[tag]:
+                    close(tag)
+                    if tag in BLOCKS:
+                        self._break()
                 continue
+            if opened["head"] and tag not in HEAD and stack[-1][0] == "head":
+                close("head")
             node = stack[-1][1]
             if tag in FORMS:
                 self.forms[node] += 1
             if tag in _OPAQUE:
-                end = re.compile(rf"</{tag}\b[^>]*>", re.I).search(s, at)
-                at = end.end() if end else n
+                found = re.compile(rf"</{tag}(?=[\s/>])", re.I).search(s, at)
+                after = s.find(">", found.end()) if found else -1
+                at = after + 1 if after >= 0 else n
                 continue
             if tag == "body" or tag == "html":
                 if tag == "body" and skip:  # the head was left open
-                    stack, skip = [("body", 0)], 0
+                    while len(stack) > 1:
+                        pop()
                 continue
             if tag in BLOCKS:
                 self._break()
-                for i in range(len(stack) - 1, 0, -1):  # an open paragraph ends here
-                    if stack[i][0] == "p":
-                        for t, _ in stack[i:]:
-                            linked -= t == "a"
-                        del stack[i:]
-                        break
-                    if stack[i][0] in _SCOPE:
-                        break
+                if paragraphs[-1]:  # an open paragraph ends here
+                    close("p")
             if tag in _CLOSES:
                 ends, within = _CLOSES[tag]
-                for i in range(len(stack) - 1, 0, -1):
-                    if stack[i][0] in within:
-                        break
-                    if stack[i][0] in ends.split():
-                        del stack[i:]
-                        break
+                if any(opened[x] for x in ends.split()):
+                    for i in range(len(stack) - 1, 0, -1):
+                        if stack[i][0] in within:
+                            break
+                        if stack[i][0] in ends.split():
+                            while len(stack) > i:
+                                pop()
+                            break
             node = stack[-1][1]
             self.elements[node] += 1
             if tag == "br":
@@ -152,9 +183,7 @@ class Page:
                 continue
             if not skip and (tag in BLOCKS or re.search(r"\b(class|id|role)\s*=", m[3], re.I)):
                 node = self._node(tag, m[3], node)
-            linked += tag == "a"
-            skip += tag in RAW
-            stack.append((tag, node))
+            push(tag, node)
 
     def features(self, vocabulary: dict[str, int]) -> np.ndarray:
         n = len(self.parent)
@@ -354,6 +383,8 @@ def training_pages(n: int = 1000, seed: int = 5) -> list[str]:
             return f"<table {k}>" + "".join(f"<tr {k}><td {k}>{words(1, 5)}</td><td {k}>{words(1, 5)}</td></tr>" for _ in range(3)) + "</table>"
         if t < 0.97:
             return f"<pre {k}>{words(4, 20)}</pre>"
+        if t < 0.985:
+            return r.choice((f"<div {k}>{text}</div>", f'<div class="{pick(INNER_NAMES)}" {k}>{text}<br>{words(2, 20)}</div>', text))
         return f'<figure {k}><img src="a.png"><figcaption {k}>{words(2, 12)}</figcaption></figure>'
 
     pages = []
@@ -421,13 +452,19 @@ class Extractor:
         return out
 
 
+@cache
+def default_model() -> Extractor:
+    """The model of the drawn pages; trained once in a process."""
+    return Extractor()
+
+
 def extract(spark: SparkSession, pages: DataFrame, model: Extractor | None = None) -> DataFrame:
     """page_id, url, text, n_chars of every row.
 
     A null or empty html has an empty text. Rows that repeat a page_id or have
     none are extracted row by row. Further columns are ignored. An empty table
     gives no rows."""
-    model = model or Extractor()  # of a fixed size
+    model = model or default_model()  # of a fixed size
 
     def make():
         def run(ids: list, urls: list, sources: list[str | None]) -> dict:

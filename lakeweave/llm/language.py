@@ -17,11 +17,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import map_slices, slices
+from .common import keep_rows, map_slices, slices, with_release
 
 DIM = 1 << 13
-#: Bound on the labelled sample: rows of each language, and languages.
-PER_LANGUAGE, MOST_LANGUAGES = 300, 256
+#: Bound on the labelled sample: rows of each language, and of all languages where these are many.
+PER_LANGUAGE, MOST_ROWS = 300, 20_000
 UNKNOWN = "und"
 #: Families of language codes. A code that is not listed is a family of its own.
 FAMILIES = {
@@ -66,6 +66,27 @@ def features(text: str) -> tuple[np.ndarray, np.ndarray]:
     return at, v / np.sqrt((v * v).sum())
 
 
+class Sample:
+    """Rows of features, kept as buckets and values: none is ever spread out."""
+
+    def __init__(self, at: list[np.ndarray], v: list[np.ndarray]) -> None:
+        self.rows = list(zip(at, v, strict=True))
+        self.sizes = np.array([len(x) for x in at], np.int64)
+        self.at, self.v = np.concatenate(at).astype(np.int64), np.concatenate(v).astype(np.float32)
+        self.starts = np.cumsum(self.sizes) - self.sizes
+
+    def some(self, rows: np.ndarray) -> Sample:
+        return Sample(*zip(*(self.rows[i] for i in np.flatnonzero(rows)), strict=True))
+
+    def times(self, w: np.ndarray) -> np.ndarray:
+        """The product of each row with ``w``."""
+        return np.add.reduceat(self.v * w[self.at], self.starts)
+
+    def summed(self, g: np.ndarray) -> np.ndarray:
+        """The sum of all rows, each times its part of ``g``."""
+        return np.bincount(self.at, self.v * np.repeat(g, self.sizes), DIM)
+
+
 @dataclass
 class Linear:
     """A linear support vector machine: positive for the first of two classes."""
@@ -74,16 +95,15 @@ class Linear:
     b: float
 
     @classmethod
-    def fit(cls, x: np.ndarray, y: np.ndarray, rounds: int = 60, reg: float = 1e-4) -> Linear:
+    def fit(cls, x: Sample, y: np.ndarray, rounds: int = 60, reg: float = 1e-4) -> Linear:
         """Squared hinge loss by full-batch Nesterov steps; y is 1 or -1, classes weigh alike."""
-        n, d = x.shape
         weight = np.where(y > 0, 0.5 / max(1, (y > 0).sum()), 0.5 / max(1, (y < 0).sum()))
-        w, b, vw, vb, step = np.zeros(d), 0.0, np.zeros(d), 0.0, 0.45
+        w, b, vw, vb, step = np.zeros(DIM), 0.0, np.zeros(DIM), 0.0, 0.45
         for k in range(rounds):
             m = k / (k + 3)
             aw, ab = w + m * vw, b + m * vb
-            gap = np.maximum(0, 1 - y * (x @ aw + ab)) * weight * y
-            nw, nb = aw + step * (2 * (gap @ x) - reg * aw), ab + step * 2 * gap.sum()
+            gap = np.maximum(0, 1 - y * (x.times(aw) + ab)) * weight * y
+            nw, nb = aw + step * (2 * x.summed(gap) - reg * aw), ab + step * 2 * gap.sum()
             vw, vb, w, b = nw - w, nb - b, nw, nb
         return cls(w.astype(np.float32), float(b))
 
@@ -91,7 +111,7 @@ class Linear:
 class Hierarchy:
     """Families, then languages one against one."""
 
-    def __init__(self, x: np.ndarray, langs: list[str]) -> None:
+    def __init__(self, x: Sample, langs: list[str]) -> None:
         """``x``: a row of features for each label."""
         self.langs = sorted(set(langs))
         of, y = np.array([family(c) for c in langs]), np.array(langs)
@@ -101,7 +121,7 @@ class Hierarchy:
         for own in self.families.values():
             for a, b in combinations(own, 2):
                 rows = (y == a) | (y == b)
-                self.pairs[a, b] = Linear.fit(x[rows], np.where(y[rows] == a, 1.0, -1.0))
+                self.pairs[a, b] = Linear.fit(x.some(rows), np.where(y[rows] == a, 1.0, -1.0))
 
     def predict(self, text: str | None) -> tuple[str, float]:
         if not has_letter(text):
@@ -134,17 +154,18 @@ def held_out() -> F.Column:
 
 def learn(spark: SparkSession, docs: DataFrame, per_language: int = PER_LANGUAGE) -> Hierarchy | None:
     """Learns from text and lang of documents that are not held out; None if no
-    such row has a letter and a lang. The sample is bounded: about
-    ``per_language`` rows of each of the ``MOST_LANGUAGES`` commonest languages.
-    A text's features have a fixed size, so no text goes to the driver."""
+    such row has a letter and a lang. The sample is bounded: about ``per_language``
+    rows of each language, and so many fewer (one at least) that all languages
+    together have about ``MOST_ROWS``; every language is learned. A text's features
+    have a fixed size, so no text goes to the driver."""
     known = docs.select("doc_id", "text", "lang").filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & F.coalesce(~held_out(), F.lit(False)))
-    counts = {r.lang: r.n for r in known.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(MOST_LANGUAGES).collect()}
+    counts = {r.lang: r.n for r in known.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}  # one row for each language
     if not counts:
         return None
+    per_language = max(1, min(per_language, MOST_ROWS // len(counts)))
     share = F.create_map(*[F.lit(x) for c, n in counts.items() for x in (c, min(1.0, per_language / n))])
     drawn = known.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_003)) < F.coalesce(F.try_element_at(share, F.col("lang")), F.lit(0.0)) * 1_000_003)
-
-    rows = drawn.filter(F.length("text") > 0).mapInArrow(_featured, "lang string, at binary, v binary").collect()
+    rows = drawn.filter(F.length("text") > 0).mapInArrow(with_release(_featured), "lang string, at binary, v binary").collect()
     if not rows:
         return None
     return _fitted(rows)
@@ -159,9 +180,7 @@ def _featured(batches):
 
 def _fitted(rows: list) -> Hierarchy:
     rows = sorted(rows, key=lambda r: (r.lang, r.at, r.v))
-    x = np.zeros((len(rows), DIM), np.float32)
-    for i, r in enumerate(rows):
-        x[i, np.frombuffer(r.at, np.uint16)] = np.frombuffer(r.v, np.float32)
+    x = Sample([np.frombuffer(r.at, np.uint16) for r in rows], [np.frombuffer(r.v, np.float32) for r in rows])
     return Hierarchy(x, [r.lang for r in rows])
 
 
@@ -188,17 +207,18 @@ def identify(spark: SparkSession, docs: DataFrame, model: Hierarchy | None = Non
 
 
 def keep_identified(spark: SparkSession, docs: DataFrame, least: float = 0.0) -> DataFrame:
-    """``docs`` without the documents that have no language: a null text, a text
-    without a letter, or a score under ``least``. All columns stay."""
-    m = learn(spark, docs)
-    at, schema = docs.columns.index("text"), docs.schema
-
-    def run(batches):
-        for batch in batches:
-            ok = []
-            for part in range(0, batch.num_rows, 256):
-                got = (m.predict(t) if m else (UNKNOWN, 0.0) for t in batch.column(at).slice(part, 256).to_pylist())
-                ok += [lang != UNKNOWN and score >= least for lang, score in got]
-            yield batch.filter(pa.array(ok, pa.bool_()))
-
-    return docs.mapInArrow(run, schema)
+    """``docs`` without the documents that have no language: a null or empty text, a
+    text without a letter, or a score under ``least``; if nothing could be learned,
+    no document has one. All columns stay, whatever else they are called. Rows that
+    repeat a doc_id, or have none, are decided row by row, equal ones alike. An
+    empty table gives no rows."""
+    model = learn(spark, docs)
+
+    def make():
+        def ok(text: str | None) -> bool:
+            lang, score = model.predict(text) if model else (UNKNOWN, 0.0)
+            return lang != UNKNOWN and score >= least
+
+        return ok
+
+    return keep_rows(docs, "text", make)

@@ -41,6 +41,7 @@ KNOWN = (
     ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."),
     ("CC-BY-4.0", "This work is licensed under a Creative Commons Attribution 4.0 International License."),
     ("CC-BY-SA-4.0", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License."),
+    ("CC-BY-NC-4.0", "Licensed under CC BY-NC 4.0."),
     ("CC0-1.0", "This work is dedicated to the public domain under CC0 1.0."),
     ("all-rights-reserved", "All rights reserved."),
     ("Unlicense", "This is free and unencumbered software released into the public domain."),
@@ -107,9 +108,7 @@ def scan(spark: SparkSession, docs: DataFrame, more: list[tuple[str, str]] | Non
     full = {r.digest: r.licence for r in known(spark, full_texts()).collect()} | table
     lookup = F.create_map(*[F.lit(x) for k, v in sorted(table.items()) for x in (k, v)])
     text = F.coalesce("text", F.lit(""))
-    # Only lines no longer than the longest known notice can be one; the others need no digest.
-    most = max(len(t) for _, t in notices) * 2
-    lines = F.filter(F.split(text, "\n"), lambda x: F.length(x).between(1, most))
+    lines = F.filter(F.split(text, "\n"), lambda x: F.length(x) > 0)
     hits = F.filter(F.transform(lines, lambda x: F.try_element_at(lookup, digest(x))), lambda x: x.isNotNull())
     out = docs.select(F.col("doc_id").cast("long").alias("doc_id"), digest(text).alias("text_digest"), hits.alias("_hits"))
     whole = F.broadcast(spark.createDataFrame(sorted(full.items()), "text_digest string, licence string"))  # as many rows as known texts
@@ -119,12 +118,11 @@ def scan(spark: SparkSession, docs: DataFrame, more: list[tuple[str, str]] | Non
 def oracle_sql() -> str:
     """The whole scan in SQL of another engine."""
     quote = lambda t: "'" + t.replace("'", "''") + "'"
-    most = max(len(t) for _, t in KNOWN) * 2
     rows = ", ".join(f"({quote(k)}, {quote(t)})" for k, t in KNOWN)
     return f"""
 WITH known AS (SELECT sha256({canonical_sql('t')}) AS digest, min(k) AS licence FROM (VALUES {rows}) AS v(k, t) GROUP BY 1),
 whole AS (SELECT doc_id, sha256({canonical_sql("coalesce(text, '')")}) AS text_digest FROM documents),
-lines AS (SELECT doc_id, sha256({canonical_sql('line')}) AS digest FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM documents) WHERE length(line) BETWEEN 1 AND {most}),
+lines AS (SELECT doc_id, sha256({canonical_sql('line')}) AS digest FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM documents) WHERE length(line) > 0),
 hits AS (SELECT doc_id, count(*) AS n_lines, string_agg(DISTINCT licence, ',' ORDER BY licence) AS line_licences FROM lines JOIN known USING (digest) GROUP BY doc_id)
 SELECT w.doc_id, w.text_digest, k.licence, coalesce(h.n_lines, 0)::BIGINT AS n_lines, coalesce(h.line_licences, '') AS line_licences
 FROM whole w LEFT JOIN known k ON k.digest = w.text_digest LEFT JOIN hits h ON h.doc_id = w.doc_id

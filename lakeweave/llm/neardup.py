@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import Workspace, among, map_slices, unique_docs
+from .common import Workspace, among, map_slices, unique_docs, without
 from .shingles import Shingler
 from .similarity import link, union_estimate
 
@@ -77,12 +77,13 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, percent: int = PERCENT
     kind = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("digest", pa.binary()), ("sketch", pa.list_(pa.int64()))])
     base = ws.save(map_slices(docs, ["doc_id", "text"], _sketched, kind, "doc_id long, n long, digest binary, sketch array<long>"))
     equal = ws.save(base.filter("n > 0").groupBy("digest").agg(F.min("doc_id").alias("id"), F.count(F.lit(1)).alias("copies")))
-    sets = base.withColumnRenamed("doc_id", "id").join(equal.select("id"), "id", "left_semi").select("id", "n", "sketch")
+    copies = ws.save(base.select("doc_id", "digest").join(equal.filter("copies > 1"), "digest").filter("doc_id <> id").select("doc_id"))
+    sets = ws.save(without(base.filter("n > 0").select("doc_id", "n", "sketch"), copies).withColumnRenamed("doc_id", "id"))
     lists = ws.save(prefix_lists(sets))
 
     def fetch(ids: DataFrame) -> DataFrame:
         wanted = ids.withColumnRenamed("id", "doc_id")
-        rows = among(docs, wanted).join(wanted, "doc_id", "left_semi").withColumnRenamed("doc_id", "id")
+        rows = among(docs, wanted).join(wanted, "doc_id").withColumnRenamed("doc_id", "id")
         return map_slices(rows, ["id", "text"], _members, pa.schema([("id", pa.int64()), ("members", pa.list_(pa.int64()))]), "id long, members array<long>")
 
     label = link(spark, sets, lists, fetch, percent, lambda a, b: union_estimate(a, b, SKETCH, LEAST), ws)
@@ -104,5 +105,5 @@ def keep_first(spark: SparkSession, docs: DataFrame) -> DataFrame:
     the smallest doc_id; all columns stay. Rows without a doc_id stay; of rows that
     repeat one, the one with the smallest text stays."""
     found = Workspace(spark).save(near_duplicates(spark, docs).filter(~F.col("kept")).select("doc_id"))
-    named = unique_docs(docs).join(found, "doc_id", "left_anti").select(docs.columns)
+    named = without(unique_docs(docs), found).select(docs.columns)
     return named.unionByName(docs.filter(F.col("doc_id").isNull()))

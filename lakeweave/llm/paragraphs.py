@@ -16,6 +16,9 @@ hash are an anchor (winnowing), so equal windows have equal anchors wherever the
 stand. Only windows whose anchor more than one document holds are written and
 compared, and those that meet are joined to maximal runs: every run of at least
 ``WINDOW`` words that two documents share is found.
+
+Documents that are equal as a whole are found first, by digest, and stand for one
+in all that follows.
 """
 
 from __future__ import annotations
@@ -29,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import Workspace, WordHashes, among, map_slices, unique_docs
+from .common import Workspace, WordHashes, among, map_slices, unique_docs, without
 from .shingles import Shingler, mix
 from .similarity import link
 
@@ -75,14 +78,14 @@ def lines(text: str, least: int = MIN_WORDS) -> list[tuple[int, int, int, int]]:
     return [(k, m.start(), m.end(), n) for k, m in enumerate(_LINE.finditer(text)) if (n := len(m.group().split())) >= least]
 
 
-def _paragraphs():
+def _paragraphs(least: int):
     import xxhash
 
     sets, minima = Shingler(), MinHash()
     names = ("doc_id", "para", "start", "end", "words", "n", "digest", "sketch")
 
     def run(ids: list, texts: list[str | None]) -> dict:
-        found = [(t[x[1] : x[2]], d, *x) for d, t in zip(ids, texts, strict=True) if t for x in lines(t)]
+        found = [(t[x[1] : x[2]], d, *x) for d, t in zip(ids, texts, strict=True) if t for x in lines(t, least)]
         paragraphs, *columns = list(zip(*found, strict=True)) or [()] * 6
         members = sets.many(paragraphs)
         return dict(zip(names, (*columns, [len(m) for m in members], [xxhash.xxh3_128_digest(m.tobytes()) for m in members], list(minima.many(members))), strict=True))
@@ -90,13 +93,13 @@ def _paragraphs():
     return run
 
 
-def _members():
+def _members(least: int):
     sets = Shingler()
 
     def run(texts: list[str | None], wanted: list[list[dict]]) -> dict:
         out: dict[str, list] = {"id": [], "members": []}
         for t, rows in zip(texts, wanted, strict=True):
-            own = {k: (s, e) for k, s, e, _ in lines(t or "")}
+            own = {k: (s, e) for k, s, e, _ in lines(t or "", least)}
             out["id"] += [r["id"] for r in rows]
             out["members"] += [m.view(np.int64) for m in sets.many([t[slice(*own[r["para"]])] for r in rows])]
         return out
@@ -104,10 +107,10 @@ def _members():
     return run
 
 
-def repeated_paragraphs(spark: SparkSession, docs: DataFrame, ws: Workspace) -> DataFrame:
+def repeated_paragraphs(spark: SparkSession, docs: DataFrame, ws: Workspace, min_words: int = MIN_WORDS) -> DataFrame:
     """doc_id, start, end, words, first_doc_id, first_start of every paragraph that has a like one."""
     kind = pa.schema([("doc_id", pa.int64()), ("para", pa.int32()), ("start", pa.int64()), ("end", pa.int64()), ("words", pa.int64()), ("n", pa.int64()), ("digest", pa.binary()), ("sketch", pa.list_(pa.int64()))])
-    base = ws.save(map_slices(docs, ["doc_id", "text"], _paragraphs, kind, "doc_id long, para int, start long, end long, words long, n long, digest binary, sketch array<long>"))
+    base = ws.save(map_slices(docs, ["doc_id", "text"], lambda: _paragraphs(min_words), kind, "doc_id long, para int, start long, end long, words long, n long, digest binary, sketch array<long>"))
     equal = base.groupBy("digest").agg(F.min(F.struct("doc_id", "para", "start")).alias("first"), F.count(F.lit(1)).alias("copies"))
     equal = ws.save(equal.select("digest", F.col("first.doc_id").alias("doc_id"), F.col("first.para").alias("para"), F.col("first.start").alias("start"), "copies").withColumn("id", F.monotonically_increasing_id()))
     sets = ws.save(base.select("doc_id", "para", "n", "sketch").join(equal.select("doc_id", "para", "id"), ["doc_id", "para"]).select("id", "n", "sketch"))
@@ -120,7 +123,7 @@ def repeated_paragraphs(spark: SparkSession, docs: DataFrame, ws: Workspace) ->
 
     def fetch(ids: DataFrame) -> DataFrame:
         wanted = equal.join(ids, "id").groupBy("doc_id").agg(F.collect_list(F.struct("para", "id")).alias("wanted"))  # a document's own lines
-        return map_slices(among(docs, wanted).join(wanted, "doc_id"), ["text", "wanted"], _members, pa.schema([("id", pa.int64()), ("members", pa.list_(pa.int64()))]), "id long, members array<long>")
+        return map_slices(among(docs, wanted).join(wanted, "doc_id"), ["text", "wanted"], lambda: _members(min_words), pa.schema([("id", pa.int64()), ("members", pa.list_(pa.int64()))]), "id long, members array<long>")
 
     alike = lambda a, b: F.size(F.array_intersect(a, b)) >= 6  # noqa: E731  of 16; 12 are equal at 0.75
     label = link(spark, sets, lists, fetch, PERCENT, alike, ws)
@@ -270,28 +273,50 @@ def repeated_windows(spark: SparkSession, docs: DataFrame, ws: Workspace) -> Dat
     return out
 
 
-def repeated(spark: SparkSession, docs: DataFrame) -> DataFrame:
-    """doc_id, kind, start, end, n_words, first_doc_id, removed: one row for each
-    paragraph or passage that other places hold too.
+def whole_copies(docs: DataFrame, ws: Workspace) -> DataFrame:
+    """doc_id, first_doc_id, end, words of every document whose text others have too.
+    A text with very many copies is one key of the first sum, which adds up in each
+    task before the shuffle, and of a join that Spark splits where a key is hot."""
+    texts = ws.save(docs.filter("text is not null").select("doc_id", F.sha2(F.col("text").cast("binary"), 256).alias("digest"), F.length("text").cast("long").alias("end"), F.regexp_count("text", F.lit(r"[^ \t\n\r\x0B\f]+")).cast("long").alias("words")))
+    equal = ws.save(texts.groupBy("digest").agg(F.min("doc_id").alias("first_doc_id"), F.count(F.lit(1)).alias("copies")).filter("copies > 1"))
+    out = ws.save(texts.join(equal, "digest").select("doc_id", "first_doc_id", "end", "words"))
+    ws.drop(texts, equal)
+    return out
 
-    ``kind`` is "paragraph" (a line that is like another line) or "passage" (a run
-    of sentences, or of at least ``WINDOW`` words, that another document holds); a
-    place can be in several rows, and goes if one of them is removed. ``start`` and ``end`` are code points, end exclusive.
+
+def repeated(spark: SparkSession, docs: DataFrame, min_words: int = MIN_WORDS, run_words: int = RUN_WORDS) -> DataFrame:
+    """doc_id, kind, start, end, n_words, first_doc_id, removed: one row for each
+    document, paragraph or passage that other places hold too.
+
+    ``kind`` is "document" (a whole text of at least ``min_words`` words that another
+    document has; what else its copies but the first hold has no rows), "paragraph"
+    (a line of so many words that is like another line) or "passage" (a run of
+    sentences of at least ``run_words`` words together, or of at least ``WINDOW``
+    words, that another document holds); a place can be in several rows, and goes if
+    one of them is removed. ``start`` and ``end`` are code points, end exclusive.
     ``first_doc_id`` is the document whose copy stays; ``removed`` is false for that
     copy alone. Null or empty texts have no row. Rows without a doc_id are left
     out; of rows that repeat one, the smallest text counts. Further columns are
     ignored. An empty table gives no rows."""
     ws = Workspace(spark)
     docs = unique_docs(docs.withColumn("doc_id", F.col("doc_id").cast("long")), "text")
-    a = repeated_paragraphs(spark, docs, ws)
+    copies = whole_copies(docs, ws)
+    docs = without(docs, copies.filter("doc_id <> first_doc_id"))
+    a = repeated_paragraphs(spark, docs, ws, min_words)
     a = a.withColumn("kind", F.lit("paragraph")).withColumn("removed", ~((F.col("doc_id") == F.col("first_doc_id")) & (F.col("start") == F.col("first_start"))))
-    b = repeated_passages(spark, docs, ws).unionByName(repeated_windows(spark, docs, ws)).distinct().withColumn("kind", F.lit("passage")).withColumn("removed", F.col("doc_id") != F.col("first_doc_id"))
+    b = repeated_passages(spark, docs, ws, run_words).unionByName(repeated_windows(spark, docs, ws)).distinct().withColumn("kind", F.lit("passage"))
+    c = copies.filter(F.col("words") >= min_words).withColumn("kind", F.lit("document")).withColumn("start", F.lit(0).cast("long"))
+    b, c = (x.withColumn("removed", F.col("doc_id") != F.col("first_doc_id")) for x in (b, c))
     names = ["doc_id", "kind", "start", "end", F.col("words").alias("n_words"), "first_doc_id", "removed"]
-    return a.select(*names).unionByName(b.select(*names))
+    return a.select(*names).unionByName(b.select(*names)).unionByName(c.select(*names))
 
 
 def remove_repeats(spark: SparkSession, docs: DataFrame) -> DataFrame:
-    """doc_id, text without the spans that ``repeated`` removes, for every document."""
+    """doc_id, text without the spans that ``repeated`` removes, for every document.
+
+    A null text stays null. Rows without a doc_id are left out; of rows that repeat
+    one, the one with the smallest text stays. Further columns are left out. An
+    empty table gives no rows."""
     spans = repeated(spark, docs).filter("removed").groupBy("doc_id").agg(F.collect_list(F.struct("start", "end")).alias("spans"))  # a document's own spans
     rows = unique_docs(docs.withColumn("doc_id", F.col("doc_id").cast("long")), "text").join(spans, "doc_id", "left")
 

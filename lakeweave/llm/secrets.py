@@ -15,6 +15,7 @@ from __future__ import annotations
 import math
 import random
 import re
+from bisect import bisect_left, bisect_right
 from collections import Counter
 from itertools import accumulate
 
@@ -22,31 +23,35 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import map_slices
+from .common import cuts_of, map_slices, with_release
 
 ASSIGN = re.compile(r"(?:[pP][aA][sS][sS][wW][oO][rR][dD]|[pP][aA][sS][sS][wW][dD]|[sS][eE][cC][rR][eE][tT]|[tT][oO][kK][eE][nN]|[aA][pP][iI]_?[kK][eE][yY])[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)")
 # A run is maximal, so a run that is too short has no later start that is long enough.
 ACCESS = re.compile(r"AKIA[A-Z0-9]{12,}")
 HEX = re.compile(r"[0-9a-f]{32,}")
-#: Candidates lie in whole tokens, start there or after a separator, and have at least ``SHORTEST`` symbols.
-CANDIDATE = re.compile(r"(?<![A-Za-z0-9+/_.=-])[A-Za-z0-9+/_.=-]{16,}")
+#: Whole tokens. A candidate starts there or after a separator, and ends before one or with the token.
+TOKEN = re.compile(r"(?<![A-Za-z0-9+/_.=-])[A-Za-z0-9+/_.=-]+")
 SEPARATOR = re.compile(r"[+/_.=-]")
+#: Candidates of fewer symbols have no score: the shortest labelled credential has 20.
 SHORTEST = 16
 BASE = ("assign", "access", "hex")
 
 _HEX, _UP, _LOW, _DIG = "0123456789abcdef", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz", "0123456789"
-#: Labelled credentials are drawn from these public formats: name, literal start, alphabet, lengths of the rest.
+_ALL = _UP + _LOW + _DIG
+#: Public credential formats. Labelled ones are drawn as these parts in a row: literal start, alphabet, lengths of the rest.
 FORMATS = (
-    ("cloud_key", "AKIA", _UP + _DIG, (16, 16)),
-    ("cloud_temp", "ASIA", _UP + _DIG, (16, 16)),
-    ("forge_token", "ghp_", _UP + _LOW + _DIG, (36, 36)),
-    ("chat_token", "xoxb-", _DIG + "-" + _UP + _LOW, (40, 48)),
-    ("pay_key", "sk_live_", _UP + _LOW + _DIG, (24, 32)),
-    ("web_token", "eyJ", _UP + _LOW + _DIG + "_-", (60, 120)),
-    ("hex_key", "", _HEX, (32, 64)),
+    ("cloud_key", ("AKIA", _UP + _DIG, (16, 16))),
+    ("cloud_temp", ("ASIA", _UP + _DIG, (16, 16))),
+    ("forge_token", ("ghp_", _ALL, (36, 36))),
+    ("chat_token", ("xoxb-", _DIG, (10, 13)), ("-", _DIG, (10, 13)), ("-", _ALL, (24, 24))),
+    ("pay_key", ("sk_live_", _ALL, (24, 32))),
+    ("maps_key", ("AIza", _ALL + "_-", (35, 35))),
+    ("package_token", ("npm_", _ALL, (36, 36))),
+    ("lab_token", ("glpat-", _ALL + "_-", (20, 20))),
+    ("web_token", ("eyJ", _ALL + "_-", (60, 120))),
+    ("signed_token", ("eyJ", _ALL + "_-", (15, 60)), (".eyJ", _ALL + "_-", (20, 160)), (".", _ALL + "_-", (43, 86))),
+    ("hex_key", ("", _HEX, (32, 64))),
 )
-#: A signed token's header, payload and signature, with dots between them: literal start, lengths of the rest.
-SIGNED = (("eyJ", (15, 60)), ("eyJ", (20, 160)), ("", (43, 86)))
 SAMPLES, SEED = 120, 7
 LITERAL = 3  # symbols at the start that are kept as they are
 
@@ -54,9 +59,8 @@ LITERAL = 3  # symbols at the start that are kept as they are
 def labelled(n: int = SAMPLES, seed: int = SEED) -> dict[str, list[str]]:
     """``n`` labelled credentials of each format, always the same ones."""
     r = random.Random(seed)
-    out = {name: [start + "".join(r.choices(alphabet, k=r.randint(*lengths))) for _ in range(n)] for name, start, alphabet, lengths in FORMATS}
-    part = lambda start, lengths: start + "".join(r.choices(_UP + _LOW + _DIG + "_-", k=r.randint(*lengths)))
-    return out | {"signed_token": [".".join(part(*x) for x in SIGNED) for _ in range(n)]}
+    part = lambda start, alphabet, lengths: start + "".join(r.choices(alphabet, k=r.randint(*lengths)))
+    return {name: ["".join(part(*p) for p in parts) for _ in range(n)] for name, *parts in FORMATS}
 
 
 def symbols(token: str) -> list[str]:
@@ -110,32 +114,36 @@ class Automaton:
                 else:
                     self.next[a][s] = q
 
+    def _apart(self, a: int, b: int) -> float:
+        """How differently two states send words on, 0 to 2."""
+        ca, cb = self.count[a], self.count[b]
+        na, nb = max(1, sum(ca.values())), max(1, sum(cb.values()))
+        return sum(abs(ca[s] / na - cb[s] / nb) for s in ca.keys() | cb.keys())
+
     def _merge(self) -> None:
-        red, blue = [0], sorted((s, 0) for s in self.next[0])
-        while blue:
-            s, parent = blue.pop(0)
-            b = self.next[parent][s]
-            if b in red:
-                continue
-            for r in red:
-                if self._alike(r, b):
-                    self.next[parent][s] = r
-                    self._fold(r, b)
-                    break
+        """Takes the state that most words pass and merges it with the compatible
+        state that is nearest, or keeps it as a new one, until none is left."""
+        red = [0]
+        while blue := [(-sum(self.count[t].values()), q, s, t) for q in red for s, t in self.next[q].items() if t not in red]:
+            _, parent, s, b = min(blue)
+            near = [(self._apart(r, b), r) for r in red if self._alike(r, b)]
+            if near:
+                _, r = min(near)
+                self.next[parent][s] = r
+                self._fold(r, b)
             else:
                 red.append(b)
-            blue = sorted(((s, q) for q in red for s, t in self.next[q].items() if t not in red), key=lambda x: (x[1], x[0]))
         keep = {q: i for i, q in enumerate(red)}
         self.count = [self.count[q] for q in red]
         self.next = [{s: keep[t] for s, t in self.next[q].items()} for q in red]
         self._log = [{s: math.log(n / sum(c.values()) / _SIZE.get(s, 1)) for s, n in c.items()} for c in self.count]
 
-    def ends(self, token: str, classes: list[str], at: int, ends: set[int]) -> list[tuple[int, float]]:
+    def ends(self, token: str, classes: list[str], at: int, ends: set[int], shortest: int = SHORTEST) -> list[tuple[int, float]]:
         """(end, log-likelihood) of the candidates from ``at`` that a path takes."""
         q, total, out = 0, 0.0, []
         for i in range(at, len(token) + 1):
             log = self._log[q]
-            if i - at >= SHORTEST and i in ends and "$" in log:
+            if i - at >= shortest and i in ends and "$" in log:
                 out.append((i, total + log["$"]))
             if i == len(token):
                 break
@@ -188,10 +196,11 @@ class Background:
 
 
 class Formats:
-    """All automata; ``best`` scores a candidate by format likelihood."""
+    """All automata; ``best`` scores a candidate by format likelihood. ``least``: the
+    ratio that makes a span; ``shortest``: candidates of fewer symbols have no score."""
 
-    def __init__(self, samples: dict[str, list[str]] | None = None, least: float = 0.25) -> None:
-        self.least, self.background = least, Background()
+    def __init__(self, samples: dict[str, list[str]] | None = None, least: float = 0.25, shortest: int = SHORTEST) -> None:
+        self.least, self.shortest, self.background = least, shortest, Background()
         self.automata = {k: Automaton([symbols(t) for t in v]) for k, v in sorted((samples or labelled()).items())}
 
     def best(self, token: str) -> tuple[str, float] | None:
@@ -208,9 +217,9 @@ class Formats:
         classes, out, free = [_CLASS.get(c, c) for c in token], [], 0
         back = None
         for at in starts:
-            if at < free or len(token) - at < SHORTEST:
+            if at < free or len(token) - at < self.shortest:
                 continue
-            found = [(e, k, score) for k, a in self.automata.items() for e, score in a.ends(token, classes, at, ends)]
+            found = [(e, k, score) for k, a in self.automata.items() for e, score in a.ends(token, classes, at, ends, self.shortest)]
             if found:
                 back = back or self.background.sums(token)
                 ratios = ((score - self.background.part(*back, at, e), e, k) for e, k, score in found)
@@ -230,12 +239,22 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
 
 
 def more_spans(text: str, formats: Formats, taken: list[tuple[int, int, int]]) -> list[tuple[int, str, int]]:
-    """(start, format, end) of candidates that no base span covers."""
-    out = []
-    for m in CANDIDATE.finditer(text):
-        found = [(m.start() + a, k, m.start() + z) for a, k, z in formats.spans(m.group())]
-        out += [(a, k, z) for a, k, z in found if not any(s <= a and z <= e or a <= s and e <= z for s, _, e in taken)]
-    return out
+    """(start, format, end) of candidates that no base span covers or lies in."""
+    found = []
+    for m in TOKEN.finditer(text):
+        if m.end() - m.start() >= formats.shortest:
+            found += [(m.start() + a, k, m.start() + z) for a, k, z in formats.spans(m.group())]
+    if not found or not taken:
+        return found
+    starts = [s for s, _, _ in taken]  # in order
+    furthest = list(accumulate((e for _, _, e in taken), max))
+    nearest = list(accumulate((e for _, _, e in reversed(taken)), min))[::-1]
+
+    def free(a: int, z: int) -> bool:
+        before, after = bisect_right(starts, a), bisect_left(starts, a)
+        return not (before and furthest[before - 1] >= z) and not (after < len(taken) and nearest[after] <= z)
+
+    return [x for x in found if free(x[0], x[2])]
 
 
 def scan(spark: SparkSession, docs: DataFrame, formats: Formats | None = None) -> DataFrame:
@@ -275,25 +294,28 @@ def digest(found: DataFrame) -> DataFrame:
 
 def redact(spark: SparkSession, docs: DataFrame, formats: Formats | None = None) -> DataFrame:
     """``docs`` with every span of its texts replaced by ``<secret>``; all other
-    columns, rows and texts stay as they are."""
+    columns, rows and texts stay as they are. A null text stays null; rows that
+    repeat a doc_id or have none are changed row by row. An empty table stays empty."""
     known = formats or Formats()
     at, schema = docs.columns.index("text"), docs.schema
 
+    def cut(text: str | None) -> str | None:
+        base = base_spans(text) if text else []
+        spans = sorted([(s, e) for s, _, e in base] + ([(s, e) for s, _, e in more_spans(text, known, base)] if text else []))
+        if not spans:
+            return text
+        parts, end = [], 0
+        for s, e in spans:
+            if s >= end:
+                parts += [text[end:s], "<secret>"]
+            end = max(end, e)
+        return "".join(parts) + text[end:]
+
     def run(batches):
-        f = known
         for batch in batches:
-            texts = []
-            for t in batch.column(at).to_pylist():
-                base = base_spans(t) if t else []
-                spans = sorted([(s, e) for s, _, e in base] + ([(s, e) for s, _, e in more_spans(t, f, base)] if t else []))
-                if spans:
-                    parts, end = [], 0
-                    for s, e in spans:
-                        if s >= end:
-                            parts += [t[end:s], "<secret>"]
-                        end = max(end, e)
-                    t = "".join(parts) + t[end:]
-                texts.append(t)
-            yield pa.RecordBatch.from_arrays([pa.array(texts, batch.column(i).type) if i == at else batch.column(i) for i in range(batch.num_columns)], schema=batch.schema)
-
-    return docs.mapInArrow(run, schema)
+            for start, n in cuts_of(batch):
+                part = batch.slice(start, n)
+                texts = pa.array(map(cut, part.column(at).to_pylist()), part.column(at).type)
+                yield pa.RecordBatch.from_arrays([texts if i == at else part.column(i) for i in range(part.num_columns)], schema=part.schema)
+
+    return docs.mapInArrow(with_release(run), schema)

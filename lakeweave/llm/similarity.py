@@ -28,7 +28,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Workspace
+from .common import Workspace, among
 
 #: Lists up to this length give all their pairs at once; longer ones give stars, then blocks of this many sets.
 SMALL, BLOCK = 6, 1024
@@ -60,7 +60,9 @@ def stars(lists: DataFrame, percent: int) -> DataFrame:
 
 def verified(pairs: DataFrame, sets: DataFrame, fetch: Callable[[DataFrame], DataFrame], percent: int, estimate: Callable[[Column, Column], Column], ws: Workspace) -> DataFrame:
     """The pairs that are alike: by their sketches, then exactly on full sets."""
-    s = sets.select("id", "sketch")
+    pairs = ws.save(pairs)
+    known = pairs.select(F.col("a").alias("doc_id")).union(pairs.select(F.col("b").alias("doc_id")))
+    s = among(sets.select(F.col("id").alias("doc_id"), "sketch"), known).withColumnRenamed("doc_id", "id")  # sketches of pairs only
     near = pairs.join(s.select(F.col("id").alias("a"), F.col("sketch").alias("sa")), "a").join(s.select(F.col("id").alias("b"), F.col("sketch").alias("sb")), "b")
     near = ws.save(near.filter(estimate(F.col("sa"), F.col("sb"))).select("a", "b"))
     ids = near.select(F.col("a").alias("id")).union(near.select(F.col("b").alias("id"))).distinct()
@@ -69,7 +71,7 @@ def verified(pairs: DataFrame, sets: DataFrame, fetch: Callable[[DataFrame], Dat
     shared = F.size(F.array_intersect("ma", "mb"))
     ok = F.lit(100) * shared >= F.lit(percent) * (F.size("ma") + F.size("mb") - shared)
     out = ws.save(both.filter(ok).select("a", "b"))
-    ws.drop(near, full)
+    ws.drop(pairs, near, full)
     return out
 
 

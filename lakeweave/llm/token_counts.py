@@ -97,7 +97,16 @@ def count_tokens(spark: SparkSession, docs: DataFrame, vocabulary_path: str | No
     totals = map_slices(docs, ["text"], lambda: Frequencies(path), pa.schema([("piece", pa.string()), ("n", pa.int64())]), "piece string, n long")
     distinct = totals.groupBy("piece").agg(F.sum("n").alias("n"))
     known = ws.save(map_slices(distinct, ["piece", "n"], _pieces(path), pa.schema([("piece", pa.string()), ("n", pa.int64()), ("tokens", pa.int64())]), "piece string, n long, tokens long"))
-    rows = known.filter(F.octet_length("piece") <= HOT_BYTES).orderBy(F.desc("n"), "piece").limit(hot).collect()
+    # The most frequent ones by a threshold on their number: a top-k would send k rows of each partition to the driver.
+    short = known.filter(F.octet_length("piece") <= HOT_BYTES)
+    level = F.floor(F.log2("n") * 16)
+    levels, taken, least = short.groupBy(level.alias("level")).agg(F.count(F.lit(1)).alias("c")).collect(), 0, None  # some hundred rows
+    for r in sorted(levels, key=lambda r: -r.level):
+        taken += r.c
+        if taken > hot:
+            break
+        least = r.level
+    rows = short.filter(level >= least).collect() if least is not None else []  # at most ``hot``
     shared = spark.sparkContext.broadcast({r.piece: r.tokens for r in rows})
 
     def make():

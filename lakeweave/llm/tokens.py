@@ -65,7 +65,7 @@ class Chunks(dict):
     ``value`` maps a chunk to what is kept of it, which adds up with ``+`` and has a
     length. The memo is bounded by bytes: when the newer half is full, it becomes the older one."""
 
-    BYTES, LONGEST, ENTRY = 48_000_000, 64, 170
+    BYTES, LONGEST, ENTRY = 36_000_000, 64, 170
 
     def __init__(self, cut: PreTokens, value) -> None:
         self.special, self.value = cut.special_pattern, value

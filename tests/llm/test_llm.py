@@ -422,3 +422,177 @@ def test_pipeline(spark):
     for name, stage in corpus_pipeline.STAGES[:-1]:
         assert stage(spark, docs, DATA).columns == docs.columns, name
         assert stage(spark, docs.limit(0), DATA).count() == 0
+
+
+def whole(page):
+    p = html.Page(page)
+    return p.text(np.ones(len(p.parent), bool))
+
+
+@pytest.mark.parametrize(
+    ("page", "text"),
+    [
+        ("<p>First. <video src=x><p>Second.<p>Third.", "First.\n\nSecond.\n\nThird."),
+        ("<table><tr><td><select><option>a<td>b</table>after", "b\n\nafter"),
+        ("<title>t</title><p>Hello there", "Hello there"),
+        ("<head><title>x</title><p>one</p>", "one"),
+        ("<p class=a'b>one<p class=\"x>two</p>", "one\n\ntwo"),
+        ("a<!-->b<p>c-->", "ab\n\nc-->"),
+    ],
+)
+def test_html_of_odd_pages(page, text):
+    assert whole(page) == text
+
+
+def test_html_parser_is_linear():
+    import time
+
+    for page in ("<div>" * 100_000, '<a b="' * 50_000 + ">", '<a b=">" ' * 50_000, "<li><div>" * 50_000, "<p><table><tr><td>" + "<span>" * 20_000 + "<div>" * 20_000, "<!--" * 50_000, "<script></script " * 20_000):
+        began = time.process_time()
+        html.Page(page)
+        assert time.process_time() - began < 8, page[:20]
+
+
+def test_html_repeated_rows_and_no_rows(spark, extractor):
+    kind = "page_id long, url string, html string"
+    page = "<body><article><h1>Title</h1><p>Some text of the article, twice.</p></article></body>"
+    got = rows(html.extract(spark, spark.createDataFrame([(1, "u", page), (1, "u", page), (2, "v", "<div>" * 3000 + "deep")], kind), extractor))
+    assert len(got) == 3 and len({r["text"] for r in got if r["page_id"] == 1}) == 1
+    assert html.extract(spark, spark.createDataFrame([], kind), extractor).count() == 0
+
+
+def test_secret_formats_are_named_and_others_left_alone():
+    f, r = secrets.Formats(), random.Random(3)
+    for name, tokens in secrets.labelled(60, seed=99).items():
+        assert sum((f.best(t) or ("",))[0] == name for t in tokens) >= 0.95 * len(tokens), name
+    hexes = lambda n: "".join(r.choices("0123456789abcdef", k=n))
+    ids = [f"{hexes(8)}-{hexes(4)}-4{hexes(3)}-a{hexes(3)}-{hexes(12)}" for _ in range(200)]
+    files = [f"/usr/lib/python3.{k}/site-packages/module_{k}/sub-module.test_{k}.cpython-31{k}.so" for k in range(10)]
+    assert sum(bool(f.spans(t)) for t in ids + files) <= 4
+
+
+def test_secrets_of_a_text_full_of_them():
+    import time
+
+    text = "token=abcdefgh12345678 " * 20_000 + "ghp_" + "aB3dE" * 7 + "x"
+    began = time.process_time()
+    base = secrets.base_spans(text)
+    assert len(base) == 20_000 and [k for _, k, _ in secrets.more_spans(text, secrets.Formats(), base)] == ["forge_token"]
+    assert time.process_time() - began < 20
+
+
+def test_secret_scan_of_repeated_rows(spark):
+    df = spark.createDataFrame([(1, "token=abcdefgh12345678"), (1, "token=abcdefgh12345678"), (None, None)], "doc_id long, text string")
+    assert sorted(r["spans"] for r in rows(secrets.digest(secrets.scan(spark, df)))) == ["", "assign:0:22", "assign:0:22"]
+    assert sorted(str(r["text"]) for r in rows(secrets.redact(spark, df))) == ["<secret>", "<secret>", "None"]
+
+
+def test_licence_notice_in_a_long_line(spark):
+    df = spark.createDataFrame([(1, "x\nReleased under the MIT License. " + "*" * 30_000), (1, "x"), (None, "Licensed under CC BY-NC 4.0.")], "doc_id long, text string")
+    assert sorted((str(r["doc_id"]), r["line_licences"]) for r in rows(licences.scan(spark, df))) == [("1", ""), ("1", "MIT"), ("None", "CC-BY-NC-4.0")]
+
+
+def test_empty_texts_share_a_sequence(spark):
+    assert packing.plan({1: 2048}, 2048, 2048, 2048 * 2048)[1] == 1
+    got = rows(packing.pack(spark, spark.range(2048).selectExpr("id as doc_id", "cast(null as string) as text")))
+    assert len({r["sequence_id"] for r in got}) == 1 and sorted(r["offset"] for r in got) == list(range(2048))
+
+
+def test_decontamination_does_not_depend_on_shards(spark):
+    r = random.Random(11)
+    word = lambda: f"w{r.choice((r.randint(0, 30), r.randint(0, 3000)))}"
+    items = [(i, " ".join(word() for _ in range(r.randint(8, 60)))) for i in range(60)] + [(60, " "), (61, None), (3, "again w1 w2 w3 w4 w5 w6 w7")]
+    texts = [(d, " ".join(word() for _ in range(80)) + " " + " ".join(items[d % 60][1].split()[r.randint(0, 3) :]) + " " + word()) for d in range(150)] + [(1, items[1][1]), (None, items[2][1]), (200, None)]
+    docs, bench = spark.createDataFrame(texts, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    one = sorted(map(str, decontamination.contaminated(spark, docs, bench).collect()))
+    total = sum(len(t or "") for _, t in items)
+    five = sorted(map(str, decontamination.contaminated(spark, docs, bench, shard_bytes=total // 4).collect()))
+    assert one == five and len(one) > 100
+    kept = [decontamination.keep_clean(spark, docs, bench, shard_bytes=n).count() for n in (1 << 20, total // 4)]
+    found = {x["doc_id"] for x in rows(decontamination.contaminated(spark, docs, bench))}
+    assert kept[0] == kept[1] == sum(d not in found for d, _ in texts)
+
+
+def test_components_in_few_rounds(spark):
+    from lakeweave.llm.common import Workspace
+    from lakeweave.llm.similarity import components
+
+    r = random.Random(5)
+    chain = [(k, k + 1) for k in range(1000)]
+    mixed = [(r.randint(2000, 2400), r.randint(2000, 2400)) for _ in range(330)]
+    star = [(3000, k) for k in range(3001, 3100)] + [(3200 - k, 3200) for k in range(1, 50)]
+    links = [(min(x), max(x)) for x in chain + mixed + star if x[0] != x[1]]
+    to = {x: x for pair in links for x in pair}
+
+    def root(x):
+        while to[x] != x:
+            x = to[x]
+        return x
+
+    for a, b in links:
+        a, b = root(a), root(b)
+        to[max(a, b)] = min(a, b)
+    rounds = []
+    got = components(spark.createDataFrame(links, "a long, b long"), Workspace(spark), rounds)
+    assert {x["id"]: x["component"] for x in rows(got)} == {x: root(x) for x in to}
+    assert sum(rounds) + len(rounds) <= 24 and max(rounds) <= 12
+
+
+def test_paragraphs_against_all_pairs(spark, docs):
+    r = random.Random(12)
+    line = lambda n: [f"p{r.randint(0, 10**9)}" for _ in range(n)]
+    texts = {x["doc_id"]: x["text"] for x in rows(docs.limit(120))}
+    for k in range(60):  # pairs at exactly 3/4: a line, and its beginning
+        a = r.choice((20, 24, 28, 40))
+        w = line(a // 3 * 4 + 4 if a % 3 == 0 else (a - a % 3) // 3 * 4 + 4)
+        texts[10_000 + 2 * k] = " ".join(w)
+        texts[10_001 + 2 * k] = " ".join(w[: (len(w) - 4) // 4 * 3 + 4])
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    got = {(x["doc_id"], x["start"]) for x in rows(paragraphs.repeated(spark, df)) if x["kind"] != "passage"}
+    covered = {x["doc_id"] for x in rows(paragraphs.repeated(spark, df)) if x["kind"] == "document" and x["removed"]}
+    sets = {}
+    for d, t in texts.items():
+        for _, s, e, _ in paragraphs.lines(t or ""):
+            w = t[s:e].encode().lower().split()
+            sets[d, s] = frozenset(tuple(w[j : j + 5]) for j in range(len(w) - 4))
+    keys = sorted(sets)
+    want = set()
+    for n, a in enumerate(keys):
+        for b in keys[n + 1 :]:
+            shared = len(sets[a] & sets[b])
+            if 100 * shared >= 75 * (len(sets[a]) + len(sets[b]) - shared):
+                want |= {a, b}
+    found = {k for k in want if k in got or k[0] in covered}
+    assert len(found) >= 0.95 * len(want) and {k for k in got if k in sets} <= want | {(d, 0) for d in texts}
+
+
+def test_whole_copies_are_one(spark):
+    text = "\n".join(" ".join(f"c{i}-{j}" for j in range(30)) for i in range(3))
+    df = spark.createDataFrame([(k, text) for k in range(5)] + [(9, text), (9, text), (None, text), (20, "short")], "doc_id long, text string")
+    got = rows(paragraphs.repeated(spark, df))
+    assert {(x["doc_id"], x["kind"], x["removed"]) for x in got} == {(k, "document", k != 0) for k in (0, 1, 2, 3, 4, 9)}
+    cut = {x["doc_id"]: x["text"] for x in rows(paragraphs.remove_repeats(spark, df))}
+    assert cut == {0: text, 1: "", 2: "", 3: "", 4: "", 9: "", 20: "short"}
+
+
+def test_language_learns_every_language(spark):
+    many = [(3 * k + j, f"qq{k:03d}x word{k:03d} zz{k:03d}y " * 6, f"l{k:03d}") for k in range(300) for j in range(3)]
+    df = spark.createDataFrame(many + many[:2] + [(None, "qq001x", "l001")], "doc_id long, text string, lang string")
+    m = language.learn(spark, df, per_language=3)
+    assert m is not None and len(m.langs) == len({c for i, _, c in many if zlib.crc32(str(i).encode()) % 4 != 2})
+    got = rows(language.identify(spark, df, m))
+    assert len(got) == len(many) + 3 and sum(r["lang_pred"] == dict((i, c) for i, _, c in many).get(r["doc_id"]) for r in got) >= 0.9 * len(many)
+
+
+def test_fingerprint_of_one_and_of_none(spark):
+    kind = "doc_id long, text string"
+    one = rows(fingerprints.compare_edited(spark, spark.createDataFrame([(1, "a b c d e f g h")], kind)))
+    assert len(one) == 1 and one[0]["near_next"] == 1.0
+    assert fingerprints.compare_edited(spark, spark.createDataFrame([], kind)).count() == 0
+
+
+def test_stages_with_odd_rows(spark, odd):
+    twice = odd.unionByName(odd).unionByName(odd.limit(1).withColumn("doc_id", __import__("pyspark").sql.functions.lit(None).cast("long")))
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        got = stage(spark, twice, DATA)
+        assert got.columns == twice.columns and got.count() <= twice.count(), name
