@@ -131,6 +131,18 @@ def slices(batches: Iterator[pa.RecordBatch], *columns: str) -> Iterator[tuple[l
             yield tuple(part.column(part.schema.get_field_index(c)).to_pylist() for c in columns)
 
 
+#: Settings of Arrow's batches that are lowered where a session has Spark's defaults: a
+#: batch is held by the executor and by its Python worker at the same time.
+BATCHES = (("spark.sql.execution.arrow.maxRecordsPerBatch", "10000", "2000"), ("spark.sql.execution.arrow.maxBytesPerBatch", "67108864b", "16777216b"))
+
+
+def small_batches(spark: SparkSession) -> None:
+    """From now on this session sends texts to Python in batches of modest size."""
+    for name, default, value in BATCHES:
+        if spark.conf.get(name, default) == default:
+            spark.conf.set(name, value)
+
+
 _KEPT: dict[Hashable, object] = {}
 
 
@@ -183,6 +195,7 @@ def keep_rows(docs: DataFrame, column: str, make: Callable[[], Callable[[str | N
                 part = batch.slice(start, n)
                 yield part.filter(pa.array([ok(x) for x in part.column(at).to_pylist()], pa.bool_()))
 
+    small_batches(docs.sparkSession)
     return docs.mapInArrow(with_release(run), docs.schema)
 
 
@@ -202,6 +215,7 @@ def map_slices(df: DataFrame, columns: list[str], make: Callable[[], Callable[..
         if hasattr(f, "end"):
             yield batch(f.end())
 
+    small_batches(df.sparkSession)
     return df.select(*columns).mapInArrow(with_release(run, keep), spark_schema)
 
 

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Workspace, keep_rows, slices, with_release
+from .common import Workspace, keep_rows, slices, small_batches, with_release
 
 WORDS = 5
 #: Share of an item's score to retrieve; of all its shingles, and of those of question and answer each, to verify.
@@ -237,6 +237,7 @@ def contaminated(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, sha
     item_id are searched row by row, and equal results given once. Rows without an
     item_id are left out; a null doc_id stays null. Further columns are ignored.
     Without items there are no rows."""
+    small_batches(spark)
     docs, parts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), []
     kind = pa.schema([("doc_id", pa.int64()), ("item_id", pa.int64()), ("score", pa.float64()), ("question_overlap", pa.float64()), ("answer_overlap", pa.float64())])
     for index in indexes(spark, benchmark, shard_bytes):

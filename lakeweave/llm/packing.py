@@ -92,12 +92,12 @@ def _tokenised(path: str, capacity: int):
     def make():
         from pyspark import TaskContext
 
-        of = kept(("token ids", path), lambda: TokenBytes(path)).of
+        many = kept(("token ids", path), lambda: TokenBytes(path)).many
         part = TaskContext.get().partitionId()
         seen = [0] * (capacity + 1)
 
         def run(doc_ids: list, texts: list[str | None]) -> dict:
-            data = [of(t) + END if t else END for t in texts]
+            data = [x + END for x in many([t or "" for t in texts])]
             pieces = [cuts(len(x) // 4, capacity) for x in data]
             flat = [p for own in pieces for p in own]
             ranks = []

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cuts_of, map_slices, with_release
+from .common import cuts_of, map_slices, small_batches, with_release
 
 ASSIGN = re.compile(r"(?:[pP][aA][sS][sS][wW][oO][rR][dD]|[pP][aA][sS][sS][wW][dD]|[sS][eE][cC][rR][eE][tT]|[tT][oO][kK][eE][nN]|[aA][pP][iI]_?[kK][eE][yY])[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)")
 # A run is maximal, so a run that is too short has no later start that is long enough.
@@ -318,4 +318,5 @@ def redact(spark: SparkSession, docs: DataFrame, formats: Formats | None = None)
                 texts = pa.array(map(cut, part.column(at).to_pylist()), part.column(at).type)
                 yield pa.RecordBatch.from_arrays([texts if i == at else part.column(i) for i in range(part.num_columns)], schema=part.schema)
 
+    small_batches(spark)
     return docs.mapInArrow(with_release(run), schema)

@@ -10,8 +10,14 @@ from __future__ import annotations
 import json
 import re
 import struct
+import sys
+from array import array
+from collections.abc import Callable
+from itertools import chain
+from typing import Generic, TypeVar
 
 MODEL = "byte_bpe_50k.json"
+_NATIVE = sys.byteorder == "little" and array("I").itemsize == 4
 
 
 def vocabulary(name: str = MODEL) -> str:
@@ -52,42 +58,32 @@ class PreTokens:
 _WHITE = r"\t-\r\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 
 
-class Chunks(dict):
+V = TypeVar("V")
+
+
+class Chunks(Generic[V]):
     """A memo over the chunks of texts: white space with the run of other signs
     after it, or the white space at a text's end.
 
     The pre-tokeniser looks no further than the sign after a run of white space,
     and none of its pieces holds white space after another sign, so each chunk is
-    cut alone as it is in its text. Special strings are chunks of their own. A stop
-    after a letter or number is a piece of its own too, so such a chunk is made up
-    of two others.
+    cut alone as it is in its text. Special strings are chunks of their own.
 
-    ``value`` maps a chunk to what is kept of it, which adds up with ``+`` and has a
-    length. The memo is bounded by bytes: when the newer half is full, it becomes the older one."""
+    ``value`` maps a chunk to what is kept of it, ``weigh`` tells how many bytes that
+    takes. With ``joined``, values add up with ``+``: signs that are neither letters nor
+    numbers, from the last one of these to the end, are a piece of their own, so such
+    a chunk is made up of two others. The memo is bounded by
+    bytes: when its newer half is full, it becomes the older one."""
 
-    BYTES, LONGEST, ENTRY = 36_000_000, 64, 170
+    BYTES, LONGEST, ENTRY = 40_000_000, 64, 110
 
-    def __init__(self, cut: PreTokens, value) -> None:
-        self.special, self.value = cut.special_pattern, value
+    def __init__(self, cut: PreTokens, value: Callable[[str], V], weigh: Callable[[V], int] = len, joined: bool = False) -> None:
+        self.special, self.value, self.weigh, self.joined = cut.special_pattern, value, weigh, joined
         self.find = re.compile(f"[{_WHITE}]*[^{_WHITE}]+|[{_WHITE}]+").findall
-        self.before: dict = {}  # what the memo held when it was last full
+        self.new: dict[str, V] = {}
+        self.before: dict[str, V] = {}
         self.size = 0
 
-    def __missing__(self, chunk: str):
-        v = self.before.get(chunk)
-        if v is None:
-            if len(chunk) > 2 and chunk[-1] in ".,;:!?" and chunk[-2].isalnum() and not (self.special and self.special.search(chunk)):
-                v = self[chunk[:-1]] + self[chunk[-1]]
-            else:
-                v = self.value(chunk)
-        if len(chunk) <= self.LONGEST:
-            if self.size >= self.BYTES:
-                self.before, self.size = dict(self), 0
-                self.clear()
-            self.size += self.ENTRY + 4 * len(chunk) + len(v)
-            self[chunk] = v
-        return v
-
     def split(self, text: str) -> list[str]:
         """The chunks of a text, in order."""
         if self.special is None or not self.special.search(text):
@@ -100,6 +96,41 @@ class Chunks(dict):
             at = m.end()
         return out + self.find(text[at:])
 
+    def of(self, texts: list[list[str]]) -> dict[str, V]:
+        """The values of all chunks of some texts. Each different one is looked up once
+        in the large memo, and those that it lacks are made one after the other."""
+        own: dict = dict.fromkeys(chain.from_iterable(texts))
+        get, missing = self.new.get, []
+        for c in own:
+            if (v := get(c)) is None:
+                missing.append(c)
+            else:
+                own[c] = v
+        for c in missing:
+            own[c] = self._of(c)
+        return own
+
+    def _of(self, chunk: str) -> V:
+        v = self.new.get(chunk)
+        if v is not None:
+            return v
+        v = self.before.get(chunk)
+        if v is None:
+            end = len(chunk)
+            if self.joined and not chunk[-1].isalnum():
+                while end and not chunk[end - 1].isalnum():
+                    end -= 1
+            if 1 < end < len(chunk) and not (self.special and self.special.search(chunk)):
+                v = self._of(chunk[:end]) + self._of(chunk[end:])
+            else:
+                v = self.value(chunk)
+        if len(chunk) <= self.LONGEST:
+            if self.size >= self.BYTES:
+                self.before, self.new, self.size = self.new, {}, 0
+            self.size += self.ENTRY + 4 * len(chunk) + self.weigh(v)
+            self.new[chunk] = v
+        return v
+
 
 def _byte_signs() -> dict[int, int]:
     """The printable sign that stands for each byte in a byte-level vocabulary:
@@ -124,8 +155,11 @@ class Pieces:
     def ids(self, piece: str) -> list[int]:
         if max(piece) > self.LAST:
             return self.encode(piece, add_special_tokens=False).ids
-        signs = piece.encode().decode("latin-1").translate(self.signs)
-        return [t.id for t in self.tokenize(signs)]
+        return self.plain(piece)
+
+    def plain(self, piece: str) -> list[int]:
+        """The same for a piece that has no sign after ``LAST``."""
+        return [t.id for t in self.tokenize(piece.encode().decode("latin-1").translate(self.signs))]
 
 
 class TokenBytes:
@@ -133,17 +167,27 @@ class TokenBytes:
 
     def __init__(self, path: str) -> None:
         self._cut, self._pieces = PreTokens(path), Pieces(path)
-        self._memo = Chunks(self._cut, self._ids)
+        self._space = chr(self._pieces.signs[32])
+        self._memo: Chunks[bytes] = Chunks(self._cut, self._ids, joined=True)
 
     def _ids(self, chunk: str) -> bytes:
-        special = self._cut.special
+        special, word = self._cut.special, chunk[1:]
         if chunk in special:
             ids = [special[chunk]]
         elif max(chunk) > Pieces.LAST:
             ids = self._pieces.encode(chunk, add_special_tokens=False).ids
+        elif word.isalpha() and chunk[0] == " ":  # one pre-token
+            ids = [t.id for t in self._pieces.tokenize(self._space + word)] if word.isascii() else self._pieces.plain(chunk)
+        elif word.isalpha() and chunk[0] == "\n":  # two
+            ids = self._pieces.plain("\n") + self._pieces.plain(word)
         else:
             ids = [i for p in self._cut(chunk) for i in self._pieces.ids(p)]
-        return struct.pack(f"<{len(ids)}I", *ids)
+        return array("I", ids).tobytes() if _NATIVE else struct.pack(f"<{len(ids)}I", *ids)
+
+    def many(self, texts: list[str]) -> list[bytes]:
+        chunks = [self._memo.split(t) for t in texts]
+        get = self._memo.of(chunks).__getitem__
+        return [b"".join(map(get, c)) for c in chunks]
 
     def of(self, text: str) -> bytes:
-        return b"".join(map(self._memo.__getitem__, self._memo.split(text)))
+        return self.many([text])[0]
