@@ -46,9 +46,24 @@ def etag_matches(header: Column, etag: Column) -> Column:
     return (F.trim(header) == "*") | F.exists(F.split(header, ","), lambda x: (bare(x) == bare(etag)) & (bare(x) != ""))
 
 
+def bytes_between(body: Column, start: int, end: int) -> Column:
+    """The bytes from ``start`` to ``end``, both included; negative ones count from the end; none if they cross."""
+    n = F.octet_length(body)
+    s = F.greatest(F.lit(0), n + start) if start < 0 else F.lit(start)
+    e = n + end if end < 0 else F.lit(end)
+    return F.when((e < 0) | (s > e) | (s >= n), F.lit(b"").cast("binary")).otherwise(F.substring(body, s + 1, F.least(e, n - 1) - s + 1))
+
+
+def written(body: Column, value: bytes, offset: int) -> Column:
+    """``value`` over the bytes from ``offset`` on, after zeros where the body is shorter."""
+    n, end = F.octet_length(body), offset + len(value)
+    head = F.concat(F.substring(body, F.lit(1), F.lit(offset)), F.unhex(F.repeat(F.lit("00"), F.greatest(F.lit(0), F.lit(offset) - n))))
+    return F.concat(head, F.lit(value).cast("binary"), F.substring(body, F.lit(end + 1), F.greatest(F.lit(0), n - end)))
+
+
 def backoff(attempt: Column, initial: float, factor: float, most: float) -> Column:
-    """min(most, initial * factor^(attempt - 1)), rounded."""
-    n = F.greatest(attempt, F.lit(1))
+    """min(most, initial * factor^(attempt - 1)), rounded; a factor of 0 or less means 2."""
+    n, factor = F.greatest(attempt, F.lit(1)), factor if factor > 0 else 2
     return F.when(F.lit(initial) <= 0, F.lit(0)).otherwise(F.round(F.least(F.lit(float(most)), F.lit(float(initial)) * F.pow(F.lit(float(factor)), n - 1)))).cast("bigint")
 
 

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.columns import cosine_distance
 from ..registry import query, table
+from .tables import folder
 
 
 def nearest(vectors: DataFrame, target: list[float], k: int) -> DataFrame:
@@ -52,10 +53,13 @@ def bm25_topk(spark: SparkSession, d: str) -> DataFrame:
 
 
 def bm25(docs: DataFrame, terms: list[str], k: int, k1: float = 1.2, b: float = 0.75) -> DataFrame:
-    """The k best documents for a few terms; term counts stay on the row, so nothing is exploded or joined."""
-    words = F.filter(F.split(F.lower("text"), "[^a-z]+"), lambda w: w != "")
-    occurrences = lambda t: F.size(F.filter("w", lambda x: x == t))
-    rows = docs.select("doc_id", words.alias("w")).select("doc_id", F.size("w").alias("dl"), *[occurrences(t).alias(f"tf{i}") for i, t in enumerate(terms)])
+    """The k best documents for a few terms of letters; term counts stay on the row, so nothing is exploded or joined."""
+    text = F.lower("text")
+    occurrences = lambda t: F.regexp_count(text, F.lit(f"(?<![a-z]){t}(?![a-z])"))
+    counts = docs.select("doc_id", F.regexp_count(text, F.lit("[a-z]+")).alias("dl"), *[occurrences(t).alias(f"tf{i}") for i, t in enumerate(terms)])
+    path = f"{folder(docs.sparkSession)}/counts"
+    counts.write.parquet(path)  # a few numbers for each document, so its text is read once
+    rows = docs.sparkSession.read.parquet(path)
     s = rows.agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("al"), *[F.count_if(F.col(f"tf{i}") > 0).alias(f"df{i}") for i in range(len(terms))]).first()
     score: Column = F.lit(0.0)
     for i in range(len(terms)):
@@ -71,6 +75,15 @@ def spatial_within(spark: SparkSession, d: str) -> DataFrame:
     return points.filter("x > 10 and x < 50 and y > 10 and y < 50").agg(F.count(F.lit(1)).alias("inside"))  # the boundary isn't within
 
 
+@query("""SELECT doc_id, 'POINT (' || x || ' ' || y || ')' AS said, x > 10 AND x < 60 AND y > 20 AND y < 80 AS inside, greatest(10, x - 5) AS xmin, least(60, x + 5) AS xmax FROM (SELECT doc_id, doc_id % 100 AS x, n_chars % 100 AS y FROM documents)""")
+def spatial_text(spark: SparkSession, d: str) -> DataFrame:
+    """Points as text, points strictly inside an envelope, and where two envelopes overlap (SF28)."""
+    x, y = F.col("doc_id") % 100, F.col("n_chars") % 100
+    inside = (x > 10) & (x < 60) & (y > 20) & (y < 80)
+    said = F.concat(F.lit("POINT ("), x, F.lit(" "), y, F.lit(")"))
+    return table(spark, d, "documents").select("doc_id", said.alias("said"), inside.alias("inside"), F.greatest(F.lit(10), x - 5).alias("xmin"), F.least(F.lit(60), x + 5).alias("xmax"))
+
+
 @query("SELECT doc_id FROM (SELECT doc_id, doc_id % 100 AS x, n_chars % 100 AS y FROM documents) WHERE x <= 40 AND x + 2 >= 20 AND y <= 60 AND y + 3 >= 30")
 def bbox_filter(spark: SparkSession, d: str) -> DataFrame:
     box = F.struct((F.col("doc_id") % 100).alias("xmin"), (F.col("doc_id") % 100 + 2).alias("xmax"), (F.col("n_chars") % 100).alias("ymin"), (F.col("n_chars") % 100 + 3).alias("ymax"))

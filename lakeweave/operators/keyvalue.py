@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions.columns import at, chunks, live, not_deleted
+from ..functions.columns import at, chunks, live, not_deleted, written
 from ..registry import AS_OF, query, table
 
 _T = f"TIMESTAMP '{AS_OF}'"
@@ -81,11 +81,6 @@ def upsert_latest(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "events").groupBy("user_id").agg(last).select("user_id", "x.event_id", "x.value")
 
 
-def upsert(current: DataFrame, new: DataFrame, key: str) -> DataFrame:
-    """The next state of a keyed table."""
-    return current.join(new, key, "left_anti").unionByName(new)
-
-
 @query("SELECT user_id, event_id, lag(value) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS old, value AS new FROM events")
 def upsert_old(spark: SparkSession, d: str) -> DataFrame:
     w = Window.partitionBy("user_id").orderBy("ts", "event_id")
@@ -162,13 +157,7 @@ def kv_incr(spark: SparkSession, d: str) -> DataFrame:
 
 @query("SELECT p_partkey, substr(rpad(p_name, 40, '.'), 1, 30) || 'XYZ' || substr(rpad(p_name, 40, '.'), 34) AS value FROM part")
 def kv_setrange(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "part").select("p_partkey", overlaid(F.rpad("p_name", 40, "."), "XYZ", 30).alias("value"))
-
-
-def overlaid(text: Column, value: str, offset: int) -> Column:
-    """``value`` written at ``offset``, after zero-padding up to it."""
-    padded = F.when(F.length(text) < offset, F.rpad(text, offset, "\0")).otherwise(text)
-    return F.overlay(padded, F.lit(value), F.lit(offset + 1))
+    return table(spark, d, "part").select("p_partkey", written(F.rpad("p_name", 40, ".").cast("binary"), b"XYZ", 30).cast("string").alias("value"))
 
 
 @query("SELECT user_id AS key, arg_min(event_id, (ts, event_id)) AS owner FROM events WHERE event_type = 'click' GROUP BY user_id")

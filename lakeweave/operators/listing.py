@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.columns import common_prefix, etag_matches
@@ -63,7 +63,7 @@ def path_split(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "pages").select("url", F.regexp_extract("url", "^https?://([^/]+)", 1).alias("host"), F.regexp_extract("url", "^https?://[^/]+(/[^?#]*)", 1).alias("path"))
 
 
-@query()
+@query("SELECT p_partkey, url_encode(p_name) AS encoded, replace(url_encode(p_name), '%2F', '/') AS with_slashes FROM part")
 def url_display(spark: SparkSession, d: str) -> DataFrame:
     """Percent-encoding that keeps unreserved characters and, on request, slashes."""
     encoded = F.replace(F.replace(F.replace(F.url_encode("p_name"), F.lit("+"), F.lit("%20")), F.lit("*"), F.lit("%2A")), F.lit("%7E"), F.lit("~"))
@@ -71,15 +71,32 @@ def url_display(spark: SparkSession, d: str) -> DataFrame:
 
 
 #: Content types by file extension.
-TYPES = (("json", "application/json"), ("html", "text/html"), ("txt", "text/plain"), ("csv", "text/csv"), ("parquet", "application/vnd.apache.parquet"), ("png", "image/png"), ("zip", "application/zip"))
-_KEYS = "('a/b.JSON'), ('x.parquet'), ('noext'), ('dir.v1/file'), ('p.tar.zip'), ('i.PNG'), ('t.txt')"
+TYPES = (
+    ("parquet", "application/vnd.apache.parquet"),
+    ("tsv", "text/tab-separated-values"),
+    ("sf", "text/tab-separated-values"),
+    ("csv", "text/csv"),
+    ("json", "application/json"),
+    ("zip", "application/zip"),
+    ("gz", "application/gzip"),
+    ("html", "text/html; charset=utf-8"),
+    ("txt", "text/plain; charset=utf-8"),
+    ("png", "image/png"),
+)
+_EXT = "['.parquet', '.TSV', '.sf', '.csv', '.JSON', '.tar.zip', '.gz', '.html', '', '.d/file']"
+
+
+@query(f"""SELECT doc_id, k, CASE regexp_extract(lower(k), '\.([^./]+)$', 1) WHEN 'parquet' THEN 'application/vnd.apache.parquet' WHEN 'tsv' THEN 'text/tab-separated-values' WHEN 'sf' THEN 'text/tab-separated-values' WHEN 'csv' THEN 'text/csv'
+ WHEN 'json' THEN 'application/json' WHEN 'zip' THEN 'application/zip' WHEN 'gz' THEN 'application/gzip' WHEN 'html' THEN 'text/html; charset=utf-8' ELSE 'application/octet-stream' END AS content_type FROM (SELECT doc_id, source || '/' || doc_id || {_EXT}[doc_id % 10 + 1] AS k FROM documents)""")
+def content_type(spark: SparkSession, d: str) -> DataFrame:
+    ends = (".parquet", ".TSV", ".sf", ".csv", ".JSON", ".tar.zip", ".gz", ".html", "", ".d/file")
+    key = F.concat("source", F.lit("/"), "doc_id", F.element_at(F.array(*map(F.lit, ends)), (F.col("doc_id") % 10 + 1).cast("int")))
+    return table(spark, d, "documents").select("doc_id", key.alias("k")).withColumn("content_type", type_of(F.col("k")))
 
 
-@query(f"SELECT k, coalesce(t, 'application/octet-stream') AS content_type FROM (VALUES {_KEYS}) v(k) LEFT JOIN (VALUES {', '.join(map(str, TYPES))}) m(e, t) ON e = lower(regexp_extract(k, '\\.([^./]+)$', 1))")
-def content_type(spark: SparkSession, d: str) -> DataFrame:
+def type_of(key: Column) -> Column:
     known = F.create_map(*[F.lit(x) for pair in TYPES for x in pair])
-    keys = spark.sql(f"SELECT * FROM VALUES {_KEYS} AS v(k)")
-    return keys.select("k", F.coalesce(F.try_element_at(known, F.lower(F.regexp_extract("k", r"\.([^./]+)$", 1))), F.lit("application/octet-stream")).alias("content_type"))
+    return F.coalesce(F.try_element_at(known, F.lower(F.regexp_extract(key, r"\.([^./]+)$", 1))), F.lit("application/octet-stream"))
 
 
 _NAMES = "('abc'), ('A'), ('a_b.c-1'), (''), ('é'), ('a b'), ('" + "x" * 58 + "'), ('" + "x" * 59 + "')"

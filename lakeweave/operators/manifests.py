@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions.columns import ROW_BYTES, chunks
+from ..functions.columns import ROW_BYTES, bytes_between, chunks
 from ..registry import query, table
 
 _RANGES = "('bytes=0-9'), ('bytes=5-'), ('bytes=-3'), ('bytes=1-2,4-5'), ('bytes=-'), ('items=0-1')"
@@ -46,15 +46,7 @@ def range_resolve(spark: SparkSession, d: str) -> DataFrame:
 @query("""WITH x AS (SELECT p_partkey, p_name, length(p_name) AS n, -7 AS s0, -2 AS e0 FROM part), y AS (SELECT *, greatest(0, s0 + n) AS s, e0 + n AS e FROM x)
  SELECT p_partkey, CASE WHEN e < 0 OR s > e OR s >= n THEN '' ELSE substr(p_name, s + 1, least(e, n - 1) - s + 1) END AS part FROM y""")
 def getrange(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "part").select("p_partkey", slice_of(F.col("p_name"), -7, -2).alias("part"))
-
-
-def slice_of(text, start: int, end: int):
-    """Inclusive bounds; negative ones count from the end; nothing if they cross."""
-    n = F.length(text)
-    s = F.greatest(F.lit(0), n + start) if start < 0 else F.lit(start)
-    e = n + end if end < 0 else F.lit(end)
-    return F.when((e < 0) | (s > e) | (s >= n), "").otherwise(F.substring(text, s + 1, F.least(e, n - 1) - s + 1))
+    return table(spark, d, "part").select("p_partkey", bytes_between(F.col("p_name").cast("binary"), -7, -2).cast("string").alias("part"))
 
 
 _SEG = "SELECT conv_id, turn, sum(length(text)) OVER w - length(text) AS base, length(text) AS len FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn)"

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions.columns import at, common_prefix, etag_matches, live
+from ..functions.columns import at, bytes_between, common_prefix, etag_matches, live, written
 from ..plans.patterns import in_prefix
 from ..registry import AS_OF, query, table
 from .manifests import resolved
@@ -191,9 +191,6 @@ def bulk_delete(spark: SparkSession, d: str) -> DataFrame:
     return rows.select("asked", status.alias("status"), F.when(F.col("there").isNotNull(), F.col("doc_id") * 10).alias("file_id"))
 
 
-_FOLDERS = "('src0/'), ('src1/'), ('gone/')"
-
-
 @query(f"""SELECT key FROM {_OBJ} WHERE starts_with(key, 'src1') AND key >= 'src1/' AND key > 'src1/000000003' ORDER BY key LIMIT 40""")
 def origin_listing(spark: SparkSession, d: str) -> DataFrame:
     """An origin is listed from the folder that the prefix lies in, then by prefix and start (X9)."""
@@ -214,14 +211,6 @@ def origin_precondition(spark: SparkSession, d: str) -> DataFrame:
     return rows.select("key", "asked", header.alias("header"))
 
 
-def bytes_between(body: Column, start: int, end: int) -> Column:
-    """The bytes from ``start`` to ``end``, both included; negative ones count from the end; none if they cross."""
-    n = F.octet_length(body)
-    s = F.greatest(F.lit(0), n + start) if start < 0 else F.lit(start)
-    e = n + end if end < 0 else F.lit(end)
-    return F.when((e < 0) | (s > e) | (s >= n), F.lit(b"").cast("binary")).otherwise(F.substring(body, s + 1, F.least(e, n - 1) - s + 1))
-
-
 @query(f"SELECT doc_id, md5(CASE WHEN size < 3 THEN ''::BLOB ELSE array_slice(body, greatest(size - 40, 0) + 1, size - 2) END) AS md5 FROM {_OBJ}")
 def getrange_bytes(spark: SparkSession, d: str) -> DataFrame:
     """GETRANGE counts bytes, not characters (PR9)."""
@@ -232,10 +221,3 @@ def getrange_bytes(spark: SparkSession, d: str) -> DataFrame:
 def setrange_bytes(spark: SparkSession, d: str) -> DataFrame:
     """SETRANGE writes bytes at a byte offset, after zeros where the value is shorter (KV6)."""
     return objects(spark, d).select("doc_id", F.md5(written(F.col("body"), b"XYZ", 50)).alias("md5"))
-
-
-def written(body: Column, value: bytes, offset: int) -> Column:
-    """``value`` over the bytes from ``offset`` on."""
-    n, end = F.octet_length(body), offset + len(value)
-    head = F.concat(F.substring(body, F.lit(1), F.lit(offset)), F.unhex(F.repeat(F.lit("00"), F.greatest(F.lit(0), F.lit(offset) - n))))
-    return F.concat(head, F.lit(value).cast("binary"), F.substring(body, F.lit(end + 1), F.greatest(F.lit(0), n - end)))

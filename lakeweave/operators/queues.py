@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.columns import at, backoff
 from ..registry import query, table
+from .jobs import SOURCES, STATES
 
 _NOW = "1998-01-01 00:00:00"
 _JOBS = f"""(SELECT o_orderkey AS seq, o_orderstatus AS queue, CAST(split_part(o_orderpriority, '-', 1) AS INT) AS priority, o_orderdate AS visible,
@@ -60,26 +61,22 @@ def staged(rows: DataFrame, now: str) -> DataFrame:
     return rows.select("seq", F.when(F.col("o_orderdate") > at(now), "scheduled").otherwise("available").alias("state"), F.lit(3).alias("max_attempts"), F.when(F.col("initial") <= 0, 1000).otherwise(F.col("initial")).cast("int").alias("retry_initial_ms"), F.when(F.col("factor") < 1, 2.0).otherwise(F.col("factor")).alias("retry_coefficient"))
 
 
-STATES = ("pending", "scheduled", "available", "active", "retryable", "completed", "cancelled", "discarded")
-#: Event, source states, next state.
-TRANSITIONS = (
-    ("schedule_due", "scheduled retryable", "available"),
-    ("lease", "available", "active"),
-    ("lease_expired", "active", "available"),
-    ("ack", "active", "completed"),
-    ("nack", "active", "retryable"),
-    ("heartbeat", "active", "active"),
-    ("cancel", "pending scheduled available active retryable", "cancelled"),
-    ("expire", "pending scheduled available retryable", "discarded"),
-)
-_PAIRS = ", ".join(f"('{e}', '{s}', '{n}')" for e, sources, n in TRANSITIONS for s in sources.split())
+_TABLE = """('enqueue', 'new', 'available or scheduled'), ('schedule_due', 'scheduled', 'available'), ('schedule_due', 'retryable', 'available'), ('lease', 'available', 'active'),
+ ('lease_expired', 'active', 'available or discarded'), ('ack', 'active', 'completed'), ('nack', 'active', 'retryable or discarded'), ('heartbeat', 'active', 'active'), ('cancel', 'scheduled', 'cancelled'), ('cancel', 'available', 'cancelled'),
+ ('cancel', 'pending', 'cancelled'), ('cancel', 'active', 'cancelled'), ('cancel', 'retryable', 'cancelled'), ('expire', 'scheduled', 'discarded'), ('expire', 'available', 'discarded'), ('expire', 'retryable', 'discarded')"""
+_WHO = "(SELECT o_orderkey AS seq, ['new', 'pending', 'scheduled', 'available', 'active', 'retryable', 'completed', 'cancelled', 'discarded'][o_orderkey % 9 + 1] AS state, ['enqueue', 'schedule_due', 'lease', 'lease_expired', 'ack', 'nack', 'heartbeat', 'cancel', 'expire'][o_orderkey // 9 % 9 + 1] AS event FROM orders)"
 
 
-@query(f"SELECT e.e AS event, s.s AS state, t.n AS next FROM (VALUES {', '.join(f"('{t[0]}')" for t in TRANSITIONS)}) e(e) CROSS JOIN (VALUES {', '.join(f"('{s}')" for s in STATES)}) s(s) LEFT JOIN (VALUES {_PAIRS}) t(e, s, n) ON t.e = e.e AND t.s = s.s")
+@query(f"SELECT seq, w.event, w.state, t.n AS next FROM {_WHO} w LEFT JOIN (VALUES {_TABLE}) t(e, s, n) ON t.e = w.event AND t.s = w.state")
 def job_transition(spark: SparkSession, d: str) -> DataFrame:
-    rules = spark.createDataFrame([(e, s, n) for e, sources, n in TRANSITIONS for s in sources.split()], "event string, state string, next string")
-    asked = spark.createDataFrame([(t[0], s) for t in TRANSITIONS for s in STATES], "event string, state string")
-    return asked.join(F.broadcast(rules), ["event", "state"], "left")  # a table of fixed size
+    """Where each of the nine events may take a job; null where its state refuses it.
+    ``jobs.transition`` gives the state itself, by clocks and attempts (JB3)."""
+    pick = lambda names, n: F.element_at(F.array(*map(F.lit, names)), (n % 9 + 1).cast("int"))
+    k = F.col("o_orderkey")
+    rows = table(spark, d, "orders").select(k.alias("seq"), pick([e for e, _ in SOURCES], F.expr("o_orderkey div 9")).alias("event"), pick(("new", *STATES), k).alias("state"))
+    ends = {"enqueue": "available or scheduled", "schedule_due": "available", "lease": "active", "lease_expired": "available or discarded", "ack": "completed", "nack": "retryable or discarded", "heartbeat": "active", "cancel": "cancelled", "expire": "discarded"}
+    rules = spark.createDataFrame([(e, s, ends[e]) for e, states in SOURCES for s in states.split()], "event string, state string, next string")
+    return rows.join(F.broadcast(rules), ["event", "state"], "left").select("seq", "event", "state", "next")  # a table of fixed size
 
 
 @query("SELECT i AS attempt, CAST(round(least(60000.0, 1000.0 * pow(2.0, greatest(i, 1) - 1))) AS BIGINT) AS job_ms, CAST(round(least(300.0, 2.0 * pow(2.0, greatest(i, 1) - 1))) AS BIGINT) AS outbox_s FROM range(0, 21) t(i)", name="backoff")

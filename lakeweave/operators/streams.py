@@ -125,6 +125,13 @@ def pinned_segments(spark: SparkSession, d: str) -> DataFrame:
     return subs.filter("t is null or c_custkey < 10").select("segment").distinct()  # a subscription without a tick pins
 
 
+@query("SELECT batch, event, count(*) AS deliveries, min(event_id) AS first FROM (SELECT user_id % 40 AS batch, event_id % 500 AS event, event_id FROM events) GROUP BY batch, event")
+def deliver_once(spark: SparkSession, d: str) -> DataFrame:
+    """Repeated deliveries of an event of a batch count as one, the first (ST17)."""
+    keys = [(F.col("user_id") % 40).alias("batch"), (F.col("event_id") % 500).alias("event")]
+    return table(spark, d, "events").groupBy(*keys).agg(F.count(F.lit(1)).alias("deliveries"), F.min("event_id").alias("first"))
+
+
 @query("SELECT time_bucket(INTERVAL 1 HOUR, ts) AS start, event_type, count(*) AS n FROM events GROUP BY ALL")
 def tumbling(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "events").groupBy(F.window("ts", "1 hour").alias("w"), "event_type").agg(F.count(F.lit(1)).alias("n")).select("w.start", "event_type", "n")
