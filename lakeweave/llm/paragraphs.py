@@ -24,6 +24,7 @@ in all that follows.
 from __future__ import annotations
 
 import re
+from dataclasses import dataclass
 from itertools import chain
 
 import numpy as np
@@ -192,8 +193,7 @@ class Winnower:
         self.forth = self.back = np.ones(1, np.uint64)
 
     def __call__(self, texts: list[str | None]):
-        """(number of the text, first word, hash, anchor) of all windows, as arrays
-        for some texts at a time."""
+        """``Windows`` of some texts at a time."""
         at, size = 0, 0
         for i, t in enumerate(texts):
             size += len(t or "")
@@ -201,12 +201,12 @@ class Winnower:
                 yield self._windows(texts[at : i + 1], at)
                 at, size = i + 1, 0
 
-    def _windows(self, texts: list[str | None], first: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    def _windows(self, texts: list[str | None], first: int) -> Windows:
         found = [(t or "").encode("utf-8", "surrogatepass").lower().split() for t in texts]
         n = np.array([len(f) for f in found], np.int64)
         ids = np.fromiter(map(self.memo.__getitem__, chain.from_iterable(found)), np.uint64, int(n.sum()))
         if len(ids) < WINDOW:
-            return (*[np.empty(0, np.int64)] * 2, *[np.empty(0, np.uint64)] * 2)
+            return Windows(*[np.empty(0, t) for t in (np.int64, np.int64, np.int64, np.int64, np.int64, np.int64)])
         if len(self.forth) < len(ids):
             self.forth, self.back = (np.cumprod(np.concatenate((np.ones(1, np.uint64), np.full(len(ids), p, np.uint64)))) for p in (np.uint64(_P), _BACK))
         sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(ids * self.back[: len(ids)])))
@@ -216,7 +216,27 @@ class Winnower:
         own = np.repeat(np.arange(len(n)), n)[: len(anchor)]
         at = np.arange(len(anchor))
         fits = np.flatnonzero(at + WINDOW <= ends[own])
-        return own[fits] + first, (at - (ends - n)[own])[fits], gram(WINDOW)[fits], anchor[fits]
+        own, anchor = own[fits], anchor[fits]
+        new = np.ones(len(fits), bool)  # a run of windows with one anchor begins
+        new[1:] = (own[1:] != own[:-1]) | (anchor[1:] != anchor[:-1]) | (fits[1:] != fits[:-1] + 1)
+        begin = np.flatnonzero(new)
+        low, high = fits[begin], fits[np.append(begin[1:], len(fits)) - 1] + WINDOW if len(begin) else begin
+        whole = mix((sums[high] - sums[low]) * self.forth[low] + mix((high - low).astype(np.uint64)))
+        signed = lambda x: x.view(np.int64)
+        return Windows(own + first, fits - (ends - n)[own], signed(gram(WINDOW)[fits]), signed(anchor), begin, signed(whole))
+
+
+@dataclass
+class Windows:
+    """All windows: number of the text, first word, hash, anchor; and the runs of windows
+    with one anchor: the number of their first window, and the hash of all their words."""
+
+    own: np.ndarray
+    pos: np.ndarray
+    hash: np.ndarray
+    anchor: np.ndarray
+    begin: np.ndarray
+    whole: np.ndarray
 
 
 def _anchors():
@@ -224,25 +244,34 @@ def _anchors():
 
     def run(ids: list, texts: list[str | None]) -> dict:
         doc = np.array(ids, np.int64)
-        found = [pd.DataFrame({"doc_id": doc[own], "a": anchor.view(np.int64)}).drop_duplicates() for own, _, _, anchor in windows(texts)]
-        return {c: np.concatenate([f[c].to_numpy() for f in found]) if found else [] for c in ("doc_id", "a")}
+        found = [pd.DataFrame({"doc_id": doc[w.own[w.begin]], "a": w.anchor[w.begin], "whole": w.whole}).drop_duplicates() for w in windows(texts)]
+        return {c: np.concatenate([f[c].to_numpy() for f in found]) if found else [] for c in ("doc_id", "a", "whole")}
 
     return run
 
 
 def _windows():
     windows = Winnower()
+    names = ("doc_id", "from", "to", "start", "end", "h", "lo")
 
-    def run(ids: list, texts: list[str | None], anchors: list[list[int]]) -> dict:
-        out: dict[str, list] = {k: [np.empty(0, np.int64)] for k in ("doc_id", "pos", "start", "end", "h")}
+    def run(ids: list, texts: list[str | None], anchors: list[list[dict]]) -> dict:
+        out: dict[str, list] = {k: [] for k in names}
         for d, t, wanted in zip(ids, texts, anchors, strict=True):
             spans = np.array([m.span() for m in _WORD.finditer(t or "")], np.int64).reshape(-1, 2)
-            for _, pos, h, anchor in windows([t]):
-                use = np.isin(anchor.view(np.int64), np.array(wanted, np.int64))
-                pos, h = pos[use], h[use]
-                for c, v in zip(out, (np.full(len(pos), d, np.int64), pos, spans[pos, 0], spans[pos + WINDOW - 1, 1], h.view(np.int64)), strict=True):
-                    out[c].append(v)
-        return {c: np.concatenate(v) for c, v in out.items()}
+            known = {r["a"]: r["lo"] for r in wanted}
+            for w in windows([t]):
+                for first, last in zip(w.begin.tolist(), [*w.begin[1:].tolist(), len(w.pos)], strict=True):
+                    a = int(w.anchor[first])
+                    if a not in known:
+                        continue
+                    places, lo = w.pos[first:last], known[a]
+                    one = lo is not None  # all windows of the run are alike wherever they stand
+                    begin, end = (places[:1], places[-1:]) if one else (places, places)
+                    rows = len(begin)
+                    parts = ([d] * rows, begin.tolist(), end.tolist(), spans[begin, 0].tolist(), spans[end + WINDOW - 1, 1].tolist(), [None] if one else w.hash[first:last].tolist(), [lo] * rows)
+                    for c, v in zip(names, parts, strict=True):
+                        out[c] += v
+        return out
 
     return run
 
@@ -251,16 +280,21 @@ def repeated_windows(spark: SparkSession, docs: DataFrame, ws: Workspace) -> Dat
     """doc_id, start, end, words, first_doc_id of every run of windows that other
     documents hold too, split where the first document changes. What is first
     here has no words that a part next to it shares with an earlier document."""
-    two = lambda rows, key: ws.save(rows.groupBy(key).agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).filter("lo < hi").select(key, "lo"))
-    anchors = ws.save(map_slices(docs, ["doc_id", "text"], _anchors, pa.schema([("doc_id", pa.int64()), ("a", pa.int64())]), "doc_id long, a long"))
-    wanted = ws.save(anchors.join(two(anchors, "a"), "a", "left_semi").groupBy("doc_id").agg(F.collect_list("a").alias("wanted")))  # a document's own anchors
-    kind = pa.schema([(c, pa.int64()) for c in ("doc_id", "pos", "start", "end", "h")])
+    kinds = lambda *names: pa.schema([(c, pa.int64()) for c in names])
+    anchors = ws.save(map_slices(docs, ["doc_id", "text"], _anchors, kinds("doc_id", "a", "whole"), "doc_id long, a long, whole long"))
+    shared = anchors.groupBy("a").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"), F.min("whole").alias("x"), F.max("whole").alias("y")).filter("lo < hi")
+    # Where all documents that hold an anchor hold the same words around it, one row stands for all its windows.
+    shared = ws.save(shared.select("a", F.when(F.col("x") == F.col("y"), F.col("lo")).alias("lo")))
+    wanted = ws.save(anchors.join(shared, "a").groupBy("doc_id").agg(F.collect_set(F.struct("a", "lo")).alias("wanted")))  # a document's own anchors
     near = among(docs, wanted).join(wanted, "doc_id")
-    rows = ws.save(map_slices(near, ["doc_id", "text", "wanted"], _windows, kind, "doc_id long, pos long, start long, end long, h long"))
-    ws.drop(anchors, wanted)
-    hits = rows.join(two(rows, "h"), "h")
-    part = F.col("pos") - F.row_number().over(Window.partitionBy("doc_id", "lo").orderBy("pos"))  # a document's own windows
-    parts = hits.withColumn("part", part).groupBy("doc_id", "lo", "part").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.min("pos").alias("from"), (F.max("pos") + WINDOW).alias("to"))
+    rows = ws.save(map_slices(near, ["doc_id", "text", "wanted"], _windows, kinds("doc_id", "from", "to", "start", "end", "h", "lo"), "doc_id long, from long, to long, start long, end long, h long, lo long"))
+    ws.drop(anchors, shared, wanted)
+    single = rows.filter("lo is null").drop("lo")
+    both = ws.save(single.groupBy("h").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).filter("lo < hi").select("h", "lo"))
+    hits = single.join(both, "h").select("doc_id", "lo", "from", "to", "start", "end").unionByName(rows.filter("lo is not null").select("doc_id", "lo", "from", "to", "start", "end"))
+    by = Window.partitionBy("doc_id", "lo").orderBy("from")  # a document's own windows
+    apart = F.coalesce(F.col("from") > F.lag("to").over(by) + 1, F.lit(True)).cast("int")
+    parts = hits.withColumn("apart", apart).withColumn("part", F.sum("apart").over(by)).groupBy("doc_id", "lo", "part").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.min("from").alias("from"), (F.max("to") + WINDOW).alias("to"))
     order = Window.partitionBy("doc_id").orderBy("from")
     here = F.col("lo") == F.col("doc_id")
     left, right = (F.when(here, f(c).over(order)) for f, c in ((F.lag, "to"), (F.lead, "from")))
@@ -269,7 +303,7 @@ def repeated_windows(spark: SparkSession, docs: DataFrame, ws: Workspace) -> Dat
     end = F.when(F.col("right") < F.col("to"), F.col("right_start")).otherwise(F.col("end"))
     words = F.least("to", "right") - F.greatest("from", "left")
     out = ws.save(cut.select("doc_id", start.alias("start"), end.alias("end"), words.alias("words"), F.col("lo").alias("first_doc_id")).filter("words > 0"))
-    ws.drop(rows)
+    ws.drop(rows, both)
     return out
 
 

@@ -548,8 +548,9 @@ def test_paragraphs_against_all_pairs(spark, docs):
         texts[10_000 + 2 * k] = " ".join(w)
         texts[10_001 + 2 * k] = " ".join(w[: (len(w) - 4) // 4 * 3 + 4])
     df = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
-    got = {(x["doc_id"], x["start"]) for x in rows(paragraphs.repeated(spark, df)) if x["kind"] != "passage"}
-    covered = {x["doc_id"] for x in rows(paragraphs.repeated(spark, df)) if x["kind"] == "document" and x["removed"]}
+    found = rows(paragraphs.repeated(spark, df))
+    got = {(x["doc_id"], x["start"]) for x in found if x["kind"] == "paragraph"}
+    covered = {x["doc_id"] for x in found if x["kind"] == "document"}  # copies as a whole, and the first of them
     sets = {}
     for d, t in texts.items():
         for _, s, e, _ in paragraphs.lines(t or ""):
@@ -562,8 +563,8 @@ def test_paragraphs_against_all_pairs(spark, docs):
             shared = len(sets[a] & sets[b])
             if 100 * shared >= 75 * (len(sets[a]) + len(sets[b]) - shared):
                 want |= {a, b}
-    found = {k for k in want if k in got or k[0] in covered}
-    assert len(found) >= 0.95 * len(want) and {k for k in got if k in sets} <= want | {(d, 0) for d in texts}
+    met = {k for k in want if k in got or k[0] in covered}
+    assert len(met) >= 0.99 * len(want) and got <= want
 
 
 def test_whole_copies_are_one(spark):
