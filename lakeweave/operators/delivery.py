@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.columns import at
 from ..registry import query, table
+from .tables import folder
 
 _NOW = "2024-01-20 00:00:00"
 
@@ -120,16 +121,22 @@ def ack_ticks(spark: SparkSession, d: str) -> DataFrame:
 def chained(batches: DataFrame) -> DataFrame:
     """consumer, cursor, chained: from each consumer's first tick over acked batches that
     follow each other. Ways are doubled in each round, so a chain of n batches takes
-    about log2(n) joins."""
+    about log2(n) joins; each round is written, so none is made again."""
+    root = folder(batches.sparkSession)
+
+    def saved(df: DataFrame, name: str) -> DataFrame:
+        df.write.parquet(f"{root}/{name}")
+        return batches.sparkSession.read.parquet(f"{root}/{name}")
+
     first = batches.groupBy("consumer").agg(F.min("start_tick").alias("cursor"))
     step = batches.filter("acked").select("consumer", F.col("start_tick").alias("from"), F.col("end_tick").alias("to"), F.lit(1).cast("bigint").alias("n"))
     rounds = max(1, (batches.groupBy("consumer").count().agg(F.max("count")).first()[0] or 1).bit_length())
     at_ = first.withColumn("chained", F.lit(0).cast("bigint"))
-    jumps = [step]
-    for _ in range(rounds - 1):
+    jumps = [saved(step, "0")]
+    for k in range(1, rounds):
         s = jumps[-1]
         t = s.select("consumer", F.col("from").alias("to"), F.col("to").alias("then"), F.col("n").alias("more"))
-        jumps.append(s.join(t, ["consumer", "to"]).select("consumer", "from", F.col("then").alias("to"), (F.col("n") + F.col("more")).alias("n")))
+        jumps.append(saved(s.join(t, ["consumer", "to"]).select("consumer", "from", F.col("then").alias("to"), (F.col("n") + F.col("more")).alias("n")), str(k)))
     for j in reversed(jumps):  # the longest way first
         at_ = at_.join(j.withColumnRenamed("from", "cursor"), ["consumer", "cursor"], "left").select("consumer", F.coalesce("to", "cursor").alias("cursor"), (F.col("chained") + F.coalesce("n", F.lit(0))).alias("chained"))
     return at_

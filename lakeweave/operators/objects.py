@@ -221,3 +221,20 @@ def getrange_bytes(spark: SparkSession, d: str) -> DataFrame:
 def setrange_bytes(spark: SparkSession, d: str) -> DataFrame:
     """SETRANGE writes bytes at a byte offset, after zeros where the value is shorter (KV6)."""
     return objects(spark, d).select("doc_id", F.md5(written(F.col("body"), b"XYZ", 50)).alias("md5"))
+
+
+_BLOCK = 32 * 8120  # bytes of the rows of one cached block
+
+
+@query(f"""WITH p AS (SELECT doc_id, n_chars * 5000 AS size, doc_id * 1000 % (n_chars * 5000 + 1) AS start FROM documents WHERE n_chars > 0), q AS (SELECT *, least(start + 500000, size) AS stop FROM p),
+ b AS (SELECT doc_id, size, start, stop, unnest(range(start // {_BLOCK}, (greatest(stop, start + 1) - 1) // {_BLOCK} + 1)) AS block FROM q)
+ SELECT doc_id, count(*) AS blocks, count(*) FILTER ((doc_id + block) % 3 = 0) AS hits, min(block) * {_BLOCK} AS aligned_start, least(max(block) * {_BLOCK} + {_BLOCK}, any_value(size)) AS aligned_end FROM b GROUP BY doc_id""")
+def block_fill(spark: SparkSession, d: str) -> DataFrame:
+    """A read widened to whole blocks: those that are cached, and what is fetched for the others (X22)."""
+    rows = table(spark, d, "documents").filter("n_chars > 0").select("doc_id", (F.col("n_chars") * 5000).alias("size"))
+    rows = rows.withColumn("start", F.col("doc_id") * 1000 % (F.col("size") + 1)).withColumn("stop", F.least(F.col("start") + 500_000, F.col("size")))
+    block = lambda c: F.floor(c / _BLOCK)
+    rows = rows.withColumn("blocks", F.sequence(block(F.col("start")), block(F.greatest("stop", F.col("start") + 1) - 1)))
+    hits = F.size(F.filter("blocks", lambda b: (F.col("doc_id") + b) % 3 == 0))
+    end = F.least(F.array_max("blocks") * _BLOCK + _BLOCK, F.col("size"))
+    return rows.select("doc_id", F.size("blocks").cast("bigint").alias("blocks"), hits.cast("bigint").alias("hits"), (F.array_min("blocks") * _BLOCK).alias("aligned_start"), end.alias("aligned_end"))

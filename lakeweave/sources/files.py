@@ -139,6 +139,20 @@ class ArchiveReader(DataSourceReader):
             yield from members_of(partition.value, source)
 
 
+class ArchiveEntries:
+    """The members of an archive without their content, as a table function: one row each."""
+
+    def eval(self, path: str) -> Iterator[tuple]:
+        with opened(path) as source:
+            for _, name, size, crc32, method, _ in members_of(path, source, content=False):
+                yield name, size, crc32, method
+
+
+def archive_entries(spark: SparkSession) -> None:
+    """Registers the table function ``archive_entries(path)`` for SQL."""
+    spark.udtf.register("archive_entries", F.udtf(ArchiveEntries, returnType="name string, size long, crc32 long, method int"))
+
+
 def write_binary(spark: SparkSession, path: str, data: bytes) -> None:
     """A file in any store that Spark writes to."""
     p = spark._jvm.org.apache.hadoop.fs.Path(path)
@@ -181,6 +195,15 @@ def archive_members(spark: SparkSession, d: str) -> DataFrame:
     return rows.select(F.element_at(F.split("archive", "/"), -1).alias("archive"), "name", F.col("size").cast("int").alias("size"), F.md5("content").alias("md5"))
 
 
+@query(f"SELECT archive, count(*) AS members, CAST(sum(size) AS BIGINT) AS bytes FROM (VALUES {_MEMBERS}) v(archive, name, size, md5) GROUP BY archive")
+def archive_listing(spark: SparkSession, d: str) -> DataFrame:
+    """Archives and what they hold, by a table function; no member is read (SC19, OB11)."""
+    archive_entries(spark)
+    files = spark.read.format("binaryFile").load(stored_archives(spark)).select("path")
+    rows = spark.sql("SELECT element_at(split(path, '/'), -1) AS archive, e.size FROM {files}, LATERAL archive_entries(path) e", files=files)
+    return rows.groupBy("archive").agg(F.count(F.lit(1)).alias("members"), F.sum("size").alias("bytes"))
+
+
 #: The magic numbers of a skippable frame that holds a seek table, and of the table's end.
 SKIPPABLE, SEEK_END = 0x184D2A5E, 0x8F92EAB1
 
