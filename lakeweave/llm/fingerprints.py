@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import WordHashes, Workspace, map_slices, slices, unique_docs
+from .common import WordHashes, Workspace, map_slices, slices, small_batches, unique_docs, with_release
 from .shingles import mix
 
 K, PICKS, ROWS = 3, 2, 32
@@ -141,7 +141,8 @@ def compare_edited(spark: SparkSession, docs: DataFrame) -> DataFrame:
             i, n, head, mark = before
             yield pa.RecordBatch.from_pylist([{"doc_id": i, "n_chars": n, "fingerprint": render(mark), "part": part, "edge": "last", "body": head}], kind)
 
-    found = ws.save(ranged.mapInArrow(run, f"{_ROW_SQL}, part int, edge string, body string"))
+    small_batches(spark)
+    found = ws.save(ranged.mapInArrow(with_release(run), f"{_ROW_SQL}, part int, edge string, body string"))
     parts = sorted(r.part for r in found.filter("edge = 'first'").select("part").collect())  # one number for each range
     follow = spark.createDataFrame([(p, parts[(i + 1) % len(parts)]) for i, p in enumerate(parts)], "part int, next_part int")
     first = found.filter("edge = 'first'").select(F.col("part").alias("next_part"), F.col("body").alias("next_body"), F.col("fingerprint").alias("next_mark"))
@@ -155,4 +156,4 @@ def compare_edited(spark: SparkSession, docs: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(c, x.type) for c, x in zip(zip(*rows, strict=True), kind, strict=True)], schema=kind)
 
     names = [n for n, _ in _ROW]
-    return found.filter("edge is null").select(*names).unionByName(pairs.mapInArrow(join_ranges, _ROW_SQL))
+    return found.filter("edge is null").select(*names).unionByName(pairs.mapInArrow(with_release(join_ranges), _ROW_SQL))
