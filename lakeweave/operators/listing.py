@@ -86,7 +86,7 @@ TYPES = (
 _EXT = "['.parquet', '.TSV', '.sf', '.csv', '.JSON', '.tar.zip', '.gz', '.html', '', '.d/file']"
 
 
-@query(f"""SELECT doc_id, k, CASE regexp_extract(lower(k), '\.([^./]+)$', 1) WHEN 'parquet' THEN 'application/vnd.apache.parquet' WHEN 'tsv' THEN 'text/tab-separated-values' WHEN 'sf' THEN 'text/tab-separated-values' WHEN 'csv' THEN 'text/csv'
+@query(f"""SELECT doc_id, k, CASE regexp_extract(lower(k), '[.]([^./]+)$', 1) WHEN 'parquet' THEN 'application/vnd.apache.parquet' WHEN 'tsv' THEN 'text/tab-separated-values' WHEN 'sf' THEN 'text/tab-separated-values' WHEN 'csv' THEN 'text/csv'
  WHEN 'json' THEN 'application/json' WHEN 'zip' THEN 'application/zip' WHEN 'gz' THEN 'application/gzip' WHEN 'html' THEN 'text/html; charset=utf-8' ELSE 'application/octet-stream' END AS content_type FROM (SELECT doc_id, source || '/' || doc_id || {_EXT}[doc_id % 10 + 1] AS k FROM documents)""")
 def content_type(spark: SparkSession, d: str) -> DataFrame:
     ends = (".parquet", ".TSV", ".sf", ".csv", ".JSON", ".tar.zip", ".gz", ".html", "", ".d/file")

@@ -177,7 +177,8 @@ def precondition(spark: SparkSession, d: str) -> DataFrame:
     return rows.select("o_orderkey", F.when(kind == 0, "none").when(ok, "ok").otherwise("failed").alias("outcome"))
 
 
-@query()
+@query("""SELECT doc_id, n < 16 OR n > 65536 OR len(list_distinct(list_transform(range(1, least(n, 512) + 1), lambda i: array_slice(b, i, i)))) > 200 AS skip
+ FROM (SELECT doc_id, encode(text) AS b, octet_length(encode(text)) AS n FROM documents)""")
 def incompressible(spark: SparkSession, d: str) -> DataFrame:
     """Texts whose first 512 bytes have over 200 distinct values, or that are too short or long to compress."""
     size = F.octet_length("text")
