@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import Workspace, kept, map_slices
-from .tokens import TokenBytes, vocabulary
+from .tokens import Chunks, TokenBytes, vocabulary
 
 CAPACITY = 2048
 #: End-of-document id.
@@ -88,11 +88,11 @@ def plan(counts: dict[int, int], capacity: int, max_docs: int, max_cost: int, we
     return np.array(runs, np.int64).reshape(-1, 5), bins
 
 
-def _tokenised(path: str, capacity: int):
+def _tokenised(path: str, capacity: int, memo_bytes: int):
     def make():
         from pyspark import TaskContext
 
-        many = kept(("token ids", path), lambda: TokenBytes(path)).many
+        many = kept(("token ids", path, memo_bytes), lambda: TokenBytes(path, memo_bytes)).many
         part = TaskContext.get().partitionId()
         seen = [0] * (capacity + 1)
 
@@ -120,7 +120,7 @@ def _tokenised(path: str, capacity: int):
     return make
 
 
-def pack(spark: SparkSession, docs: DataFrame, vocabulary_path: str | None = None, capacity: int = CAPACITY, max_docs: int | None = None, max_cost: int | None = None, rule: str = "norm") -> DataFrame:
+def pack(spark: SparkSession, docs: DataFrame, vocabulary_path: str | None = None, capacity: int = CAPACITY, max_docs: int | None = None, max_cost: int | None = None, rule: str = "norm", memo_bytes: int = Chunks.BYTES) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32, sequence_id, offset of every piece.
 
     A null or empty text is one piece, the end id alone. Rows that repeat a doc_id
@@ -129,10 +129,10 @@ def pack(spark: SparkSession, docs: DataFrame, vocabulary_path: str | None = Non
     ``max_docs`` pieces and ``max_cost`` attention cost. By default these two bind no
     sequence that its tokens don't bind (a piece has a token at least, and squares of
     parts add up to no more than the square of their sum): a tighter one would
-    need more sequences."""
+    need more sequences. ``memo_bytes``: half of what each worker keeps of token ids."""
     path, ws = vocabulary_path or vocabulary(), Workspace(spark)
     kinds = [("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64()), ("part", pa.int32()), ("rank", pa.int64())]
-    pieces = ws.save(map_slices(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), ["doc_id", "text"], _tokenised(path, capacity), pa.schema(kinds), "doc_id long, piece int, start long, length long, ids_crc32 long, part int, rank long", keep=True))
+    pieces = ws.save(map_slices(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), ["doc_id", "text"], _tokenised(path, capacity, memo_bytes), pa.schema(kinds), "doc_id long, piece int, start long, length long, ids_crc32 long, part int, rank long", keep=True))
     tallies = ws.save(pieces.groupBy("length", "part").agg(F.count(F.lit(1)).alias("n")))
     counts = {r.length: r.n for r in tallies.groupBy("length").agg(F.sum("n").alias("n")).collect()}  # at most `capacity` rows
     runs, _ = plan(counts, capacity, max_docs or capacity, max_cost or capacity * capacity, rule=rule)

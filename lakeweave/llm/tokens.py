@@ -77,8 +77,8 @@ class Chunks(Generic[V]):
 
     BYTES, LONGEST, ENTRY = 40_000_000, 64, 110
 
-    def __init__(self, cut: PreTokens, value: Callable[[str], V], weigh: Callable[[V], int] = len, joined: bool = False) -> None:
-        self.special, self.value, self.weigh, self.joined = cut.special_pattern, value, weigh, joined
+    def __init__(self, cut: PreTokens, value: Callable[[str], V], weigh: Callable[[V], int] = len, joined: bool = False, most: int = BYTES) -> None:
+        self.special, self.value, self.weigh, self.joined, self.most = cut.special_pattern, value, weigh, joined, most
         self.find = re.compile(f"[{_WHITE}]*[^{_WHITE}]+|[{_WHITE}]+").findall
         self.new: dict[str, V] = {}
         self.before: dict[str, V] = {}
@@ -125,7 +125,7 @@ class Chunks(Generic[V]):
             else:
                 v = self.value(chunk)
         if len(chunk) <= self.LONGEST:
-            if self.size >= self.BYTES:
+            if self.size >= self.most:
                 self.before, self.new, self.size = self.new, {}, 0
             self.size += self.ENTRY + 4 * len(chunk) + self.weigh(v)
             self.new[chunk] = v
@@ -165,10 +165,10 @@ class Pieces:
 class TokenBytes:
     """Ids of texts as little-endian unsigned 32-bit bytes."""
 
-    def __init__(self, path: str) -> None:
+    def __init__(self, path: str, memo_bytes: int = Chunks.BYTES) -> None:
         self._cut, self._pieces = PreTokens(path), Pieces(path)
         self._space = chr(self._pieces.signs[32])
-        self._memo: Chunks[bytes] = Chunks(self._cut, self._ids, joined=True)
+        self._memo: Chunks[bytes] = Chunks(self._cut, self._ids, joined=True, most=memo_bytes)
 
     def _ids(self, chunk: str) -> bytes:
         special, word = self._cut.special, chunk[1:]
