@@ -12,8 +12,6 @@ shuffle.
 from __future__ import annotations
 
 from collections import Counter
-from collections.abc import Callable
-from itertools import chain
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -34,13 +32,12 @@ class Frequencies:
     def __init__(self, path: str) -> None:
         self.cut = PreTokens(path)
         self.split = Chunks(self.cut, self.cut).split
-        self.chunks: dict[str, int] = {}
+        self.chunks: Counter[str] = Counter()
 
     def __call__(self, texts: list[str | None]) -> dict:
-        here = Counter(chain.from_iterable(self.split(t) for t in texts if t))
-        total, get = self.chunks, self.chunks.get
-        for c, n in here.items():
-            total[c] = get(c, 0) + n
+        for t in texts:
+            if t:
+                self.chunks.update(self.split(t))
         return self.end() if len(self.chunks) >= TOGETHER else {"piece": [], "n": []}
 
     def end(self) -> dict:
@@ -65,15 +62,27 @@ def _pieces(path: str):
     return make
 
 
-def _looked_up(cut: PreTokens, hot: dict[str, int]) -> Callable[[str], tuple[int, tuple[str, ...]]]:
-    """The tokens of a chunk's hot pre-tokens, and its other pre-tokens."""
+class Lookup(dict):
+    """Tokens of a chunk's hot pre-tokens; ``rest`` has the other pre-tokens of
+    each chunk with any. Emptied when it holds too many."""
 
-    def value(chunk: str) -> tuple[int, tuple[str, ...]]:
-        pieces = cut(chunk)
-        found = [hot.get(x, 0) for x in pieces]
-        return sum(found), tuple(x for x, c in zip(pieces, found, strict=True) if not c)
+    LIMIT = 250_000
 
-    return value
+    def __init__(self, cut: PreTokens, hot: dict[str, int]) -> None:
+        self.cut, self.hot, self.rest = cut, hot, {}
+
+    def __missing__(self, chunk: str) -> int:
+        pieces = self.cut(chunk)
+        found = [self.hot.get(x, 0) for x in pieces]
+        if not all(found):
+            self.rest[chunk] = [x for x, c in zip(pieces, found, strict=True) if not c]
+        self[chunk] = n = sum(found)
+        return n
+
+    def tidy(self) -> None:
+        if len(self) > self.LIMIT:
+            self.clear()
+            self.rest.clear()
 
 
 def count_tokens(spark: SparkSession, docs: DataFrame, vocabulary_path: str | None = None, limit: int = 512, hot: int = HOT) -> DataFrame:
@@ -102,20 +111,20 @@ def count_tokens(spark: SparkSession, docs: DataFrame, vocabulary_path: str | No
 
     def make():
         cut = PreTokens(path)
-        memo = Chunks(cut, _looked_up(cut, shared.value), weigh=lambda v: 60 + sum(map(len, v[1])) + 60 * len(v[1]))
+        memo, split = Lookup(cut, shared.value), Chunks(cut, cut).split
 
         def run(ids: list, texts: list[str | None]) -> dict:
             sizes, hot, pieces, counts, ends = [], [], [], [], [0]
-            chunks = [memo.split(t) if t else [] for t in texts]
-            found = memo.of(chunks)
-            tokens, others = {c: v[0] for c, v in found.items()}, {c: v[1] for c, v in found.items() if v[1]}
-            for t, own in zip(texts, chunks, strict=True):
-                sizes.append(len(t.encode("utf-8", "surrogatepass")) if t else 0)
-                hot.append(sum(map(tokens.__getitem__, own)))
-                rest = Counter(x for c in filter(others.__contains__, own) for x in others[c])
+            for t in texts:
+                t = t or ""
+                chunks = split(t)
+                sizes.append(len(t.encode("utf-8", "surrogatepass")))
+                hot.append(sum(map(memo.__getitem__, chunks)))
+                rest = Counter(x for c in filter(memo.rest.__contains__, chunks) for x in memo.rest[c])
                 pieces += rest
                 counts += rest.values()
                 ends.append(len(pieces))
+                memo.tidy()
             rows = pa.StructArray.from_arrays([pa.array(pieces, pa.string()), pa.array(counts, pa.int64())], ["piece", "n"])
             return {"doc_id": ids, "n_bytes": sizes, "hot": hot, "rest": pa.ListArray.from_arrays(pa.array(ends, pa.int32()), rows)}
 
