@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
 from functools import cache
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, StringType
 
+from .batches import cuts_of, small_batches
+
 #: Bytes that one lane of a checksum takes; longer values are cut and the parts combined.
 LANE = 1024
 #: Sizes and spread beyond which a block is stored as it is.
@@ -69,23 +73,34 @@ def crc(name: str) -> Crc:
     return Crc(*{"crc32c": (0x82F63B78, 32), "crc64nvme": (0x9A6C9329AC4BC9B5, 64)}[name])
 
 
-def _hex(name: str, data: pd.Series) -> pd.Series:
-    """Lower-case hex digits; null stays null. A bounded number of values at a time."""
-    c, out = crc(name), []
-    rows = data.tolist()
-    for at in range(0, len(rows), 64):
-        part = rows[at : at + 64]
-        out += [None if v is None else f"{int(x):0{c.bits // 4}x}" for v, x in zip(part, c([v or b"" for v in part]), strict=True)]
-    return pd.Series(out, dtype=object)
+def _parts(*columns: pa.Array) -> Iterator[list[tuple]]:
+    """The rows of columns, a bounded number of rows and bytes at a time."""
+    batch = pa.RecordBatch.from_arrays(list(columns), [str(i) for i in range(len(columns))])
+    for at, n in cuts_of(batch):
+        yield list(zip(*[c.slice(at, n).to_pylist() for c in batch.columns], strict=True))
+
+
+def _each(f: Callable[[list[tuple]], list], kind: pa.DataType, *columns: pa.Array) -> pa.Array:
+    return pa.concat_arrays([pa.array([], kind), *[pa.array(f(rows), kind) for rows in _parts(*columns)]])
+
+
+def _hex(name: str, data: pa.Array) -> pa.Array:
+    """Lower-case hex digits; null stays null."""
+    c = crc(name)
+
+    def digits(rows: list[tuple]) -> list[str | None]:
+        return [None if v is None else f"{int(x):0{c.bits // 4}x}" for (v,), x in zip(rows, c([v or b"" for (v,) in rows]), strict=True)]
+
+    return _each(digits, pa.string(), data)
 
 
-@F.pandas_udf(StringType())
-def crc32c(data: pd.Series) -> pd.Series:
+@F.arrow_udf(StringType())
+def crc32c(data: pa.Array) -> pa.Array:
     return _hex("crc32c", data)
 
 
-@F.pandas_udf(StringType())
-def crc64nvme(data: pd.Series) -> pd.Series:
+@F.arrow_udf(StringType())
+def crc64nvme(data: pa.Array) -> pa.Array:
     return _hex("crc64nvme", data)
 
 
@@ -94,26 +109,56 @@ def skips(block: bytes) -> bool:
     return not LEAST_BLOCK <= len(block) <= MOST_BLOCK or len(set(block[:HEAD])) > MOST_DISTINCT
 
 
-@F.pandas_udf(BinaryType())
-def compress_block(data: pd.Series) -> pd.Series:
-    """The block in zstd if that is smaller, else as it is; null stays null."""
-    import zstandard
+class Codec:
+    """Blocks in zstd where that is smaller, else as they are; null stays null."""
+
+    def __init__(self) -> None:
+        import zstandard
 
-    z = zstandard.ZstdCompressor()
+        self._pack, self._unpack = zstandard.ZstdCompressor().compress, zstandard.ZstdDecompressor().decompress
 
-    def one(block: bytes | None) -> bytes | None:
+    def stored(self, block: bytes | None) -> bytes | None:
         if block is None or skips(block):
             return block
-        packed = z.compress(block)
+        packed = self._pack(block)
         return packed if len(packed) < len(block) else block
 
-    return pd.Series([one(b) for b in data], dtype=object)
+    def block(self, stored: bytes | None, size: int) -> bytes | None:
+        """The block of ``size`` bytes: stored as it is where the lengths are equal."""
+        return stored if stored is None or len(stored) == size else self._unpack(stored, max_output_size=int(size))
 
 
-@F.pandas_udf(BinaryType())
-def decompress_block(stored: pd.Series, size: pd.Series) -> pd.Series:
-    """The block of ``size`` bytes: stored as it is where the lengths are equal."""
-    import zstandard
+@F.arrow_udf(BinaryType())
+def compress_block(data: pa.Array) -> pa.Array:
+    """The block in zstd if that is smaller, else as it is; null stays null."""
+    z = Codec()
+    return _each(lambda rows: [z.stored(b) for (b,) in rows], pa.binary(), data)
+
 
-    z = zstandard.ZstdDecompressor()
-    return pd.Series([b if b is None or len(b) == n else z.decompress(b, max_output_size=int(n)) for b, n in zip(stored, size, strict=True)], dtype=object)
+@F.arrow_udf(BinaryType())
+def decompress_block(stored: pa.Array, size: pa.Array) -> pa.Array:
+    """The block of ``size`` bytes: stored as it is where the lengths are equal."""
+    z = Codec()
+    return _each(lambda rows: [z.block(b, n) for b, n in rows], pa.binary(), stored, size)
+
+
+def coded(df: DataFrame, key: str, data: str) -> DataFrame:
+    """``key`` (a long), size, same, no_larger for every row: the bytes of ``data``, whether they
+    come back from the codec as they were, and whether they are stored in no more bytes. Null
+    comes back as null. Each block goes there and back in one worker, a bounded part of a
+    batch at a time, and none is sent back to Spark."""
+    kind = pa.schema([(key, pa.int64()), ("size", pa.int64()), ("same", pa.bool_()), ("no_larger", pa.bool_())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        z = Codec()
+        for batch in batches:
+            for rows in _parts(*batch.columns):
+                out: list[tuple] = []
+                for k, b in rows:
+                    size = 0 if b is None else len(b)
+                    stored = z.stored(b)
+                    out.append((k, None if b is None else size, z.block(stored, size) == b, b is None or len(stored) <= size))
+                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out, strict=True), kind.types, strict=True)], schema=kind)
+
+    small_batches(df.sparkSession)
+    return df.select(F.col(key).cast("long").alias(key), F.col(data).cast("binary").alias("data")).mapInArrow(run, f"{key} long, size long, same boolean, no_larger boolean")

@@ -15,14 +15,12 @@ from collections.abc import Callable, Hashable, Iterator
 from contextlib import contextmanager
 from typing import TypeVar
 
-import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows, and bytes of texts, that a Python worker turns into Python objects at a time; one row may have more.
-SLICE, SLICE_BYTES = 256, 4 << 20
+from ..functions.batches import cuts_of, small_batches
+
 T = TypeVar("T")
 
 
@@ -108,21 +106,6 @@ def unique_docs(docs: DataFrame, *columns: str) -> DataFrame:
     return out.select(*[cols[c].alias(c) for c in docs.columns])
 
 
-def cuts_of(batch: pa.RecordBatch) -> Iterator[tuple[int, int]]:
-    """(first row, rows) of parts of at most ``SLICE`` rows and ``SLICE_BYTES`` of
-    texts; a row that is larger is a part alone."""
-    size = np.zeros(batch.num_rows, np.int64)
-    for c in batch.columns:
-        if pa.types.is_string(c.type) or pa.types.is_binary(c.type) or pa.types.is_large_string(c.type):
-            size += pc.fill_null(pc.binary_length(c), 0).to_numpy(zero_copy_only=False)
-    ends, at = np.cumsum(size), 0
-    while at < batch.num_rows:
-        before = ends[at - 1] if at else 0
-        n = max(1, min(SLICE, int(np.searchsorted(ends, before + SLICE_BYTES, "right")) - at))
-        yield at, n
-        at += n
-
-
 def slices(batches: Iterator[pa.RecordBatch], *columns: str) -> Iterator[tuple[list, ...]]:
     """The named columns as Python lists, a bounded number of rows and bytes at a time."""
     for batch in batches:
@@ -131,18 +114,6 @@ def slices(batches: Iterator[pa.RecordBatch], *columns: str) -> Iterator[tuple[l
             yield tuple(part.column(part.schema.get_field_index(c)).to_pylist() for c in columns)
 
 
-#: Settings of Arrow's batches that are lowered where a session has Spark's defaults: a
-#: batch is held by the executor and by its Python worker at the same time.
-BATCHES = (("spark.sql.execution.arrow.maxRecordsPerBatch", "10000", "2000"), ("spark.sql.execution.arrow.maxBytesPerBatch", "67108864b", "16777216b"))
-
-
-def small_batches(spark: SparkSession) -> None:
-    """From now on this session sends texts to Python in batches of modest size."""
-    for name, default, value in BATCHES:
-        if spark.conf.get(name, default) == default:
-            spark.conf.set(name, value)
-
-
 _KEPT: dict[Hashable, object] = {}
 
 

@@ -5,13 +5,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.bytes import compress_block, crc32c, crc64nvme, decompress_block
+from ..functions.batches import small_batches
+from ..functions.bytes import coded, crc32c, crc64nvme
 from ..registry import query, table
 
 
 @query()
 def checksums_wide(spark: SparkSession, d: str) -> DataFrame:
     """CRC32C and CRC64NVME of every text, in hex digits."""
+    small_batches(spark)
     data = F.col("text").cast("binary")
     return table(spark, d, "documents").select("doc_id", crc32c(data).alias("crc32c"), crc64nvme(data).alias("crc64nvme"))
 
@@ -19,7 +21,4 @@ def checksums_wide(spark: SparkSession, d: str) -> DataFrame:
 @query("SELECT doc_id, octet_length(encode(text)) AS size, true AS same, true AS no_larger FROM documents")
 def block_codec(spark: SparkSession, d: str) -> DataFrame:
     """Every text goes through the codec and comes back."""
-    data = F.col("text").cast("binary")
-    rows = table(spark, d, "documents").select("doc_id", data.alias("data"), F.octet_length(data).cast("bigint").alias("size"), compress_block(data).alias("stored"))
-    same = decompress_block("stored", "size").eqNullSafe(F.col("data"))
-    return rows.select("doc_id", F.when(F.col("data").isNotNull(), F.col("size")).alias("size"), same.alias("same"), F.coalesce(F.octet_length("stored") <= F.col("size"), F.lit(True)).alias("no_larger"))
+    return coded(table(spark, d, "documents"), "doc_id", "text")

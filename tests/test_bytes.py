@@ -37,3 +37,20 @@ def test_blocks_come_back(spark):
     assert [None if x.back is None else bytes(x.back) for x in got] == blocks
     assert [x.stored is not None and len(x.stored) < len(x.data) for x in got] == [False, False, False, False, False, True, False, True, False] or len(got[4].stored) <= 16
     assert got[0].crc is None and got[1].crc == "00000000"
+
+
+def test_codec_query_takes_bounded_parts(spark, tmp_path):
+    from lakeweave.functions import batches
+    from lakeweave.operators.blocks import block_codec
+
+    r = random.Random(7)
+    texts = [None, "", "é" * 40, "word " * 400, *["".join(r.choices("abcdefgh \n", k=3000)) for _ in range(2500)]]
+    spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string").coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    for name, default, _ in batches.BATCHES:
+        spark.conf.set(name, default)
+    out = block_codec(spark, str(tmp_path))
+    assert [spark.conf.get(name) for name, _, _ in batches.BATCHES] == [value for _, _, value in batches.BATCHES]
+    plan = out._jdf.queryExecution().toString()
+    assert plan.count("MapInArrow") and "ArrowEvalPython" not in plan  # one worker a task, no block goes back to Spark
+    got = {x.doc_id: x[1:] for x in out.collect()}
+    assert got == {i: (None if t is None else len(t.encode()), True, True) for i, t in enumerate(texts)}
