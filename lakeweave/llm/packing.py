@@ -25,9 +25,11 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import Workspace, kept, map_slices
-from .tokens import Chunks, TokenBytes, vocabulary
+from .tokens import TokenBytes, vocabulary
 
 CAPACITY = 2048
+#: Half of what each worker keeps of token ids.
+MEMO_BYTES = 100_000_000
 #: End-of-document id.
 END = b"\0\0\0\0"
 
@@ -120,7 +122,7 @@ def _tokenised(path: str, capacity: int, memo_bytes: int):
     return make
 
 
-def pack(spark: SparkSession, docs: DataFrame, vocabulary_path: str | None = None, capacity: int = CAPACITY, max_docs: int | None = None, max_cost: int | None = None, rule: str = "norm", memo_bytes: int = Chunks.BYTES) -> DataFrame:
+def pack(spark: SparkSession, docs: DataFrame, vocabulary_path: str | None = None, capacity: int = CAPACITY, max_docs: int | None = None, max_cost: int | None = None, rule: str = "norm", memo_bytes: int = MEMO_BYTES) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32, sequence_id, offset of every piece.
 
     A null or empty text is one piece, the end id alone. Rows that repeat a doc_id

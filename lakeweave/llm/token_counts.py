@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import Workspace, map_slices
-from .tokens import Chunks, Pieces, PreTokens, vocabulary
+from .tokens import Pieces, PreTokens, Split, parts_of, vocabulary
 
 #: The broadcast dictionary holds so many pre-tokens at most, of so many bytes each at most.
 HOT, HOT_BYTES = 80_000, 48
@@ -31,7 +31,7 @@ class Frequencies:
 
     def __init__(self, path: str) -> None:
         self.cut = PreTokens(path)
-        self.split = Chunks(self.cut, self.cut).split
+        self.split = Split(self.cut.special_pattern)
         self.chunks: Counter[str] = Counter()
 
     def __call__(self, texts: list[str | None]) -> dict:
@@ -44,7 +44,7 @@ class Frequencies:
         total: dict[str, int] = {}
         get = total.get
         for c, n in self.chunks.items():
-            for x in self.cut(c):
+            for x in self.cut.of(c):
                 total[x] = get(x, 0) + n
         self.chunks.clear()
         return {"piece": list(total), "n": list(total.values())}
@@ -63,26 +63,38 @@ def _pieces(path: str):
 
 
 class Lookup(dict):
-    """Tokens of a chunk's hot pre-tokens; ``rest`` has the other pre-tokens of
-    each chunk with any. Emptied when it holds too many."""
+    """Tokens of a chunk's hot pre-tokens, by the chunk's key; ``rest`` has the other
+    pre-tokens of each chunk with any. When it holds too many, they become the older
+    half, and what the older half held goes."""
 
     LIMIT = 250_000
 
     def __init__(self, cut: PreTokens, hot: dict[str, int]) -> None:
         self.cut, self.hot, self.rest = cut, hot, {}
-
-    def __missing__(self, chunk: str) -> int:
-        pieces = self.cut(chunk)
-        found = [self.hot.get(x, 0) for x in pieces]
-        if not all(found):
-            self.rest[chunk] = [x for x, c in zip(pieces, found, strict=True) if not c]
-        self[chunk] = n = sum(found)
+        self.before: tuple[dict, dict] = {}, {}
+        self.whole = frozenset(" " + s for s in cut.special)
+
+    def __missing__(self, key: str) -> int:
+        n = self.before[0].get(key)
+        if n is not None:
+            rest = self.before[1].get(key)
+        elif not key.isalpha() and key not in self.whole and (both := parts_of(key)):
+            n = self[both[0]] + self[both[1]]
+            rest = [x for c in both if c in self.rest for x in self.rest[c]]
+        else:
+            pieces = self.cut.of(key)
+            found = [self.hot.get(x, 0) for x in pieces]
+            n, rest = sum(found), [x for x, c in zip(pieces, found, strict=True) if not c]
+        if rest:
+            self.rest[key] = rest
+        self[key] = n
         return n
 
     def tidy(self) -> None:
         if len(self) > self.LIMIT:
+            self.before = self.copy(), self.rest
+            self.rest = {}
             self.clear()
-            self.rest.clear()
 
 
 def count_tokens(spark: SparkSession, docs: DataFrame, vocabulary_path: str | None = None, limit: int = 512, hot: int = HOT) -> DataFrame:
@@ -111,7 +123,7 @@ def count_tokens(spark: SparkSession, docs: DataFrame, vocabulary_path: str | No
 
     def make():
         cut = PreTokens(path)
-        memo, split = Lookup(cut, shared.value), Chunks(cut, cut).split
+        memo, split = Lookup(cut, shared.value), Split(cut.special_pattern)
 
         def run(ids: list, texts: list[str | None]) -> dict:
             sizes, hot, pieces, counts, ends = [], [], [], [], [0]

@@ -12,8 +12,7 @@ import re
 import struct
 import sys
 from array import array
-from collections.abc import Callable
-from itertools import chain
+from collections.abc import Callable, Iterable
 from typing import Generic, TypeVar
 
 MODEL = "byte_bpe_50k.json"
@@ -53,84 +52,121 @@ class PreTokens:
             at = m.end()
         return out + self._find(text[at:])
 
-
-#: Unicode's white space, as the pre-tokeniser knows it.
+    def of(self, key: str) -> list[str]:
+        """The pieces of the chunk of this key (see ``Split``)."""
+        if key[0] == " " and key[1:] in self.special:
+            return [key[1:]]
+        if key.isascii() or max(key) <= LAST:
+            if key.isalpha():
+                return [" " + key]
+            if key[0] == " " and key[1:].isalpha():
+                return [key[1:]]
+            if both := parts_of(key):
+                return self.of(both[0]) + self.of(both[1])
+        return self._find(chunk_of(key))
+
+
+#: Unicode's white space, as the pre-tokeniser knows it, and what Python takes for it besides.
 _WHITE = r"\t-\r\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+_OTHER = [c for c in map(chr, (*range(0x3001), 0xFEFF)) if c.isspace() and c not in " \n"]
+#: End of the Latin blocks: newer versions of Unicode class no sign up to it otherwise.
+LAST = "\u024f"
 
 
 V = TypeVar("V")
 
 
-class Chunks(Generic[V]):
-    """A memo over the chunks of texts: white space with the run of other signs
-    after it, or the white space at a text's end.
+class Split:
+    """Cuts texts into chunks: white space with the run of other signs after it, or
+    the white space at a text's end.
 
     The pre-tokeniser looks no further than the sign after a run of white space,
     and none of its pieces holds white space after another sign, so each chunk is
     cut alone as it is in its text. Special strings are chunks of their own.
 
-    ``value`` maps a chunk to what is kept of it, ``weigh`` tells how many bytes that
-    takes. With ``joined``, values add up with ``+``: signs that are neither letters nor
-    numbers, from the last one of these to the end, are a piece of their own, so such
-    a chunk is made up of two others. The memo is bounded by
-    bytes: when its newer half is full, it becomes the older one."""
-
-    BYTES, LONGEST, ENTRY = 40_000_000, 64, 110
+    Nearly all chunks are a word after one space. Their key is the word, which holds no
+    white space; the key of any other chunk is a space and the chunk."""
 
-    def __init__(self, cut: PreTokens, value: Callable[[str], V], weigh: Callable[[V], int] = len, joined: bool = False, most: int = BYTES) -> None:
-        self.special, self.value, self.weigh, self.joined, self.most = cut.special_pattern, value, weigh, joined, most
-        self.find = re.compile(f"[{_WHITE}]*[^{_WHITE}]+|[{_WHITE}]+").findall
-        self.new: dict[str, V] = {}
-        self.before: dict[str, V] = {}
-        self.size = 0
+    def __init__(self, special: re.Pattern | None) -> None:
+        self.special, self.find = special, re.compile(f"[{_WHITE}]*[^{_WHITE}]+|[{_WHITE}]+").findall
 
-    def split(self, text: str) -> list[str]:
-        """The chunks of a text, in order."""
+    def __call__(self, text: str) -> list[str]:
+        """The keys of a text's chunks, in order."""
         if self.special is None or not self.special.search(text):
-            return self.find(text)
+            return self._keys(text)
         out: list[str] = []
         at = 0
         for m in self.special.finditer(text):
-            out += self.find(text[at : m.start()])
-            out.append(m.group())
+            out += self._keys(text[at : m.start()])
+            out.append(" " + m.group())
             at = m.end()
-        return out + self.find(text[at:])
-
-    def of(self, texts: list[list[str]]) -> dict[str, V]:
-        """The values of all chunks of some texts. Each different one is looked up once
-        in the large memo, and those that it lacks are made one after the other."""
-        own: dict = dict.fromkeys(chain.from_iterable(texts))
-        get, missing = self.new.get, []
-        for c in own:
-            if (v := get(c)) is None:
-                missing.append(c)
-            else:
-                own[c] = v
-        for c in missing:
-            own[c] = self._of(c)
-        return own
-
-    def _of(self, chunk: str) -> V:
-        v = self.new.get(chunk)
-        if v is not None:
-            return v
-        v = self.before.get(chunk)
+        return out + self._keys(text[at:])
+
+    def _keys(self, text: str) -> list[str]:
+        if not text:
+            return []
+        if "  " in text or " \n" in text or "\n " in text or text[0] == " " or text[-1] == " " or any(c in text for c in _OTHER):
+            return [c[1:] if c[0] == " " and len(c) > 1 and not c[1].isspace() else " " + c for c in self.find(text)]
+        out: list[str] = []
+        white = " "
+        for k, line in enumerate(text.split("\n")):
+            if k:
+                white += "\n"
+            if line:
+                words = line.split(" ")
+                words[0] = white + words[0]
+                out += words
+                white = " "
+        return [*out, white] if len(white) > 1 else out
+
+
+def chunk_of(key: str) -> str:
+    return key[1:] if key[0] == " " else " " + key
+
+
+def parts_of(key: str) -> tuple[str, str] | None:
+    """Two keys whose pre-tokens are together those of ``key``, if there are: signs that
+    are neither letters nor numbers, from the last one of these to the end, are a
+    pre-token of their own, and so is a line end before another sign."""
+    if not key.isascii() and max(key) > LAST:
+        return None
+    if key[:2] == " \n" and len(key) > 2 and not key[2].isspace():
+        return " \n", " " + key[2:]
+    end = len(key)
+    while end and not key[end - 1].isalnum():
+        end -= 1
+    return (key[:end], " " + key[end:]) if 0 < end < len(key) else None
+
+
+class Chunks(dict, Generic[V]):
+    """A memo over the keys of chunks. ``value`` maps a key to what is kept of it, and
+    ``weigh`` tells how many bytes that takes. Values add up with ``+``; ``special`` strings have
+    no parts. It is bounded by bytes, which ``tidy`` looks after: when its newer half is
+    full, it becomes the older one."""
+
+    BYTES, LONGEST, ENTRY = 40_000_000, 64, 110
+
+    def __init__(self, value: Callable[[str], V], special: Iterable[str] = (), weigh: Callable[[V], int] = len, most: int = BYTES) -> None:
+        self.value, self.weigh, self.most = value, weigh, most
+        self.whole = frozenset(" " + s for s in special)
+        self.before: dict[str, V] = {}
+        self.size = 0
+
+    def __missing__(self, key: str) -> V:
+        v = self.before.get(key)
         if v is None:
-            end = len(chunk)
-            if self.joined and not chunk[-1].isalnum():
-                while end and not chunk[end - 1].isalnum():
-                    end -= 1
-            if 1 < end < len(chunk) and not (self.special and self.special.search(chunk)):
-                v = self._of(chunk[:end]) + self._of(chunk[end:])
-            else:
-                v = self.value(chunk)
-        if len(chunk) <= self.LONGEST:
-            if self.size >= self.most:
-                self.before, self.new, self.size = self.new, {}, 0
-            self.size += self.ENTRY + 4 * len(chunk) + self.weigh(v)
-            self.new[chunk] = v
+            both = None if key.isalpha() or key in self.whole else parts_of(key)
+            v = self[both[0]] + self[both[1]] if both else self.value(key)
+        if len(key) <= self.LONGEST:
+            self.size += self.ENTRY + 4 * len(key) + self.weigh(v)
+            self[key] = v
         return v
 
+    def tidy(self) -> None:
+        if self.size >= self.most:
+            self.before, self.size = self.copy(), 0
+            self.clear()
+
 
 def _byte_signs() -> dict[int, int]:
     """The printable sign that stands for each byte in a byte-level vocabulary:
@@ -144,16 +180,17 @@ class Pieces:
     """Token ids of one pre-token, by the library's own model. Letters that newer
     versions of Unicode may class otherwise go through all of the library instead."""
 
-    LAST = "\u024f"  # end of the Latin blocks
-
     def __init__(self, path: str) -> None:
         from tokenizers import Tokenizer
 
         tokenizer = Tokenizer.from_file(path)
-        self.encode, self.tokenize, self.signs = tokenizer.encode, tokenizer.model.tokenize, _byte_signs()
+        model = tokenizer.model
+        if hasattr(model, "_resize_cache"):  # pre-tokens that come back don't get here
+            model._resize_cache(0)
+        self.encode, self.tokenize, self.signs = tokenizer.encode, model.tokenize, _byte_signs()
 
     def ids(self, piece: str) -> list[int]:
-        if max(piece) > self.LAST:
+        if max(piece) > LAST:
             return self.encode(piece, add_special_tokens=False).ids
         return self.plain(piece)
 
@@ -168,26 +205,26 @@ class TokenBytes:
     def __init__(self, path: str, memo_bytes: int = Chunks.BYTES) -> None:
         self._cut, self._pieces = PreTokens(path), Pieces(path)
         self._space = chr(self._pieces.signs[32])
-        self._memo: Chunks[bytes] = Chunks(self._cut, self._ids, joined=True, most=memo_bytes)
-
-    def _ids(self, chunk: str) -> bytes:
-        special, word = self._cut.special, chunk[1:]
-        if chunk in special:
-            ids = [special[chunk]]
-        elif max(chunk) > Pieces.LAST:
-            ids = self._pieces.encode(chunk, add_special_tokens=False).ids
-        elif word.isalpha() and chunk[0] == " ":  # one pre-token
-            ids = [t.id for t in self._pieces.tokenize(self._space + word)] if word.isascii() else self._pieces.plain(chunk)
-        elif word.isalpha() and chunk[0] == "\n":  # two
-            ids = self._pieces.plain("\n") + self._pieces.plain(word)
+        self._split = Split(self._cut.special_pattern)
+        self._memo: Chunks[bytes] = Chunks(self._ids, self._cut.special, most=memo_bytes)
+
+    def _ids(self, key: str) -> bytes:
+        if key.isascii() and key.isalpha():  # one pre-token
+            ids = [t.id for t in self._pieces.tokenize(self._space + key)]
+        elif key[1:] in self._cut.special and key[0] == " ":
+            ids = [self._cut.special[key[1:]]]
+        elif max(key) > LAST:
+            ids = self._pieces.encode(chunk_of(key), add_special_tokens=False).ids
         else:
-            ids = [i for p in self._cut(chunk) for i in self._pieces.ids(p)]
+            ids = [i for p in self._cut.of(key) for i in self._pieces.plain(p)]
         return array("I", ids).tobytes() if _NATIVE else struct.pack(f"<{len(ids)}I", *ids)
 
     def many(self, texts: list[str]) -> list[bytes]:
-        chunks = [self._memo.split(t) for t in texts]
-        get = self._memo.of(chunks).__getitem__
-        return [b"".join(map(get, c)) for c in chunks]
+        get, out = self._memo.__getitem__, []
+        for t in texts:
+            out.append(b"".join(map(get, self._split(t))))
+            self._memo.tidy()
+        return out
 
     def of(self, text: str) -> bytes:
         return self.many([text])[0]

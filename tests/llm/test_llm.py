@@ -597,3 +597,43 @@ def test_stages_with_odd_rows(spark, odd):
     for name, stage in corpus_pipeline.STAGES[:-1]:
         got = stage(spark, twice, DATA)
         assert got.columns == twice.columns and got.count() <= twice.count(), name
+
+
+def test_words_keep_their_ids_at_line_ends_and_before_other_signs():
+    """One library call a word, however it is set off; all ids as the library gives them."""
+    from collections import Counter
+
+    from tokenizers import Tokenizer
+
+    from lakeweave.llm.token_counts import Frequencies, Lookup
+    from lakeweave.llm.tokens import PreTokens, Split, TokenBytes, chunk_of, vocabulary
+
+    library, cut = Tokenizer.from_file(vocabulary()), PreTokens(vocabulary())
+    wanted = lambda t: library.encode(t, add_special_tokens=False).ids
+    tb = TokenBytes(vocabulary())
+    asked, tokenize = [], tb._pieces.tokenize
+    tb._pieces.tokenize = lambda x: asked.append(x) or tokenize(x)
+    text = "pleiora\npleiora pleiora pleiora, pleiora.\npleiora pleiora$$$\n\npleiora"
+    assert np.frombuffer(tb.of(text), "<u4").tolist() == wanted(text)
+    assert sum("pleiora" in x for x in asked) <= 3  # after a space, at a line's start, and after an empty line
+
+    r, special = random.Random(9), list(cut.special)
+    signs = [" ", "  ", "\n", "\n\n", "\t", "\r\n", "\x1c", "\xa0", "\u3000", "a", "Bc", "\u00e9", "\u00df", "\u00aa", "\u00b2", "12", "'s", "'", "$$$", "_", "<", "|>", "\u65e5\u672c", "\u0301", "\u093e", "\xad", "\u0250", "\u0378", "\U0001f600", *special, *[x[:-1] for x in special]]
+    tb, split, frequencies = TokenBytes(vocabulary(), memo_bytes=5000), Split(cut.special_pattern), Frequencies(vocabulary())
+    for _ in range(3000):
+        t = "".join(r.choice(signs) for _ in range(r.randint(0, 12)))
+        keys = split(t)
+        assert "".join(map(chunk_of, keys)) == t
+        assert np.frombuffer(tb.of(t), "<u4").tolist() == wanted(t), repr(t)
+        pieces = cut(t)
+        assert [p for k in keys for p in cut.of(k)] == pieces, repr(t)
+        frequencies([t])
+        out = frequencies.end()
+        assert dict(zip(out["piece"], out["n"], strict=True)) == Counter(pieces)
+        memo = Lookup(cut, {p: 1 for p in pieces[::2]})
+        memo.LIMIT = 3
+        for _ in range(3):
+            hot = sum(memo[k] for k in keys)
+            rest = [x for k in keys for x in memo.rest.get(k, ())]
+            memo.tidy()
+            assert hot + len(rest) == len(pieces) and not set(rest) & set(pieces[::2])
