@@ -21,10 +21,11 @@ cheap, and no link between components is lost.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from itertools import pairwise
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -34,6 +35,8 @@ from .common import Workspace, among
 SMALL, BLOCK = 6, 1024
 #: Values of a wide sketch, and by how much its estimate may fall short: 3.6 standard errors.
 WIDE, MARGIN = 256, 0.09
+#: A value is counted pair by pair where it has at most so small a part of all pairs of two blocks.
+DENSE = 1024
 
 
 def sized(a: Column, b: Column, percent: int) -> Column:
@@ -124,48 +127,77 @@ def union_shares(a: list[np.ndarray], b: list[np.ndarray], shared: np.ndarray, k
 def _across(percent: int):
     """Pairs across components in two blocks of one list whose sketches pass the estimate."""
 
-    def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        v, left, right = key
-        a = rows[rows["block"] == left]
-        b = a if left == right else rows[rows["block"] == right]
-        if not len(a) or not len(b):
-            return pd.DataFrame({"a": rows["id"][:0], "b": rows["id"][:0]})
-        wa, wb = list(a["wide"]), list(b["wide"])
+    def run(key: tuple, rows: pa.Table) -> pa.Table:
+        v, left, right = (k.as_py() for k in key)
+        block, ids, n, component = (rows.column(c).to_numpy() for c in ("block", "id", "n", "component"))
+        wide, lists = (_rows_of(rows.column(c)) for c in ("wide", "lists"))
+        ia = np.flatnonzero(block == left)
+        ib = ia if left == right else np.flatnonzero(block == right)
+        if not len(ia) or not len(ib):
+            return pa.table({"a": ids[:0], "b": ids[:0]})
+        wa, wb = [wide[k] for k in ia], [wide[k] for k in ib]
         share, shared = union_shares(wa, wb, meets(wa, wb), WIDE)
-        na, nb = a["n"].to_numpy()[:, None], b["n"].to_numpy()[None, :]
+        na, nb = n[ia, None], n[None, ib]
         whole = (na < WIDE) & (nb < WIDE)  # both sketches are the sets themselves
         alike = np.where(whole, 100 * shared >= percent * (na + nb - shared), share >= percent / 100 - MARGIN)
-        alike &= (a["component"].to_numpy()[:, None] != b["component"].to_numpy()[None, :]) & (100 * np.minimum(na, nb) >= percent * np.maximum(na, nb))
+        alike &= (component[ia, None] != component[None, ib]) & (100 * np.minimum(na, nb) >= percent * np.maximum(na, nb))
+        if left == right:
+            alike = np.triu(alike)
         if alike.any():  # a pair counts in the first list that both are in
-            earlier = [[x[x < v] for x in s["lists"]] for s in (a, b)]
+            earlier = [[lists[k][lists[k] < v] for k in i] for i in (ia, ib)]
             alike &= meets(*earlier) == 0
         i, j = np.nonzero(alike)
-        x, y = a["id"].to_numpy()[i], b["id"].to_numpy()[j]
-        return pd.DataFrame({"a": np.where(x < y, x, y), "b": np.where(x < y, y, x)}).drop_duplicates()
+        x, y = ids[ia[i]], ids[ib[j]]
+        return pa.table({"a": np.where(x < y, x, y), "b": np.where(x < y, y, x)})
 
     return run
 
 
+def _rows_of(column: pa.ChunkedArray) -> list[np.ndarray]:
+    x = column.combine_chunks()
+    values, ends = x.values.to_numpy(), x.offsets.to_pylist()
+    return [values[i:j] for i, j in pairwise(ends)]
+
+
 def meets(a: list[np.ndarray], b: list[np.ndarray]) -> np.ndarray:
-    """How many values each of one block shares with each of the other, as matrix products."""
+    """How many values each of one block shares with each of the other: pair by pair for
+    values that few sets hold, as matrix products for the others."""
     flat, owner = np.concatenate([*a, *b]), np.repeat(np.arange(len(a) + len(b)), [len(x) for x in (*a, *b)])
     out = np.zeros((len(a), len(b)), np.float32)
     if not len(flat):
         return out
-    _, col, often = np.unique(flat, return_inverse=True, return_counts=True)
-    keep = often[col] > 1
-    used, col = np.unique(col[keep], return_inverse=True)
-    owner = owner[keep]
-    order = np.argsort(col, kind="stable")
-    col, owner = col[order], owner[order]
-    for at in range(0, len(used), 2048):  # a bounded share of the values at a time
-        lo, hi = np.searchsorted(col, (at, at + 2048))
-        m = np.zeros((len(a) + len(b), min(2048, len(used) - at)), np.float32)
-        m[owner[lo:hi], col[lo:hi] - at] = 1
+    order = np.argsort(flat, kind="stable")
+    flat, owner = flat[order], owner[order]  # those of one block come first
+    new = np.ones(len(flat), bool)
+    new[1:] = flat[1:] != flat[:-1]
+    keep = new.copy()
+    keep[1:] |= owner[1:] != owner[:-1]
+    starts, owner = np.flatnonzero(new[keep]), owner[keep]
+    size = np.diff(np.append(starts, len(owner)))
+    left = np.add.reduceat(owner < len(a), starts, dtype=np.int64)
+    pairs = left * (size - left)
+    few = (pairs > 0) & (pairs * DENSE <= out.size)
+    for at in _shares(np.flatnonzero(few), pairs):
+        group = np.repeat(at, pairs[at])
+        k = np.arange(len(group)) - np.repeat(np.cumsum(pairs[at]) - pairs[at], pairs[at])
+        i, j = np.divmod(k, (size - left)[group])
+        cell = owner[starts[group] + i] * len(b) + owner[(starts + left)[group] + j] - len(a)
+        out += np.bincount(cell, minlength=out.size).reshape(out.shape)
+    often = np.flatnonzero(pairs * DENSE > out.size)
+    for at in range(0, len(often), 2048):  # a bounded share of the values at a time
+        g = often[at : at + 2048]
+        m = np.zeros((len(a) + len(b), len(g)), np.float32)
+        col = np.repeat(np.arange(len(g)), size[g])
+        m[owner[np.repeat(starts[g] - np.cumsum(size[g]) + size[g], size[g]) + np.arange(len(col))], col] = 1
         out += m[: len(a)] @ m[len(a) :].T
     return out
 
 
+def _shares(groups: np.ndarray, pairs: np.ndarray) -> Iterator[np.ndarray]:
+    """``groups`` cut where about 2^20 pairs are together."""
+    yield from np.split(groups, np.flatnonzero(np.diff(np.cumsum(pairs[groups]) >> 20)) + 1) if len(groups) else ()
+
+
 def across(lists: DataFrame, fetch: Callable[[DataFrame], DataFrame], label: DataFrame, percent: int, ws: Workspace) -> DataFrame:
     """Pairs of long lists that stars left in different components."""
     size = lists.groupBy("v").agg(F.count(F.lit(1)).alias("size")).filter(F.col("size") > SMALL)
@@ -178,7 +210,7 @@ def across(lists: DataFrame, fetch: Callable[[DataFrame], DataFrame], label: Dat
     rows = rows.withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")).join(wide, "id")
     pairs = F.explode(F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda k: F.struct(F.least(k, F.col("block")).alias("left"), F.greatest(k, F.col("block")).alias("right"))))
     rows = rows.withColumn("m", pairs).select("v", F.col("m.left").alias("left"), F.col("m.right").alias("right"), "block", "id", "n", "component", "wide", "lists")
-    return rows.groupBy("v", "left", "right").applyInPandas(_across(percent), "a long, b long").distinct()
+    return rows.groupBy("v", "left", "right").applyInArrow(_across(percent), "a long, b long").distinct()
 
 
 def link(spark: SparkSession, sets: DataFrame, lists: DataFrame, fetch: Callable[[DataFrame], DataFrame], percent: int, estimate: Callable[[Column, Column], Column], ws: Workspace) -> DataFrame:

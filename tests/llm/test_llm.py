@@ -576,6 +576,35 @@ def test_whole_copies_are_one(spark):
     assert cut == {0: text, 1: "", 2: "", 3: "", 4: "", 9: "", 20: "short"}
 
 
+def test_words_and_sentences_of_many_texts():
+    from lakeweave.llm.shingles import words_of
+
+    r = random.Random(21)
+    signs = ["a", "B", "Z", "é", "İ", "Σ", "漢", "\ud800", "😀", " ", "\t", "\n", ".", "!", "...", "\x1c", "\x85", "\u3000", "longer", "\0"]
+    texts = ["".join(r.choice(signs) for _ in range(r.randint(0, 60))) for _ in range(600)] + [None, "", "\n", "..", ".a", "x" * 200 + " y", "x" * 64, "a" * 16, "a" * 17]
+    found = words_of(texts)
+    start, end = found.spans()
+    got = list(zip(start.tolist(), end.tolist(), found.ids.tolist(), strict=True))
+    words = [(t[m.start() : m.end()].encode("utf-8", "surrogatepass").lower(), m.span()) for t in texts for m in re.finditer(r"[^ \t\n\r\x0b\x0c]+", t or "")]
+    assert [x[:2] for x in got] == [span for _, span in words]
+    assert len({x[2] for x in got}) == len({w for w, _ in words}) == len({(w, x[2]) for (w, _), x in zip(words, got, strict=True)})
+    out = paragraphs._sentences()(list(range(len(texts))), texts)
+    got = list(zip(*[out[c].tolist() for c in ("doc_id", "seq", "start", "end", "words")], strict=True))
+    want = [((d, k, m.start(), m.end(), len(w)), tuple(w)) for d, t in enumerate(texts) for k, m in enumerate(re.finditer(r"[^.!?\n]+[.!?]*", t or "")) if (w := m.group().lower().split())]
+    hashes = dict(zip(got, out["h"].tolist(), strict=True))
+    assert set(got) == {x for x, _ in want} and len(got) == len(want)
+    assert len(set(hashes.values())) == len({w for _, w in want}) == len({(w, hashes[x]) for x, w in want})
+
+
+def test_shared_values_of_blocks():
+    from lakeweave.llm.similarity import meets
+
+    r = np.random.default_rng(4)
+    for na, nb, top, size in ((1, 1, 5, 3), (3, 5, 40, 9), (60, 50, 300, 40), (90, 80, 10**6, 60)):
+        a, b = ([np.unique(np.append(r.integers(-top, top, r.integers(0, size)), 7)) for _ in range(n)] for n in (na, nb))
+        assert (meets(a, b) == [[len(np.intersect1d(x, y)) for y in b] for x in a]).all()
+
+
 def test_language_learns_every_language(spark):
     many = [(3 * k + j, f"qq{k:03d}x word{k:03d} zz{k:03d}y " * 6, f"l{k:03d}") for k in range(300) for j in range(3)]
     df = spark.createDataFrame(many + many[:2] + [(None, "qq001x", "l001")], "doc_id long, text string, lang string")
